@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, sharding, simhash, token_counts
-from .common import documents
+from . import bpe, decontaminate, language, pii, sharding, simhash, token_counts
+from .common import documents, in_test_part
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op6_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", in_test_part(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
