@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, pii, sharding, simhash, token_counts
+from . import bpe, decontaminate, exact_dedup, language, pii, sharding, simhash, token_counts
 from .common import documents, in_test_part
 
 
@@ -14,6 +14,10 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
