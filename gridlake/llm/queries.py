@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language, lm, pii, sharding, simhash, token_counts
+from . import bpe, decontaminate, exact_dedup, hamming, language, lm, pii, sharding, simhash, token_counts
 from .common import documents, in_test_part
 
 
@@ -30,6 +30,10 @@ def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_simhash_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -113,5 +117,14 @@ select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
 from dw left join pos using (doc_id) left join its using (doc_id)"""
 
 
+_CODE = " + ".join(f"(case when coalesce(embedding[{i + 1}], 0) > 0 then {1 << i}::uhugeint else 0 end)" for i in range(64))
+_OP4 = f"""
+with c as (select vec_id, cast({_CODE} as ubigint) as code from embeddings where embedding is not null),
+d as (select q.vec_id as query_id, r.vec_id as neighbour_id, cast(bit_count(xor(q.code, r.code)) as int) as distance
+  from c q join c r on q.vec_id % 50 = 0 and q.vec_id <> r.vec_id),
+k as (select query_id, cast(row_number() over (partition by query_id order by distance, neighbour_id) as int) as rank, neighbour_id, distance from d)
+select query_id, rank, neighbour_id, distance from k where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hash_tree_sharding": _op1_sql(), "op3_fm_index_decontamination": _OP3}
+    return {"op1_hash_tree_sharding": _op1_sql(), "op3_fm_index_decontamination": _OP3, "op4_multi_index_hamming": _OP4}

@@ -211,6 +211,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFram
 
 
 def keep_one(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFrame:
-    """docs without all but one document of each component: the one with the least doc_id, whole and with all its columns."""
-    first = near_duplicates(docs, width, reach).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs without all but one document of each component: the one with the least doc_id, whole and with all its columns.
+
+    Rows with equal doc_id are one document and leave one row. Null ids are one document too.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key")
+    chosen = near_duplicates(docs, width, reach).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    return docs.select("*", key).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
