@@ -66,8 +66,8 @@ Address:struct<City:string,PostalCode:string,Street:string>,GeoCoordinates:struc
 ChargingFacilities:array<struct<power:string,powertype:string>>,ChargingStationNames:array<struct<lang:string,value:string>>,lastUpdate:string>>>>"""
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_directory_json(spark.read.schema(T._parse_datatype_string(DIRECTORY) if isinstance(DIRECTORY, str) else DIRECTORY).json(path, multiLine=True))
+def read_directory(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return flatten_directory_json(spark.read.schema(DIRECTORY).json(path, multiLine=multi_line))
 
 
 def flatten_directory_json(payload: DataFrame) -> DataFrame:
@@ -105,8 +105,8 @@ def vehicles_of(catalog: DataFrame) -> DataFrame:
     return d.select("d.brand", "d.model", "d.variant", F.col("d.release_year").cast("int").alias("release_year"), F.col("d.usable_battery_size").cast("double").alias("battery_kwh"), F.col("d.ac_charger.max_power").cast("double").alias("ac_max_kw"), F.col("d.dc_charger.max_power").cast("double").alias("dc_max_kw"), ports.alias("ports"))
 
 
-def read_vehicle_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return vehicles_of(spark.read.json(path, multiLine=True))
+def read_vehicle_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return vehicles_of(spark.read.json(path, multiLine=multi_line))
 
 
 def ports_of(text: Column) -> Column:
