@@ -3,9 +3,11 @@
 Every byte inside a window of `width` bytes that also starts earlier is removed. Windows are dealt to families by content:
 a window's anchor is the least hash among its KGRAM-byte grams, so equal windows have equal anchors, and neighbouring windows with
 one anchor travel together as one segment. Only segments whose anchor turns up more than once are
-sent. A family takes its segments in batches: each batch gets a suffix array, bounded to the window's
-length; levels of equal size merge geometrically, and each merge scans the joint order for equal windows, keeps the
+sent. A family takes its segments in batches: each batch gets a suffix array over its windows, ordered by their leading bytes and
+then by a digest of the whole window (so the order is alphabetical in its first bytes only); levels of
+equal size merge geometrically, and each merge scans the joint order for equal windows, keeps the
 earliest and reports the others. Every two windows meet in one merge, whatever the order in which they come.
+Documents that repeat an earlier one as a whole are told by their SHA-256 and take no part.
 
 An anchor that more than HOT segments share (a line in a third of all documents, say) is not left to one family: its
 windows are dealt one by one by a hash of the whole window, and equal ones are reduced to the earliest before they are sent.
@@ -25,7 +27,7 @@ WIDTH, KGRAM = 100, 24
 #: Segments of one anchor from which on its windows are dealt one by one.
 HOT = 4096
 #: Text bytes of a family's batch, and of a task's share of segments.
-BATCH_BYTES, FAMILY_BYTES = 2 << 20, 4 << 20
+BATCH_BYTES, FAMILY_BYTES = 3 << 20, 6 << 20
 
 
 def anchors(flat: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
@@ -64,59 +66,54 @@ def _over(f, values: np.ndarray, need: int) -> np.ndarray:
     return values
 
 
-def window_order(text: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """A number for each byte's next `width` bytes, alike just where these are alike, in their order. Bytes after the end are 0."""
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(width + 8, np.uint8)))
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    rank, have = _ranked(key), 8
-    while have < width:
-        step = min(have, width - have)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        rank = _ranked(rank * (n + 2) + after)
-        have += step
-    return rank
+class Level:
+    """A suffix array over windows that all differ: order key, digest, owner (a segment) and start of each, by key.
+
+    The key is the window's first two bytes and 48 bits of its digest, so windows stand by their leading bytes and equal ones
+    stand together; the digest's other bits tell windows apart whose keys meet.
+    """
 
+    def __init__(self, key: np.ndarray, digest: np.ndarray, owner: np.ndarray, start: np.ndarray):
+        self.key, self.digest, self.owner, self.start = key, digest, owner, start
 
-def _ranked(key: np.ndarray) -> np.ndarray:
+
+def suffix_array(flat: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray, width: int = WIDTH) -> Level:
+    """The array of the windows that begin at these places of the text; equal ones still among them."""
+    code = span_hashes(prefix_sums(flat), at, at + width)
+    lead = (flat[at].astype(np.uint64) << np.uint64(8)) | flat[at + 1]
+    tail = span_hashes(prefix_sums(flat ^ np.uint8(0x5A)), at, at + width)  # of the same bytes turned: independent of the first
+    key = (lead << np.uint64(48)) | (code >> np.uint64(16))
     order = np.argsort(key)
-    held = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.concatenate(([True], held[1:] != held[:-1])))
-    return out
+    return Level(key[order], (tail ^ (code << np.uint64(48)))[order], owner[order], start[order])
 
 
-class Level:
-    """Windows of a family, each different from all others: their segments' text and, per window, place and origin."""
-
-    def __init__(self, text: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray):
-        self.text, self.at, self.doc, self.start = text, at, doc, start
-
-
-def merged(levels: list[Level], width: int = WIDTH) -> tuple[Level, np.ndarray, np.ndarray]:
-    """One level of the earliest window of each content, and the (doc, start) of the others. doc: number in order of documents."""
-    text = np.concatenate([x.text for x in levels])
-    shift = np.cumsum([0] + [len(x.text) for x in levels])
-    at = np.concatenate([x.at + s for x, s in zip(levels, shift)])
-    doc, start = np.concatenate([x.doc for x in levels]), np.concatenate([x.start for x in levels])
-    rank = window_order(text, width)[at]
-    order = np.lexsort((start, doc, rank))  # the suffix array over the windows, equal ones by origin
-    first = np.ones(len(order), bool)
-    first[1:] = rank[order][1:] != rank[order][:-1]
-    keep, drop = order[first], order[~first]
-    of = keep[np.cumsum(first)[~first] - 1]
-    drop = drop[(doc[drop] != doc[of]) | (start[drop] != start[of])]  # a row given twice is no repeat of itself
-    keep = np.sort(keep)
-    # text that no kept window needs goes
-    used = np.zeros(len(text) + 1, np.int64)
-    np.add.at(used, at[keep], 1)
-    np.add.at(used, np.minimum(at[keep] + width, len(text)), -1)
-    live = np.cumsum(used[:-1]) > 0
-    place = np.cumsum(live) - 1
-    return Level(text[live], place[at[keep]], doc[keep], start[keep]), doc[drop], start[drop]
+def merged(levels: list[Level], rank: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+    """One level of the earliest window of each content, and the (owner, start) of the others, found by a scan over the merge.
+
+    rank: each segment's document in the order of documents.
+    """
+    key, digest, owner, start = (np.concatenate([getattr(x, f) for x in levels]) for f in ("key", "digest", "owner", "start"))
+    if len(levels) > 1:
+        order = np.argsort(key, kind="stable")  # runs that are in order already merge in one pass
+        key, digest, owner, start = key[order], digest[order], owner[order], start[order]
+    head = np.ones(len(key), bool)
+    head[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+    if (head[1:] & (key[1:] == key[:-1])).any():  # keys of different windows met: part them by digest
+        order = np.lexsort((digest, key))
+        key, digest, owner, start = key[order], digest[order], owner[order], start[order]
+        head[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+    origin = (rank[owner] << 32) | start
+    heads = np.flatnonzero(head)
+    if not len(heads):
+        return Level(key, digest, owner, start), owner, start
+    first = np.minimum.reduceat(origin, heads)
+    size = np.diff(np.append(heads, len(key)))
+    is_first = origin == np.repeat(first, size)
+    # of a window given twice (a row that is there twice) one goes on, and the other is no repeat of itself
+    held = np.flatnonzero(is_first)
+    keep = held[np.append(True, (key[held][1:] != key[held][:-1]) | (digest[held][1:] != digest[held][:-1]))]
+    lost = ~is_first
+    return Level(key[keep], digest[keep], owner[keep], start[keep]), owner[lost], start[lost]
 
 
 def spans_of(doc: np.ndarray, start: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,80 +133,89 @@ SEGMENT = "route long, doc long, digest long, lo int, n int, seg binary"
 SPAN = "doc long, digest long, lo int, hi int"
 
 
+class Family:
+    """Levels of suffix arrays whose sizes grow geometrically; every two windows meet in one merge."""
+
+    def __init__(self, width: int = WIDTH):
+        self.width, self.levels, self.lost, self.n = width, {}, [], 0
+        self.keys: list[tuple[np.ndarray, np.ndarray]] = []  # (doc, digest) of each segment
+
+    def known(self, doc: np.ndarray, digest: np.ndarray, lo: np.ndarray, n: np.ndarray) -> None:
+        """Segments whose windows start earlier elsewhere."""
+        self.keys.append((doc, digest))
+        self.lost.append((np.repeat(np.arange(len(n)) + self.n, n), ragged(lo, n)))
+        self.n += len(n)
+
+    def add(self, doc: np.ndarray, digest: np.ndarray, lo: np.ndarray, n: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> None:
+        """A batch of segments with their text."""
+        self.keys.append((doc, digest))
+        level = suffix_array(flat, ragged(offsets[:-1], n), np.repeat(np.arange(len(n)) + self.n, n), ragged(lo, n), self.width)
+        self.n += len(n)
+        size, level = 0, self._merge([level])
+        while size in self.levels:
+            level = self._merge([self.levels.pop(size), level])
+            size += 1
+        self.levels[size] = level
+
+    def _merge(self, levels: list[Level]) -> Level:
+        doc, digest = (np.concatenate(x) for x in zip(*self.keys))
+        order = np.lexsort((digest, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order][1:] != doc[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        level, owner, start = merged(levels, rank)
+        if len(owner):
+            self.lost.append((owner, start))
+        return level
+
+    def finish(self):
+        """doc, digest, first byte and end of the spans to remove."""
+        while len(self.levels) > 1:
+            a, b = sorted(self.levels)[:2]
+            self.levels[b] = self._merge([self.levels.pop(a), self.levels.pop(b)])
+        none = np.zeros(0, np.int64)
+        if not self.lost:
+            return none, none, none, none
+        owner, start = (np.concatenate(x) for x in zip(*self.lost))
+        doc, digest = (np.concatenate(x) for x in zip(*self.keys))
+        order = np.lexsort((digest, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order][1:] != doc[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        one = order[new]
+        of, lo, hi = spans_of(number[owner], start, self.width)
+        return doc[one][of], digest[one][of], lo, hi
+
+
 def _family(batches, width: int = WIDTH):
-    """Spans to remove, from one task's segments, by a logarithmic family."""
-    levels: dict[int, Level] = {}
-    keys: list[tuple[np.ndarray, np.ndarray]] = []  # documents by number of arrival
-    lost: list[tuple[np.ndarray, np.ndarray]] = []
+    """Spans to remove, from one task's segments."""
+    family = Family(width)
     pending: list[pa.RecordBatch] = []
     waiting = 0
 
-    def close(parts: list[pa.RecordBatch], base: int) -> Level:
-        table = pa.Table.from_batches(parts)
+    def close() -> None:
+        table = pa.Table.from_batches(pending)
         flat, offsets = flat_text(table.column("seg"))
-        n = table.column("n").to_numpy().astype(np.int64)
-        lo = table.column("lo").to_numpy().astype(np.int64)
-        keys.append((table.column("doc").to_numpy(), table.column("digest").to_numpy()))
-        number = np.repeat(np.arange(len(n)) + base, n)
-        return Level(flat, ragged(offsets[:-1], n), number, ragged(lo, n))
-
-    # A document's number must follow the order (doc, digest), which is known only at the end; so levels compare by the
-    # keys themselves, ranked anew at each merge.
-    def join(parts: list[Level]) -> Level:
-        ids = np.concatenate([x.doc for x in parts])
-        all_doc, all_digest = (np.concatenate(x) for x in zip(*keys))
-        used, back = np.unique(ids, return_inverse=True)
-        pair = np.stack([all_doc[used], all_digest[used]], 1)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (pair[order][1:] != pair[order][:-1]).any(1)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        ranked, cut = rank[back], np.cumsum([len(x.doc) for x in parts])[:-1]
-        back_to = used[order[np.flatnonzero(new)]]
-        level, doc, start = merged([Level(x.text, x.at, d, x.start) for x, d in zip(parts, np.split(ranked, cut))], width)
-        if len(doc):
-            lost.append((back_to[doc], start))
-        return Level(level.text, level.at, back_to[level.doc], level.start)
-
-    def add(level: Level) -> None:
-        size = 0
-        level = join([level])
-        while size in levels:
-            level = join([levels.pop(size), level])
-            size += 1
-        levels[size] = level
+        family.add(table.column("doc").to_numpy(), table.column("digest").to_numpy(), table.column("lo").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.int64), flat, offsets)
 
-    seen = 0
     for batch in batches:
         known = batch.filter(pc.is_null(batch.column("seg")))
         if len(known):
-            n = known.column("n").to_numpy().astype(np.int64)
-            keys.append((known.column("doc").to_numpy(), known.column("digest").to_numpy()))
-            lost.append((np.repeat(np.arange(len(n)) + seen, n), ragged(known.column("lo").to_numpy().astype(np.int64), n)))
-            seen += len(n)
+            family.known(known.column("doc").to_numpy(), known.column("digest").to_numpy(), known.column("lo").to_numpy().astype(np.int64), known.column("n").to_numpy().astype(np.int64))
         batch = batch.filter(pc.is_valid(batch.column("seg")))
         if len(batch):
             pending.append(batch)
             waiting += pc.sum(pc.binary_length(batch.column("seg"))).as_py()
         if waiting >= BATCH_BYTES:
-            level = close(pending, seen)
-            seen += sum(map(len, pending))
-            add(level)
+            close()
             pending, waiting = [], 0
     if pending:
-        add(close(pending, seen))
-    while len(levels) > 1:
-        a, b = sorted(levels)[:2]
-        level = join([levels.pop(a), levels.pop(b)])
-        levels[b] = level
-    if not lost:
-        return
-    doc, start = (np.concatenate(x) for x in zip(*lost))
-    all_doc, all_digest = (np.concatenate(x) for x in zip(*keys))
-    pair, number = np.unique(np.stack([all_doc[doc], all_digest[doc]], 1), axis=0, return_inverse=True)
-    number, lo, hi = spans_of(number.reshape(-1), start, width)
-    yield pa.RecordBatch.from_arrays([pa.array(pair[number, 0]), pa.array(pair[number, 1]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc", "digest", "lo", "hi"])
+        close()
+    doc, digest, lo, hi = family.finish()
+    if len(doc):
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(digest), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc", "digest", "lo", "hi"])
 
 
 NULL_ID = -(2**63)
@@ -317,16 +323,29 @@ def _kept(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("digest"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "digest", "n_removed", "n_spans", "kept"])
 
 
+#: Keys of documents to leave out that are sent to all tasks at most; more are joined by a shuffle.
+SENT_KEYS = 1 << 20
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "digest": F.xxhash64("text")})
 
 
-def shortened(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def later_copies(whole: DataFrame) -> DataFrame:
+    """(doc, digest) of documents whose whole text an earlier document has. whole: doc, digest, sha."""
+    first = whole.groupBy("sha").agg(F.min(F.struct("doc", "digest")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    return whole.join(first, "sha").filter(F.struct("doc", "digest") > F.col("first")).select("doc", "digest").distinct()
+
+
+def shortened(docs: DataFrame, width: int = WIDTH, without: DataFrame | None = None) -> DataFrame:
     """(doc, digest, n_removed, n_spans, kept) of each document that loses bytes; kept: the bytes left (binary).
 
-    doc is doc_id, digest xxhash64 of the text. Rows alike in both are one document.
+    doc is doc_id, digest xxhash64 of the text. Rows alike in both are one document. without: (doc, digest) of documents to
+    leave out, as later_copies finds them: each of their windows starts earlier in the first copy, so nobody misses them.
     """
     texts = keyed(docs.select("doc_id", "text")).filter(F.octet_length("text") >= width).select("doc", "digest", "text")
+    if without is not None:
+        texts = texts.join(F.broadcast(without) if without.count() <= SENT_KEYS else without, ["doc", "digest"], "left_anti")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     told = texts.mapInArrow(lambda b: _segments(b, width), TOLD).repartition(tasks_for(size, 32 << 20, 24), "route").mapInArrow(_repeated, REPEATED)
     told = staged(told, "repeated")
@@ -346,8 +365,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     same one. Null text: no bytes. Null doc_id: before all others. Rows with equal doc_id and text are one document, each
     reported; rows with equal doc_id and different texts stand in the order of their texts' hashes.
     """
-    cut = shortened(docs, width).select("doc", "digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc", "digest"])
-    whole = keyed(docs.select("doc_id", "text")).select("doc_id", "doc", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
-    return whole.join(cut, ["doc", "digest"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
+    whole = keyed(docs.select("doc_id", "text")).select("doc_id", "doc", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    whole = staged(whole, "whole")
+    copies = staged(later_copies(whole.filter(F.col("n_bytes") >= width)), "copies")
+    cut = shortened(docs, width, copies).select("doc", "digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).dropDuplicates(["doc", "digest"])
+    both = whole.join(copies.withColumn("copy", F.lit(True)), ["doc", "digest"], "left").join(cut, ["doc", "digest"], "left")
+    copied = F.col("copy").isNotNull()
+    return both.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
