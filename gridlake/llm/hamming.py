@@ -80,11 +80,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, key: str = "vec_id",
     for radius in range(width + 1):
         found = (
             asking.mapInArrow(lambda b, r=radius: _probes(b, width, r), "qid long, qcode long, seg int, value int")
-            .join(index, ["seg", "value"])
+            .join(index.hint("merge"), ["seg", "value"])
             .select("qid", "code", "rows", F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
             .distinct()
         )
-        now = found if met is None else met.join(asking.select("qid"), "qid", "left_semi").unionByName(found).distinct()
+        now = found if met is None else met.join(asking.select("qid").hint("merge"), "qid", "left_semi").unionByName(found).distinct()
         # a code is needed if fewer than k + 1 rows are nearer: the query's own row is one of them
         nearer = F.coalesce(F.sum("rows").over(Window.partitionBy("qid").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
         now = staged(now.withColumn("nearer", nearer).filter(F.col("nearer") <= k).drop("nearer"), "met")
@@ -92,17 +92,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, key: str = "vec_id",
         enough = now.filter(F.col("distance") <= covered).groupBy("qid").agg(F.sum("rows").alias("sure")).filter(F.col("sure") > k).select("qid")
         if radius == width:
             enough = asking.select("qid")
-        ready = now.join(enough, "qid", "left_semi")
+        ready = now.join(enough.hint("merge"), "qid", "left_semi")
         done = ready if done is None else done.unionByName(ready)
-        asking = staged(asking.join(enough, "qid", "left_anti"), "asking")
+        asking = staged(asking.join(enough.hint("merge"), "qid", "left_anti"), "asking")
         met = now
         if not asking.limit(1).count():
             break
-    pairs = done.select(F.col("qid").alias("asked"), "code", "distance").join(members, "code")
+    pairs = done.select(F.col("qid").alias("asked"), "code", "distance").join(members.hint("merge"), "code")
     ranked = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     # equal query codes share one list; a list has k + 1 rows and those tied with the last by distance before members' cut
     lists = pairs.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("distance", "id"))).filter(F.col("place") <= k + 1).drop("place")
-    answers = queries.select(F.col("qid").alias("query_id"), F.col("code").alias("asked")).join(lists, "asked").filter("query_id <> id")
+    answers = queries.select(F.col("qid").alias("query_id"), F.col("code").alias("asked")).join(lists.hint("merge"), "asked").filter("query_id <> id")
     return (
         answers.select("query_id", F.col("id").alias("neighbour_id"), "distance")
         .withColumn("rank", F.row_number().over(ranked).cast("int"))
