@@ -1,0 +1,392 @@
+"""The text operators against plain Python, on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from gridlake.llm import bpe, common, decontaminate, exact_dedup, gru, hamming, language, lm, pii, pretokens, sharding, simhash, token_counts
+
+random.seed(11)
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = "the of and tion ing er on an re he in ed nd ha at en es or ti hi as to".split()
+
+
+def prose(n: int) -> str:
+    return " ".join("".join(random.choices(WORDS, k=random.randint(1, 3))) for _ in range(n))
+
+
+LINE = prose(40)
+ODD = [
+    None, "", " ", "x", "ñ", "日本語テキスト 😀😀", "ab" * 700, "é" * 300, "\x00\x01 a\x85b", "A B C D E", LINE, LINE, prose(3000) + " " + LINE, LINE + " " + prose(30), "<|endoftext|>x<|endoftext|>",
+    "a@b.com_x@y.zz 1.2.3.4.5.6.7.8 300.1.1.1 4111 1111 1111 1111, +1 (415) 555-2671 DE89 3704 0044 0532 0130 00", "'s't're I'll don't", "1" * 500,
+]
+TEXTS = ODD + [prose(random.randint(1, 120)) + (" " + LINE if i % 3 == 0 else "") for i in range(120)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    langs = ["en", "de", None]
+    rows = [(i, t, langs[i % 3], f"src{i % 2}", len(t or ""), i) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, score int").repartition(5).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def lower(t):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
+
+
+def sha(x) -> str:
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+# sharding
+
+
+def test_shards(docs, empty):
+    rows = sharding.shard_documents(docs).collect()
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(TEXTS)}
+    assert all(r["grown_shard"] in (r["shard"], 24) and 0 <= r["shard"] < 24 for r in rows) and any(r["grown_shard"] == 24 for r in rows)
+    for s in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert sharding.shard_documents(empty).count() == 0
+    twice = sharding.shard_documents(docs.union(docs)).collect()
+    assert len({(r["shard"], r["slot"]) for r in twice}) == 2 * len(TEXTS)
+
+
+def test_growth_moves_rows_only_into_the_new_shard(spark):
+    ids = spark.range(4000).select(F.col("id").alias("doc_id"))
+    for n in (24, 25, 30):
+        both = sharding.place(sharding.place(ids, n), n + 1, into="grown").collect()
+        moved = [r for r in both if r["shard"] != r["grown"]]
+        assert all(r["grown"] == n for r in moved) and abs(len(moved) - 4000 / (n + 1)) < 60
+
+
+def test_weights_decide_shares(spark):
+    count = Counter(r[0] for r in sharding.place(spark.range(12000).select(F.col("id").alias("doc_id")), 24).select("shard").collect())
+    assert len(count) == 24 and max(count.values()) < 620 and min(count.values()) > 390
+
+
+# exact substrings
+
+
+def repeats(docs_, width=100):
+    seen, out = set(), {}
+    for d, t in docs_:
+        raw = (t or "").encode()
+        hit = bytearray(len(raw))
+        for p in range(len(raw) - width + 1):
+            w = raw[p : p + width]
+            if w in seen:
+                hit[p : p + width] = b"\1" * width
+            seen.add(w)
+        out[d] = (len(raw), sum(hit), sum(1 for i, h in enumerate(hit) if h and not (i and hit[i - 1])), sha(bytes(b for b, h in zip(raw, hit) if not h)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_exact_repeats(docs, empty, hot, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    want = repeats(enumerate(TEXTS))
+    got = {r["doc_id"]: tuple(r)[1:] for r in exact_dedup.remove_repeats(docs).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 5000
+    assert exact_dedup.remove_repeats(empty).count() == 0
+    twice = sorted(map(tuple, exact_dedup.remove_repeats(docs.union(docs)).collect()))
+    assert twice == sorted((d, *w) for d, w in want.items() for _ in range(2))
+
+
+def test_family_merges_in_any_order():
+    segs = [(d, lo, t.encode()) for d, t in enumerate(TEXTS) if t and len(t.encode()) >= 100 for lo in (0,)]
+    random.shuffle(segs)
+    family = exact_dedup.Family(100)
+    for a in range(0, len(segs), 7):
+        part = segs[a : a + 7]
+        flat, offsets = common.flat_text(pa.array([s[2] for s in part], pa.binary()))
+        family.add(*(np.array(x, np.int64) for x in ([s[0] for s in part], [0] * len(part), [s[1] for s in part], [len(s[2]) - 99 for s in part])), flat, offsets)
+    assert max(family.levels) > 1  # batches have met in levels
+    doc, _, lo, hi = family.finish()
+    removed = Counter()
+    for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist()):
+        removed[d] += b - a
+    assert removed == Counter({d: v[1] for d, v in repeats(enumerate(TEXTS)).items() if v[1]})
+
+
+# decontamination
+
+
+def test_contamination(spark, docs, empty):
+    items = [(7, LINE), (70, " ".join(LINE.split()[5:20])), (8, "ñ"), (9, None), (10, ""), (11, prose(50)), (12, "A b C"), (7, LINE)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    windows: dict[tuple, set] = {}
+    for i, t in items:
+        w = word(lower(t))
+        m = min(10, len(w))
+        for k in range(len(w) - m + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + m]), set()).add(str(i))
+    sizes = sorted({len(w) for w in windows})
+    want = {}
+    for d, t in enumerate(TEXTS):
+        w = word(lower(t))
+        hit, ids = set(), set()
+        for k in range(len(w)):
+            for m in sizes:
+                if k + m <= len(w) and tuple(w[k : k + m]) in windows:
+                    ids |= windows[tuple(w[k : k + m])]
+                    hit |= set(range(k, k + m))
+        want[d] = (len(w), len(hit), sorted(ids))
+    for block in (16 << 20, 200):  # in one block, and block by block
+        found = decontaminate.find_contamination(docs, bench, block_bytes=block)
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in found.collect()} == want
+    assert sum(bool(v[1]) for v in want.values()) > 30
+    assert decontaminate.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontaminate.find_contamination(empty, bench).count() == 0
+    left = decontaminate.remove_contamination(docs, bench)
+    assert left.columns == docs.columns and not [r for r in left.collect() if LINE in (r["text"] or "")]
+    clean = {d for d, v in want.items() if not v[1]}
+    assert {(r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] in clean} == {(d, TEXTS[d]) for d in clean}
+
+
+def test_fm_index_finds_all(spark):
+    rng = np.random.default_rng(3)
+    symbols = np.append(rng.integers(0, 5, 400), 0)  # runs end with a separator
+    index = decontaminate.FMIndex(symbols, 4)
+    padded = np.array([[a, b, c] for a in range(1, 5) for b in range(1, 5) for c in range(5)])
+    lengths = (padded > 0).sum(1)
+    low, high = index.search(padded, lengths)
+    for p, m, a, b in zip(padded.tolist(), lengths.tolist(), low.tolist(), high.tolist()):
+        want = [i for i in range(len(symbols) - m + 1) if symbols[i : i + m].tolist() == p[:m]]
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+# Hamming search
+
+
+@pytest.mark.parametrize("rows, dims", [(900, 64), (60, 64), (300, 8)])
+def test_nearest_codes(spark, rows, dims):
+    rng = np.random.default_rng(rows)
+    base = rng.standard_normal((rows, dims))
+    base[rows // 3 : 2 * rows // 3] = base[0]  # a third of all rows alike
+    data = [(int(i), [float(x) for x in v], "other") for i, v in enumerate(base)] + [(rows, None, "x"), (rows + 50, [], "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, distance string").repartition(4)
+    code = {i: sum(1 << k for k in range(64) if k < len(v) and v[k] > 0) for i, v, _ in data if v is not None}
+    want = set()
+    for q in [i for i in code if i % 50 == 0]:
+        near = sorted(((code[q] ^ code[i]).bit_count(), i) for i in code if i != q)[:10]
+        want |= {(q, n + 1, i, d) for n, (d, i) in enumerate(near)}
+    assert {tuple(r) for r in hamming.top_k(df).collect()} == want
+    assert hamming.top_k(df.limit(0)).count() == 0
+
+
+# SimHash
+
+
+def plain_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    shingles = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in h) * 2 > len(h))
+
+
+def closure(fps, reach):
+    label = {f: f for f in fps}
+
+    def root(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    order = sorted(fps)
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            if (a ^ b).bit_count() <= reach:
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return {f: root(f) for f in fps}
+
+
+def test_near_duplicates(docs, empty):
+    fp = {i: plain_fingerprint(t) for i, t in enumerate(TEXTS)}
+    roots = closure(set(fp.values()), 4)
+    least: dict[int, int] = {}
+    for i, f in sorted(fp.items(), reverse=True):
+        least[roots[f]] = i
+    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f, least[roots[f]]) for i, f in fp.items()}
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_one(docs.union(docs))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
+
+
+def test_links_of_close_codes(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    codes = set(base.tolist())
+    for b in base.tolist():
+        for _ in range(6):
+            b ^= sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 6), replace=False))
+            codes.add(b)
+    df = spark.createDataFrame([(c - 2**64 if c >= 2**63 else c,) for c in codes], "fp long")
+    links = simhash.near_links(df)
+    assert links.filter("bit_count(a ^ b) > 4").count() == 0
+    found = {r["node"] % 2**64: r["label"] for r in simhash.components(links).collect()}
+    want = closure(codes, 4)
+    for a in codes:
+        same = {b for b in codes if want[b] == want[a]}
+        assert ({b for b in found if found[b] == found[a]} == same) if len(same) > 1 else a not in found
+
+
+# tokens
+
+
+def test_bpe(docs, empty):
+    ranks = bpe.read_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: enc.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(docs, RANKS).select("doc_id", "ids").collect()} == want
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.round_trip(docs, RANKS).collect()}
+    assert got == {i: (len(x), sha(",".join(map(str, x))), sha(TEXTS[i] or "")) for i, x in want.items()}
+    assert bpe.round_trip(empty, RANKS).count() == 0
+
+
+def test_replay_defers_to_lower_ranks():
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 290, b"cb": 310, b"abcb": 280}
+    enc = tiktoken.Encoding("own", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(random.choices("abc", k=random.randint(1, 12))) for _ in range(300)]
+    ids, sizes = bpe.replay([w.encode() for w in words], bpe.Ranks(ranks))
+    ends = np.cumsum(sizes)
+    assert [ids[e - s : e].tolist() for s, e in zip(sizes, ends)] == [enc.encode_ordinary(w) for w in words]
+
+
+def test_split_is_the_pattern():
+    import regex
+
+    texts = [t or "" for t in TEXTS] + ["".join(random.choices("ab1 \n\t's're日😀½.!\u0085 ́", k=random.randint(1, 60))) for _ in range(400)]
+    flat, offsets = common.flat_text(pa.array(texts))
+    first, rows = pretokens.split(flat, offsets)
+    raw, ends = flat.tobytes(), np.append(first[1:], len(flat))
+    got = [[] for _ in texts]
+    for a, b, r in zip(first.tolist(), ends.tolist(), rows.tolist()):
+        got[r].append(raw[a:b].decode())
+    assert got == [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
+
+
+def test_token_counts(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    want = {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
+    rows = token_counts.count_tokens(docs, path).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows} == {i: (len((t or "").encode()), want[i], want[i] > 512) for i, t in enumerate(TEXTS)}
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+# language
+
+
+def test_language(spark, docs, empty):
+    de = "der die und nicht ein ich auf mit sich auch dem den von ist".split()
+    rows = [(i, " ".join(random.choices(de if i % 2 else "the of and that with for was his they".split(), k=random.randint(3, 80))), "de" if i % 2 else "en", "x") for i in range(300)]
+    rows += [(1000, None, "de", "x"), (1001, "123 !!", "de", "x"), (1002, "", None, "x"), (1003, "ß", None, "x"), (1003, "ß", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").repartition(3)
+    f = language.fit(df)
+    got = language.identify(df, f)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    told = {r["doc_id"]: r for r in got.collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert held and np.mean([told[i]["lang_pred"] == told[i]["lang"] for i in held]) > 0.98
+    assert all(told[i]["lang_pred"] == "und" and told[i]["score"] == 0 for i in (1000, 1001, 1002)) and told[1003]["lang_pred"] in ("de", "en")
+    assert all(0 <= r["score"] <= 1 for r in told.values()) and got.count() == len(rows)
+    assert language.identify(empty, language.fit(empty)).count() == 0
+    assert {r["lang_pred"] for r in language.identify(docs, language.fit(empty)).collect()} == {"und"}
+    assert {r["doc_id"] for r in language.keep_known(docs).collect()} == {i for i, t in enumerate(TEXTS) if re.search(r"[^\W\d_]", t or "")}
+
+
+# personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum((int(x) * 2 - 9 if int(x) > 4 else int(x) * 2) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    out = []
+    for o, (k, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[k]:
+                out.append((m.start(), o, k, m.end()))
+    return sorted(out)
+
+
+def test_personal_data(spark, empty):
+    bits = ["a", "@", ".", "b.com", "+1", "1", "23", "456", "-", " ", "é", "😀", "_", "%", "4111111111111111", "1.2.3.4", "(", ")", "255", "IBAN DE89370400440532013000"]
+    texts = TEXTS + ["".join(random.choices(bits, k=random.randint(1, 40))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, pii string")
+    for r in pii.find_personal_data(df).collect():
+        want = base_spans(texts[r["doc_id"]])
+        listed = [f"{k}:{a}:{b}" for a, _, k, b in want]
+        assert r["base_sha256"] == sha(",".join(listed)) and [r[f"n_{k}"] for k in BASE] == [sum(x[2] == k for x in want) for k in BASE]
+        assert set(listed) <= set(filter(None, r["spans"].split(","))) and all(0 < s <= 1 for s in r["scores"])
+    assert pii.find_personal_data(empty).count() == 0
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(pii.find_personal_data(df)._jdf.queryExecution(), "simple")
+    assert "Python" not in plan and "Arrow" not in plan
+    clean = pii.redact(df)
+    assert clean.columns == df.columns
+    for r in clean.collect():
+        t = texts[r["doc_id"]]
+        assert r["text"] == t if not base_spans(t) and "DE89" not in (t or "") and "+1" not in (t or "") and "4111" not in (t or "") else r["text"] != t or not base_spans(t)
+
+
+def test_checksums(spark):
+    r = spark.range(1).select(pii.luhn(F.lit("4111111111111111")), pii.luhn(F.lit("4111111111111112")), pii.mod97(F.lit("DE89370400440532013000")), pii.mod97(F.lit("DE88370400440532013000"))).first()
+    assert tuple(r) == (True, False, True, False)
+
+
+# language model
+
+
+def test_scores(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 40)  # so that some words are joined
+    rows = lm.score_documents(docs).collect()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]
+    c = Counter(w for i, t in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 10 for w in words(t))
+    n, v = sum(c.values()), len(c)
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(TEXTS)))
+    for r in rows:
+        w = words(TEXTS[r["doc_id"]])
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0, len(w), sum(c[x] > 0 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) and r["score"] < 0
+    assert lm.score_documents(empty).count() == 0
+
+
+def test_network_learns_and_sums_to_one():
+    rng = np.random.default_rng(2)
+    texts = [np.array([*np.tile([2, 3, 4], int(rng.integers(2, 9))), 0]) for _ in range(60)]
+    net = gru.Network.fresh(np.bincount(np.concatenate(texts), minlength=6).astype(float), 3, 2, 8)
+    flat, at = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    before = net.score(flat, at).sum()
+    for _ in range(6):
+        net.train(texts, streams=8, rate=0.03)
+    assert net.score(flat, at).sum() > before / 2
+    h = rng.standard_normal((5, 8)).astype(np.float32)
+    total = sum(np.exp(net.log_probabilities(h, np.full(5, w))[0]) for w in range(6))
+    assert np.allclose(total, 1, atol=1e-5)
+    whole = net.score(flat, at, window=32)
+    assert np.allclose(whole, net.score(flat, at, window=5), atol=1e-3)  # the state is carried
