@@ -38,6 +38,14 @@ def _(v):
     return towns.join(points, "station_id").select("station_id", "name", c("operator_id").alias("operator"), c("plug_code").alias("plug")).distinct()
 
 
+@query("q02_multiway", "select distinct s.station_id, s.name, n.n_name as canton, l.plug_code as plug from {fx_station} s, {fx_point} p, {fx_point_plug} l, {nation} n where p.station_id = s.station_id and p.is_active and l.evse_id = p.evse_id and l.plug_code = 'CHADEMO' and n.n_name = s.canton_code and n.n_regionkey = 2")
+def _(v):
+    cantons = v.nation.filter("n_regionkey = 2").select(c("n_name").alias("canton"))
+    towns = v.fx_station.join(cantons, c("canton") == c("canton_code")).select("station_id", "name", "canton")
+    points = v.fx_point.filter("is_active").select("station_id", "evse_id").join(v.fx_point_plug.filter("plug_code = 'CHADEMO'"), "evse_id")
+    return towns.join(points, "station_id").select("station_id", "name", "canton", c("plug_code").alias("plug")).distinct()
+
+
 @query("q03_canton_totals", "select canton_code, count(distinct station_id) as stations, count(*) as points, cast(round(sum(power_kw)) as bigint) as total_kw from {fx_point} where is_active group by 1")
 def _(v):
     station = v.fx_point.filter("is_active").groupBy("canton_code", "station_id").agg(F.count(F.lit(1)).alias("n"), F.sum("power_kw").alias("kw"))
@@ -66,6 +74,13 @@ def _(v):
     return hours.withColumn("place", place).filter("place <= 3").select("power_class", "hour_local", F.round("o", 4).alias("occupancy"), "place")
 
 
+@query("q05_rank_top3", "select canton_code, h as hour_local, cast(r as int) as place from (select *, rank() over (partition by canton_code order by round(o, 9) desc nulls last) as r from (select canton_code, h, sum(avg_occupied) / nullif(sum(avg_available + avg_occupied), 0) as o from {occ_local} group by 1, 2) x) y where r <= 3")
+def _(v):
+    hours = occupancy(v).groupBy("canton_code", X.local_hour(c("hour_utc")).alias("hour_local")).agg(ratio().alias("o"))
+    place = F.rank().over(Window.partitionBy("canton_code").orderBy(F.desc_nulls_last(F.round("o", 9))))
+    return hours.withColumn("place", place).filter("place <= 3").select("canton_code", "hour_local", "place")
+
+
 _FITS = "select vehicle_id, brand, model from {fx_vehicle} v where dc_max_kw is not null and not exists (select 1 from (select p.evse_id from {fx_point} p where p.station_id = 8 and p.is_active and p.power_class = 'DC') e where not exists (select 1 from {fx_point_plug} a join {fx_vehicle_plug} b on b.plug_code = a.plug_code where a.evse_id = e.evse_id and b.vehicle_id = v.vehicle_id))"
 
 
