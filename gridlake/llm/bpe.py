@@ -21,10 +21,10 @@ from .common import chunks, ragged
 from .pretokens import numbered
 
 #: Pre-tokens whose ids a worker remembers; beyond that it starts over.
-KEPT = 600_000
+KEPT = 300_000
 
 #: Bytes of text for one run.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -19,12 +19,15 @@ _CLASS: list[np.ndarray] = []
 def code_classes() -> np.ndarray:
     """The class of every code point."""
     if not _CLASS:
-        points = [*range(0xD800), *range(0xE000, 0x110000)]
-        text = "".join(map(chr, points))
         out = np.full(0x110000, OTHER, np.uint8)
-        for kind, want in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
-            found = "".join(regex.findall(want, text))
-            out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        kinds = [(kind, regex.compile(want)) for kind, want in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}"))]
+        for block in range(0, 0x110000, 0x800):
+            if 0xD800 <= block < 0xE000:
+                continue  # no characters of their own
+            text = "".join(map(chr, range(block, block + 0x800)))
+            for kind, want in kinds:
+                found = "".join(want.findall(text))
+                out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
         _CLASS.append(out)
     return _CLASS[0]
 

@@ -20,10 +20,10 @@ from .common import chunks, ragged
 from .pretokens import numbered
 
 #: Pre-tokens whose counts a worker remembers; beyond that it starts over.
-KEPT = 1_000_000
+KEPT = 600_000
 
 #: Bytes of text for one run.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 NEVER = np.int64(2**62)
 
