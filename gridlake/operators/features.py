@@ -144,23 +144,24 @@ def calibration_table(df: DataFrame, y: str, p: str, bins: int = 10, by: list[st
 def classification_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None, bins: int = 10) -> DataFrame:
     """brier, logloss, auc, base_rate, n and ece by groups, with p held within 1e-4 of 0 and 1.
 
-    The exact AUC comes from rank sums with ties shared: rows are first reduced to one for each group and p, so the
-    running count runs over distinct scores; its window is by group, bounded by them.
+    One pass: rows are reduced to one for each group and score, these to bins, and the bins to groups. The exact AUC
+    comes from rank sums with ties shared; the running count behind it is over the distinct scores of a group.
     """
     by = by or []
-    own = df.withColumn("_p", F.greatest(F.least(c(p), F.lit(1 - 1e-4)), F.lit(1e-4)))
-    sums = own.groupBy(*by).agg(
-        F.avg(F.pow(c("_p") - c(y), 2)).alias("brier"), F.avg(-(c(y) * F.log("_p") + (1 - c(y)) * F.log(1 - c("_p")))).alias("logloss"), F.avg(y).alias("base_rate"), F.count(F.lit(1)).alias("n")
-    )
-    score = own.groupBy(*by, "_p").agg(F.sum(y).alias("_y"), F.count(F.lit(1)).alias("_n"))
+    held = F.greatest(F.least(c(p), F.lit(1 - 1e-4)), F.lit(1e-4))
+    score = df.groupBy(*by, held.alias("_p")).agg(F.sum(y).alias("_y"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ranked = score.withColumn("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (c("_n") + 1) / 2)
-    pos, all_ = F.sum("_y"), F.sum("_n")
-    auc = ranked.groupBy(*by).agg(((F.sum(c("_r") * c("_y")) - pos * (pos + 1) / 2) / F.nullif(pos * (all_ - pos), F.lit(0))).alias("auc"))
-    cal = calibration_table(own, y, "_p", bins, by).groupBy(*by).agg((F.sum(c("n") * F.abs(c("p_mean") - c("y_mean"))) / F.sum("n")).alias("ece"))
-    if by:
-        return sums.join(auc, by).join(cal, by)
-    return sums.join(F.broadcast(auc)).join(F.broadcast(cal))
+    no = c("_n") - c("_y")
+    binned = ranked.groupBy(*by, bins_of(c("_p"), bins).alias("_bin")).agg(
+        F.sum("_n").alias("_n"), F.sum("_y").alias("_y"), F.sum(c("_n") * c("_p")).alias("_s"), F.sum(c("_r") * c("_y")).alias("_ry"),
+        F.sum(c("_y") * F.pow(c("_p") - 1, 2) + no * F.pow("_p", 2)).alias("_b"), F.sum(-(c("_y") * F.log("_p") + no * F.log(1 - c("_p")))).alias("_l"),
+    )
+    n, pos = F.sum("_n"), F.sum("_y")
+    return binned.groupBy(*by).agg(
+        (F.sum("_b") / n).alias("brier"), (F.sum("_l") / n).alias("logloss"), ((F.sum("_ry") - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0))).alias("auc"),
+        (pos / n).alias("base_rate"), n.alias("n"), (F.sum(F.abs(c("_s") - c("_y"))) / n).alias("ece"),
+    )
 
 
 def select_model(scores: DataFrame) -> DataFrame:
