@@ -14,13 +14,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, ragged
 from .pretokens import numbered
 
-#: Pre-tokens whose ids a worker remembers; beyond that it starts over.
+#: Pre-tokens whose ids a worker remembers; beyond that it forgets the later half.
 KEPT = 300_000
 
 #: Bytes of text for one run.
@@ -120,16 +121,18 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = Ranks(ranks)
-        self.clear()
-
-    def clear(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def shorten(self, keep: int) -> None:
+        """Forget all but the pre-tokens seen first, among which the frequent ones are."""
+        self.seen = dict(islice(self.seen.items(), keep))
+        self.ids, self.at = self.ids[: self.at[keep]].copy(), self.at[: keep + 1].copy()
+
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the rows' offsets."""
         if len(self.seen) > KEPT:
-            self.clear()
+            self.shorten(KEPT // 2)
         done = len(self.seen)
         word, counts = numbered(flat, offsets, self.seen)
         if len(self.seen) > done:
@@ -166,43 +169,68 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", into: str = "id
     return docs.select(kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` array<int>"]))
 
 
+class Decoder:
+    """Bytes of ids, from one flat table of all tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = sorted(ranks, key=ranks.get)
+        number = np.array([ranks[t] for t in tokens], np.int64)
+        length = np.array([len(t) for t in tokens], np.int64)
+        self.size = np.zeros(int(number.max()) + 1, np.int64)
+        self.size[number] = length
+        self.begin = np.zeros_like(self.size)
+        self.begin[number] = np.cumsum(length) - length
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The rows' bytes; offsets are those of the rows' ids."""
+        ids = ids.astype(np.int64)
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))[offsets]
+        data = self.flat[ragged(self.begin[ids], size)] if len(ids) else np.zeros(0, np.uint8)
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """encoded's columns and `into`, the bytes (binary) that the ids stand for. Null or no ids: no bytes."""
     kept = [c for c in encoded.columns if c != into]
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
 
     def run(batches):
-        ranks = read_ranks(ranks_path)
-        tokens = sorted(ranks, key=ranks.get)
-        number = np.array([ranks[t] for t in tokens], np.int64)
-        size = np.zeros(int(number.max()) + 1, np.int64)
-        size[number] = [len(t) for t in tokens]
-        begin = np.zeros_like(size)
-        begin[number] = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))[:-1]
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        decoder = Decoder(read_ranks(ranks_path))
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             for a in range(0, len(batch), 256):
                 part = lists.slice(a, 256)
-                got = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = np.array([0 if x is None else x for x in _lengths(part)], np.int64)
-                ends = np.concatenate(([0], np.cumsum(size[got])))[np.concatenate(([0], np.cumsum(counts)))]
-                data = flat[ragged(begin[got], size[got])] if len(got) else np.zeros(0, np.uint8)
-                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))))
+                out = decoder.decode(part.flatten().to_numpy(zero_copy_only=False), at)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, 256) for c in kept], out], names=[*kept, into])
 
     return encoded.select(kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` binary"]))
 
 
-def _lengths(lists: pa.Array) -> list[int | None]:
-    import pyarrow.compute as pc
+def encode_and_decode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
+    """docs' columns, `ids` and `decoded`: as encode and then decode, in one worker instead of two."""
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def run(batches):
+        encoder = _ENCODERS.get(ranks_path)
+        if encoder is None:
+            encoder = _ENCODERS[ranks_path] = Encoder(read_ranks(ranks_path))
+        decoder = Decoder(encoder.ranks.ranks)
+        for batch in batches:
+            for part, flat, offsets in chunks(batch, text, RUN_BYTES):
+                ids, at = encoder.encode(flat, offsets)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, decoder.decode(ids, at)], names=[*kept, "ids", "decoded"])
 
-    return pc.list_value_length(lists).to_pylist()
+    return docs.select(kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "ids array<int>, decoded binary"]))
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks_path).select("doc_id", "ids"), ranks_path)
+    both = encode_and_decode(docs.select("doc_id", "text"), ranks_path).select("doc_id", "ids", "decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import chunks, ragged
 from .pretokens import numbered
 
-#: Pre-tokens whose counts a worker remembers; beyond that it starts over.
+#: Pre-tokens whose counts a worker remembers; beyond that it forgets the later half.
 KEPT = 600_000
 
 #: Bytes of text for one run.
@@ -92,16 +92,13 @@ class Counter:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.special = regex.compile(b"|".join(regex.escape(s.encode()) for s in sorted(self.merges.special, key=len, reverse=True))) if self.merges.special else None
-        self.clear()
-
-    def clear(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.sizes = np.zeros(0, np.int64)
 
     def count(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each row of text."""
-        if len(self.seen) > KEPT:
-            self.clear()
+        if len(self.seen) > KEPT:  # forget all but those seen first, among which the frequent ones are
+            self.seen, self.sizes = dict(islice(self.seen.items(), KEPT // 2)), self.sizes[: KEPT // 2].copy()
         n = len(offsets) - 1
         extra, of = np.zeros(n, np.int64), np.arange(n)
         if self.special is not None and (found := [m.span() for m in self.special.finditer(flat.tobytes())]):

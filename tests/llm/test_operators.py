@@ -262,6 +262,8 @@ def test_bpe(docs, empty):
     got = {r["doc_id"]: tuple(r)[1:] for r in bpe.round_trip(docs, RANKS).collect()}
     assert got == {i: (len(x), sha(",".join(map(str, x))), sha(TEXTS[i] or "")) for i, x in want.items()}
     assert bpe.round_trip(empty, RANKS).count() == 0
+    back = bpe.decode(bpe.encode(docs, RANKS), RANKS).select("doc_id", "decoded", "score").collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in back} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
 def test_replay_defers_to_lower_ranks():
