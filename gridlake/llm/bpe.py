@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ragged
+from .common import chunks, mapped, ragged
 from .pretokens import numbered
 
 #: Pre-tokens whose ids a worker remembers; beyond that it forgets the later half.
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", into: str = "id
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, into])
 
-    return docs.select(kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` array<int>"]))
+    return docs.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` array<int>"]))
 
 
 class Decoder:
@@ -206,7 +206,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "d
                 out = decoder.decode(part.flatten().to_numpy(zero_copy_only=False), at)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, 256) for c in kept], out], names=[*kept, into])
 
-    return encoded.select(kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` binary"]))
+    return encoded.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` binary"]))
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
@@ -225,7 +225,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, text: str = "text") -> D
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, decoder.decode(ids, at)], names=[*kept, "ids", "decoded"])
 
-    return docs.select(kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "ids array<int>, decoded binary"]))
+    return docs.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "ids array<int>, decoded binary"]))
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:

@@ -36,6 +36,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a worker gets at a time: documents may be long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, run, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """df.mapInArrow in batches of at most `rows` rows (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(run, schema)
+
+
 def tasks_for(df_count: int, per_task: int, least: int = 12) -> int:
     return max(least, -(-int(df_count) // per_task))
 

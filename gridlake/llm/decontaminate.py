@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, flat_text, prefix_sums, ragged, span_hashes, staged, words_of
+from .common import ALNUM, LOWER, chunks, flat_text, mapped, prefix_sums, ragged, span_hashes, staged, words_of
 
 SAMPLE = 8
 
@@ -281,7 +281,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
                     got = searched(part, flat, offsets, p)
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + [got.column(c) for c in made], names=carried + made)
 
-        found = df.mapInArrow(run, schema)
+        found = df.transform(mapped, run, schema)
         df = found if last else staged(found, "decontaminated")
     return found
 
@@ -309,7 +309,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10) ->
             yield batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type))
 
     hit = (F.col("n_hit") > 0)
-    whole = found.filter((F.col("n_words") > F.col("n_hit")) | ~hit).mapInArrow(run, schema)
+    whole = found.filter((F.col("n_words") > F.col("n_hit")) | ~hit).transform(mapped, run, schema)
     if "n_chars" in columns:
         whole = whole.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return whole.select(columns)

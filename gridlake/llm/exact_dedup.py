@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat_text, mixed, prefix_sums, ragged, span_hashes, staged, tasks_for
+from .common import chunks, flat_text, mapped, mixed, prefix_sums, ragged, span_hashes, staged, tasks_for
 
 WIDTH, KGRAM = 100, 24
 #: Segments of one anchor from which on its windows are dealt one by one.
@@ -347,15 +347,15 @@ def shortened(docs: DataFrame, width: int = WIDTH, without: DataFrame | None = N
     if without is not None:
         texts = texts.join(F.broadcast(without) if without.count() <= SENT_KEYS else without, ["doc", "digest"], "left_anti")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    told = texts.mapInArrow(lambda b: _segments(b, width), TOLD).repartition(tasks_for(size, 32 << 20, 24), "route").mapInArrow(_repeated, REPEATED)
+    told = texts.transform(mapped, lambda b: _segments(b, width), TOLD).repartition(tasks_for(size, 32 << 20, 24), "route").transform(mapped, _repeated, REPEATED)
     told = staged(told, "repeated")
     hot = told.filter((F.col("often") > HOT) & F.col("speaks")).select("anchor").distinct().withColumn("hot", F.lit(True))
     wanted = told.join(hot, "anchor", "left").groupBy("doc", "digest").agg(F.collect_list(F.struct("anchor", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))  # no more than the document's own text has
     held = staged(texts.join(wanted, ["doc", "digest"]), "suspects")
     spread = told.agg(F.sum(F.col("n") + width)).first()[0] or 0
-    found = held.mapInArrow(lambda b: _dealt(b, width), SEGMENT).repartition(tasks_for(spread, FAMILY_BYTES, 24), "route").mapInArrow(lambda b: _family(b, width), SPAN)
+    found = held.transform(mapped, lambda b: _dealt(b, width), SEGMENT).repartition(tasks_for(spread, FAMILY_BYTES, 24), "route").transform(mapped, lambda b: _family(b, width), SPAN)
     spans = staged(found, "spans").groupBy("doc", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return held.select("doc", "digest", "text").join(spans, ["doc", "digest"]).mapInArrow(_kept, "doc long, digest long, n_removed long, n_spans long, kept binary")
+    return held.select("doc", "digest", "text").join(spans, ["doc", "digest"]).transform(mapped, _kept, "doc long, digest long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:

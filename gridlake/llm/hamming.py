@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import mapped, staged
 
 BITS = 64
 
@@ -79,7 +79,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, key: str = "vec_id",
     segments = BITS // width
     for radius in range(width + 1):
         found = (
-            asking.mapInArrow(lambda b, r=radius: _probes(b, width, r), "qid long, qcode long, seg int, value int")
+            asking.transform(mapped, lambda b, r=radius: _probes(b, width, r), "qid long, qcode long, seg int, value int")
             .join(index.hint("merge"), ["seg", "value"])
             .select("qid", "code", "rows", F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
             .distinct()

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, in_test_part, mixed
+from .common import LOWER, chunks, in_test_part, mapped, mixed
 
 #: Bytes of an n-gram; slots of the filter (a power of two) and probes for each n-gram.
 GRAM, SLOTS, PROBES = 4, 1 << 20, 3
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, label: str = "lang") -> Filters:
                     names=["lang", "gram", "n"],
                 )
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.transform(mapped, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))  # one row a language
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
     most = F.max("rate").over(Window.partitionBy("gram"))
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
                 names, score = decide(flat, offsets, f)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(names, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "lang_pred string, score double"]))
+    return docs.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "lang_pred string, score double"]))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, chunks, ragged, staged, tasks_for, words_of
+from .common import LOWER, NOT_SPACE, chunks, mapped, ragged, staged, tasks_for, words_of
 
 #: Variants that a task holds at a time.
 HELD = 1 << 22
@@ -73,7 +73,7 @@ def with_fingerprint(docs: DataFrame, width: int = 4, keep: list[str] | None = N
                 fp = fingerprints(flat, offsets, width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(fp, pa.int64())], names=[*keep, "fp"])
 
-    return docs.select(names).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "fp long"]))
+    return docs.select(names).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "fp long"]))
 
 
 def _flips(bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +171,8 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None) ->
                 yield pa.RecordBatch.from_arrays([pa.array(fps[a:b][pairs[:, k]].view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
     tasks = min(1 << lead, tasks_for(count * 37, 1 << 20, 24))
-    routed = distinct.select("fp").mapInArrow(emit, "route int, fp long, left int").repartition(tasks, "route")
-    return routed.mapInArrow(link, "a long, b long").distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
+    routed = distinct.select("fp").transform(mapped, emit, "route int, fp long, left int").repartition(tasks, "route")
+    return routed.transform(mapped, link, "a long, b long").distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
 
 
 def components(links: DataFrame) -> DataFrame:
