@@ -39,6 +39,15 @@ def within_radius(asking: DataFrame, places: DataFrame, radius_km: float, north:
     return pairs.withColumn("distance_km", haversine_km(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon"))).filter(F.col("distance_km") <= radius_km)
 
 
+#: Requests that a task joins with the places around them: each meets up to thousands.
+PER_TASK = 2000
+
+
+def spread(asked: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """asked dealt to as many tasks as its requests need; by its bytes the table would go to one."""
+    return asked.repartition(max(12, -(-requests.count() // PER_TASK)), key)
+
+
 #: Fixed value: plugs that need the driver's own cable.
 OWN_CABLE = ("TYPE2_SOCKET",)
 
@@ -50,15 +59,16 @@ def compatible_points(requests: DataFrame, points: DataFrame, plugs: DataFrame,
     with an own cable. A point that matches by several plugs is one row.
     """
     asked = requests.select("request_id", "vehicle_id", F.col("lat").alias("alat"), F.col("lon").alias("alon"))
-    active = points.filter("is_active").select("evse_id", "station_id", "lat", "lon", "power_class", "power_kw")
-    near = within_radius(asked, active, radius_km).join(vehicles.select("vehicle_id", "ac_max_kw", "dc_max_kw"), "vehicle_id")
-    near = near.filter((F.col("power_class") == "AC") | F.col("dc_max_kw").isNotNull())
-    usable = plugs.select("evse_id", "plug_code") if own_cable else plugs.select("evse_id", "plug_code").filter(~F.col("plug_code").isin(*OWN_CABLE))
-    shared = near.join(usable, "evse_id").join(vehicle_plugs.select("vehicle_id", "plug_code"), ["vehicle_id", "plug_code"])
+    plugs = plugs if own_cable else plugs.filter(~F.col("plug_code").isin(*OWN_CABLE))
+    # plugs travel as one short list a point and a vehicle, so that the pairs need no grouping
+    taken = vehicle_plugs.groupBy("vehicle_id").agg(F.collect_set("plug_code").alias("_taken"))
+    asked = asked.join(vehicles.select("vehicle_id", "ac_max_kw", "dc_max_kw").join(taken, "vehicle_id"), "vehicle_id")
+    offered = plugs.groupBy("evse_id").agg(F.collect_set("plug_code").alias("_offered"))
+    active = points.filter("is_active").select("evse_id", "station_id", "lat", "lon", "power_class", "power_kw").join(offered, "evse_id")
+    near = within_radius(spread(asked, requests), active, radius_km).filter((F.col("power_class") == "AC") | F.col("dc_max_kw").isNotNull()).filter(F.arrays_overlap("_offered", "_taken"))
     kw = effective_power(F.col("power_kw"), F.col("power_class"), F.col("ac_max_kw"), F.col("dc_max_kw"))
-    return shared.groupBy("request_id", "evse_id").agg(
-        F.first("station_id").alias("station_id"), F.first("distance_km").alias("distance_km"), F.array_sort(F.collect_set("plug_code")).alias("plug_codes"), F.first("power_class").alias("power_class"), F.first("power_kw").alias("power_kw"), F.first(kw).alias("effective_kw")
-    )
+    shared = F.array_sort(F.array_intersect("_offered", "_taken"))
+    return near.select("request_id", "evse_id", "station_id", "distance_km", shared.alias("plug_codes"), "power_class", "power_kw", kw.alias("effective_kw"))
 
 
 def resolve_canton(places: DataFrame, localities: DataFrame, key: str = "station_id") -> DataFrame:
