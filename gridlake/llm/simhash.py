@@ -210,11 +210,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFram
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key(docs: DataFrame):
+    """A text that tells rows apart by doc_id, text and all other columns that can be hashed; equal rows have equal keys."""
+    others = [f"`{f.name}`" for f in docs.schema.fields if f.name not in ("doc_id", "text") and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    rest = F.xxhash64(*others).cast("string") if others else F.lit("")
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.md5("text"), F.lit("-")), rest)
+
+
 def keep_one(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFrame:
-    """docs without all but one document of each component: the one with the least doc_id, whole and with all its columns.
+    """docs without all but one row of each component: the one with the least doc_id (null last), whole and with all its columns.
 
-    Rows with equal doc_id are one document and leave one row. Null ids are one document too.
+    A component is one of fingerprints: a row without an id, or with the id of another row, goes only if a row of its component
+    stays. Of rows with the least id the least by fingerprint and row key stays, and of equal rows one.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key")
-    chosen = near_duplicates(docs, width, reach).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.select("*", key).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    keyed = docs.select("doc_id", "text", row_key(docs).alias("_key"))
+    rows = with_fingerprint(keyed, width, ["doc_id", "_key"])
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_key")).alias("place")
+    distinct = staged(rows.groupBy("fp").agg(place), "distinct")
+    labels = components(near_links(distinct, reach)).withColumnRenamed("node", "fp")
+    first = distinct.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("component")).agg(F.min("place").alias("place"))
+    chosen = first.select(F.col("place._key").alias("_key"))
+    return docs.select("*", row_key(docs).alias("_key")).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
