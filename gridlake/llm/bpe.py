@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, ragged
+from .common import chunks, mapped, ragged, schema_with
 from .pretokens import numbered
 
 #: Pre-tokens whose ids a worker remembers; beyond that it forgets the later half.
@@ -154,7 +154,6 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", into: str = "id
     Null text has no ids. A column named `into` is replaced. ranks_path is read by the tasks: it lies in an installed package.
     """
     kept = [c for c in docs.columns if c != into]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
         encoder = _ENCODERS.get(ranks_path)
@@ -166,7 +165,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", into: str = "id
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, into])
 
-    return docs.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` array<int>"]))
+    return docs.select([F.col(f"`{c}`") for c in kept]).transform(mapped, run, schema_with(docs, kept, f"`{into}` array<int>"))
 
 
 class Decoder:
@@ -194,7 +193,6 @@ class Decoder:
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """encoded's columns and `into`, the bytes (binary) that the ids stand for. Null or no ids: no bytes."""
     kept = [c for c in encoded.columns if c != into]
-    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
 
     def run(batches):
         decoder = Decoder(read_ranks(ranks_path))
@@ -206,13 +204,16 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "d
                 out = decoder.decode(part.flatten().to_numpy(zero_copy_only=False), at)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, 256) for c in kept], out], names=[*kept, into])
 
-    return encoded.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{into}` binary"]))
+    return encoded.select([F.col(f"`{c}`") for c in kept]).transform(mapped, run, schema_with(encoded, kept, f"`{into}` binary"))
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """docs' columns, `ids` and `decoded`: as encode and then decode, in one worker instead of two."""
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    """docs' columns, `ids` and `decoded`: as encode and then decode, in one worker instead of two.
+
+    Null and empty texts have no ids and no bytes; no rows: no rows; equal rows are each encoded; a text is encoded whole. A column of
+    docs named ids or decoded (in any case) is not carried.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
 
     def run(batches):
         encoder = _ENCODERS.get(ranks_path)
@@ -225,11 +226,15 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, text: str = "text") -> D
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, decoder.decode(ids, at)], names=[*kept, "ids", "decoded"])
 
-    return docs.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "ids array<int>, decoded binary"]))
+    return docs.select([F.col(f"`{c}`") for c in kept]).transform(mapped, run, schema_with(docs, kept, "ids array<int>, decoded binary"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row.
+
+    Null text is empty: no tokens, the digests of nothing. Equal rows are each reported; no rows: no rows; only doc_id and text are
+    read. A text is encoded whole, however long; memory grows with the longest.
+    """
     both = encode_and_decode(docs.select("doc_id", "text"), ranks_path).select("doc_id", "ids", "decoded")
     return both.select(
         "doc_id",

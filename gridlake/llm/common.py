@@ -8,8 +8,9 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a task works on at a time; numpy needs some tens of bytes for each.
 CHUNK_BYTES = 1 << 20
@@ -20,29 +21,78 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on a local master only."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps restart from the table, not from df's lineage."""
+    """Write df to the shared folder and read it back: later steps restart from the table, not from df's lineage.
+
+    Tables of one application lie together, in a folder named by its id, which may go when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, own: list[str], **made: Column) -> DataFrame:
+    """The columns `own` of docs, those made from docs, and all other columns of docs in one struct, `_rest`.
+
+    So no name that an operator makes can meet a name of the user's; `put_back` undoes it.
+    """
+    others = [c for c in docs.columns if c not in own]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")] if others else []
+    return docs.select(*own, *rest, *[c.alias(name) for name, c in made.items()])
+
+
+def put_back(df: DataFrame, columns: list[str], own: list[str]) -> list[Column]:
+    """The user's columns in their order, from a frame that `aside` has made or one that comes of it."""
+    return [F.col(c) if c in own else F.col(f"_rest.`{c}`").alias(c) for c in columns]
+
+
+def schema_with(df: DataFrame, kept: list[str], more: str) -> StructType:
+    """The fields `kept` of df and those of a list of names and types."""
+    return StructType([df.schema[c] for c in kept] + StructType.fromDDL(more).fields)
+
+
+def least_hashed(rows: DataFrame, n: int, by: str) -> DataFrame:
+    """The rows whose hash of column `by` is among the n least, with the hash as `_h`: a sample that has n rows where there are
+    so many, however large the table is.
+
+    First the share of hashes that should hold 4 n rows is looked at, and more until it does hold n, so that no task sorts more.
+    """
+    rows = rows.withColumn("_h", F.xxhash64(by))
+    total = rows.count()
+    if total <= n:
+        return rows
+    share = 4 * n / total
+    while share < 1:
+        low = rows.filter(F.col("_h") <= int(share * 2.0**64) - 2**63)
+        if low.count() >= n:
+            break
+        share *= 64
+    else:
+        low = rows
+    edge = low.select("_h").orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return rows.filter(F.col("_h") <= edge)
+
+
 #: Rows that a worker gets at a time: documents may be long, and a batch is held on both sides.
 BATCH_ROWS = 1000
 
 
-def mapped(df: DataFrame, run, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """df.mapInArrow in batches of at most `rows` rows (a setting of the session)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_ROWS rows: a session that allows larger ones is set to that, once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 

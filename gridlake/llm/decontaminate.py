@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, flat_text, mapped, prefix_sums, ragged, span_hashes, staged, words_of
+from .common import ALNUM, LOWER, aside, chunks, flat_text, mapped, prefix_sums, put_back, ragged, schema_with, span_hashes, staged, words_of
 
 SAMPLE = 8
 
@@ -248,13 +248,40 @@ def searched(part: pa.RecordBatch, flat: np.ndarray, offsets: np.ndarray, p: Phr
     )
 
 
-def item_blocks(items: DataFrame, block_bytes: int):
-    """The test items, the stated query set, in blocks of about block_bytes of text."""
-    sized = items.select("item_id", "text")
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _pieces(batches, piece_bytes: int, window: int):
+    """Items in pieces of at most about piece_bytes that share window - 1 words with the one before."""
+    for batch in batches:
+        ids, texts, numbers = [], [], []
+        for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            raw, at, piece = (t or "").encode(), 0, 0
+            flat = LOWER[np.frombuffer(raw, np.uint8)]
+            starts, ends, _ = words_of(flat, np.array([0, len(flat)]), ALNUM)
+            while at < len(starts) or not piece:
+                to = max(at + window, int(np.searchsorted(ends, starts[at] + piece_bytes, side="right"))) if len(starts) else 0
+                to = min(to, len(starts))
+                ids.append(i)
+                texts.append(raw[starts[at] : ends[to - 1]].decode() if to else "")
+                numbers.append(piece)
+                piece += 1
+                at = len(starts) if to >= len(starts) else to - window + 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("item_id").type), pa.array(texts, pa.string()), pa.array(numbers, pa.int64())], names=["item_id", "text", "piece"])
+
+
+def item_blocks(items: DataFrame, block_bytes: int, window: int = 10):
+    """The test items, the stated query set, in blocks of about block_bytes of text: (item_id, text), and whether it is the last.
+
+    An item longer than a block is cut to pieces that overlap by the longest window, so that no block grows with an item or with how
+    often an id repeats. Blocks are dealt by a hash of the piece.
+    """
+    whole = items.select("item_id", "text")
+    total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
+    if n == 1:
+        yield whole.toArrow(), True  # at most block_bytes of text
+        return
+    pieces = staged(whole.transform(mapped, lambda b: _pieces(b, block_bytes, window), schema_with(whole, ["item_id", "text"], "piece long")), "pieces")
     for i in range(n):
-        yield (sized if n == 1 else sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)).toArrow(), i == n - 1
+        yield pieces.filter(F.pmod(F.xxhash64("item_id", "text", "piece"), F.lit(n)) == i).select("item_id", "text").toArrow(), i == n - 1
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
@@ -263,15 +290,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
     items: ids of the items with an occurring window, as strings, sorted; words: the words hit, as ranges; spans: the
     same as merged byte ranges. Blocks of the test items are searched one after the other, each broadcast alone; with more
     than one, what is found is staged between them. Null text has no words; an empty items table hits nothing;
-    equal rows are each reported. A column of docs with the name of a result column is not carried.
+    equal rows are each reported. A column of docs with the name of a result column (in any case) is not carried.
     """
     made = ["n_words", "n_hit", "items", "words", "spans"]
-    carried = [c for c in docs.columns if c not in made]
-    found, df = None, docs.select(carried)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carried] + [x for x in (f"n_words long, n_hit long, items array<string>, words {SPAN}, spans {SPAN}",)])
+    carried = [c for c in docs.columns if c.lower() not in made]
+    found, df = None, docs.select([F.col(f"`{c}`") for c in carried])
+    schema = schema_with(docs, carried, f"n_words long, n_hit long, items array<string>, words {SPAN}, spans {SPAN}")
     sc = docs.sparkSession.sparkContext
-    for block, last in item_blocks(items, block_bytes):
+    for block, last in item_blocks(items, block_bytes, window):
         held = sc.broadcast(phrases_of(block, window))  # at most block_bytes of text
 
         def run(batches, held=held):
@@ -297,9 +323,13 @@ def _cut(text: str | None, spans: list[dict]) -> str | None:
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """docs with the merged spans cut out of text; n_chars, where docs has it, follows. A document left without words goes."""
-    columns = docs.columns
-    found = find_contamination(docs, items, window)
+    """docs with the merged spans cut out of text; n_chars, where docs has it, follows. A document left without words goes.
+
+    All other columns are carried as they are, whatever their names. Null and empty texts stay; equal rows are each cut; no rows,
+    or no items: docs as they are. Long texts are worked on whole.
+    """
+    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    found = find_contamination(aside(docs, own), items, window)
     schema = found.schema
 
     def run(batches):
@@ -308,8 +338,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10) ->
             cut = [_cut(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist())]
             yield batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type))
 
-    hit = (F.col("n_hit") > 0)
+    hit = F.col("n_hit") > 0
     whole = found.filter((F.col("n_words") > F.col("n_hit")) | ~hit).transform(mapped, run, schema)
-    if "n_chars" in columns:
+    if "n_chars" in own:
         whole = whole.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return whole.select(columns)
+    return whole.select(put_back(whole, docs.columns, own))

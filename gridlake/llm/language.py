@@ -15,12 +15,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, in_test_part, mapped, mixed
+from .common import LOWER, aside, chunks, in_test_part, least_hashed, mapped, mixed, put_back, schema_with, staged
 
 #: Bytes of an n-gram; slots of the filter (a power of two) and probes for each n-gram.
 GRAM, SLOTS, PROBES = 4, 1 << 20, 3
 
-#: Labelled documents that the filters are fitted on at most, and n-grams kept for each language.
+#: Parameters of the fit: labelled documents at most, and n-grams kept for each language.
 SAMPLE_DOCS, GRAMS_KEPT = 40_000, 30_000
 
 _LETTER = regex.compile(r"\p{L}")
@@ -29,7 +29,7 @@ _LETTER = regex.compile(r"\p{L}")
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  # uint64 masks
+    slots: np.ndarray  # uint64 masks: a row of SLOTS for every 64 languages
     false_rate: np.ndarray  # of each language
     usual: int  # the most frequent language
 
@@ -56,16 +56,19 @@ def probes(value: np.ndarray):
         yield ((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def fit(docs: DataFrame, label: str = "lang") -> Filters:
-    """Filters from labelled docs outside the held-out part (crc32 of doc_id modulo 4 is 2).
+def sample_of(docs: DataFrame, label: str = "lang", sample: int = SAMPLE_DOCS) -> DataFrame:
+    """lang, text of the labelled documents to learn from: outside the held-out part (crc32 of doc_id modulo 4 is 2), those with
+    the `sample` least hashes of doc_id, all if there are fewer. Of rows that share an id (or have none) one is taken."""
+    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~in_test_part(F.col("doc_id"), 4, 2))
+    chosen = least_hashed(known.select("doc_id", F.col(label).cast("string").alias("lang"), "text"), sample, "doc_id")
+    return chosen.groupBy("_h").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.*")
+
 
-    At most about SAMPLE_DOCS of them are read, chosen by a hash of doc_id; their n-grams are counted by a shuffle. A
-    language's filter gets the GRAMS_KEPT n-grams it has most often, without those more than twice as frequent elsewhere.
+def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE_DOCS, kept: int = GRAMS_KEPT) -> Filters:
+    """Filters from at most `sample` labelled documents (see sample_of), whose n-grams are counted by a shuffle.
+
+    A language's filter gets the `kept` n-grams it has most often, without those more than twice as frequent elsewhere.
     """
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~in_test_part(F.col("doc_id"), 4, 2))
-    total = known.select("doc_id").count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(label).cast("string").alias("lang"), "text")
 
     def count(batches):
         for batch in batches:
@@ -78,25 +81,25 @@ def fit(docs: DataFrame, label: str = "lang") -> Filters:
                     names=["lang", "gram", "n"],
                 )
 
-    counts = sample.transform(mapped, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))  # one row a language
+    counts = sample_of(docs, label, sample).transform(mapped, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "gram-counts")
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
+    languages = sorted(sizes)
+    totals = counts.sparkSession.createDataFrame(list(sizes.items()), "lang string, all long")
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
     most = F.max("rate").over(Window.partitionBy("gram"))
     own = rated.withColumn("most", most).filter("rate * 2 >= most and n > 1")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = own.withColumn("place", place).filter(F.col("place") <= GRAMS_KEPT).select("lang", "gram").toArrow()  # at most GRAMS_KEPT a language
-    sizes = {r["lang"]: r["all"] for r in totals.collect()}
-    languages = sorted(sizes)
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages; a mask holds 64")
-    slots = np.zeros(SLOTS, np.uint64)
-    names = np.array(kept.column("lang").to_pylist(), dtype=object)
-    value = kept.column("gram").to_numpy().astype(np.uint32)
+    best = own.withColumn("place", place).filter(F.col("place") <= kept).select("lang", "gram").toArrow()  # at most `kept` a language
+    slots = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
+    names = np.array(best.column("lang").to_pylist(), dtype=object)
+    value = best.column("gram").to_numpy().astype(np.uint32)
     false_rate = np.zeros(len(languages))
     for i, lang in enumerate(languages):
+        own_slots, bit = slots[i // 64], np.uint64(i % 64)
         for at in probes(value[names == lang]):
-            np.bitwise_or.at(slots, at, np.uint64(1 << i))
-        false_rate[i] = np.mean((slots >> np.uint64(i)) & np.uint64(1)) ** PROBES
+            np.bitwise_or.at(own_slots, at, np.uint64(1) << bit)
+        false_rate[i] = np.mean((own_slots >> bit) & np.uint64(1)) ** PROBES
     usual = max(range(len(languages)), key=lambda i: (sizes[languages[i]], languages[i])) if languages else -1
     return Filters(languages, slots, false_rate, usual)
 
@@ -112,13 +115,13 @@ def decide(flat: np.ndarray, offsets: np.ndarray, f: Filters) -> tuple[list[str]
     if not f.languages:
         return ["und"] * n, np.zeros(n)
     value, rows = grams(flat, offsets)
-    mask = np.full(len(value), np.uint64(2**64 - 1))
+    masks = np.full((len(f.slots), len(value)), np.uint64(2**64 - 1))
     for at in probes(value):
-        mask &= f.slots[at]
+        masks &= f.slots[:, at]
     total = np.maximum(1, np.bincount(rows, minlength=n))
     rest = np.zeros((n, len(f.languages)))
     for i in range(len(f.languages)):
-        found = np.bincount(rows, weights=((mask >> np.uint64(i)) & np.uint64(1)).astype(np.float64), minlength=n)
+        found = np.bincount(rows, weights=((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(np.float64), minlength=n)
         rest[:, i] = np.clip((found / total - f.false_rate[i]) / (1 - f.false_rate[i]), 0, 1)
     best = np.where(rest.max(1) > 0, rest.argmax(1), f.usual)
     score = rest[np.arange(n), best] / np.maximum(rest.sum(1), 1e-12)
@@ -130,11 +133,11 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs' columns, lang_pred and score. `und`, score 0: null text, or no letter, or nothing learned.
 
     A text with letters but no n-gram of any language gets the most frequent language and score 0; on equal shares the
-    first language by name wins. A column of docs with the name of a result is not carried.
+    first language by name wins. A column of docs with the name of a result (in any case) is not carried. Only text is
+    looked at; equal rows are each told; no rows: no rows. A very long text is worked on whole.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kinds = {x.name: x.dataType.simpleString() for x in docs.schema.fields}
-    held = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words of 8 bytes, whatever the input
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words of 8 bytes for every 64 languages
 
     def run(batches):
         f = held.value
@@ -143,10 +146,15 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
                 names, score = decide(flat, offsets, f)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(names, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(kept).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "lang_pred string, score double"]))
+    return docs.select([F.col(f"`{c}`") for c in kept]).transform(mapped, run, schema_with(docs, kept, "lang_pred string, score double"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those that get no language: null texts and texts without a letter."""
-    found = identify(docs, fit(docs.select("doc_id", "text", "lang")))
-    return found.filter(F.col("lang_pred") != "und").select(docs.columns)
+    """docs, with all their columns as they are, without the rows that get no language: null texts, texts without a letter, and
+    texts none of whose n-grams belong to a language beyond the share of false positives (a text too short for an n-gram stays).
+
+    Learns from docs' own lang. Equal rows stay or go together; columns named lang_pred or score are carried; no rows: no rows.
+    """
+    found = identify(aside(docs, ["text"]), fit(docs.select("doc_id", "text", "lang")))
+    strange = (F.col("score") == 0) & (F.octet_length("text") >= GRAM)
+    return found.filter((F.col("lang_pred") != "und") & ~strange).select(put_back(found, docs.columns, ["text"]))

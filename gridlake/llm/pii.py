@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPANS = "array<struct<start:int,end:int,found:string>>"
+from .common import aside, put_back
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ KINDS = (
     Kind("card_number", r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", r"card|visa|master|credit|payment|\bcc\b", 0.6, base=False),
     Kind("phone_number", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", r"tel|phone|call|mobile|fax", 0.6, base=False, needs="+"),
 )
+BASE = [k for k in KINDS if k.base]
 #: Characters before a span in which context words count, and what they add to the score.
 NEARBY, RAISE = 48, 0.2
 
@@ -82,54 +83,68 @@ def confirmed(kind: Kind, found: Column) -> Column:
     return F.lit(True)
 
 
-def located(pieces: Column, matches: Column) -> Column:
-    """start, end (code points) and text of each match."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+#: Elements that a fold works on at a time: a list is copied when something is appended, so lists are built in short blocks.
+BLOCK = 256
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i - 1))
-        match = F.get(matches, i - 1)
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), match.alias("found"))).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(matches)), first, step, lambda acc: acc["out"])
+def running(name: str, join) -> Column:
+    """For each value of the array column `name` (int), all values before it joined; 0 for the first. join: associative, 0 its zero.
+
+    Blocks are folded alone, then the blocks' results, and each block again from what is before it. The array is a column and not an
+    expression, which a lambda would work out again for every element.
+    """
+    values, zero, none = F.col(name), F.lit(0), F.array().cast("array<int>")
+    block = lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK))
+
+    def before(given: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(given, first, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    starts = before(F.transform(blocks, lambda i: F.aggregate(block(i), zero, join)), zero)
+    whole = F.flatten(F.transform(starts, lambda start, i: before(block(i), start)))
+    return F.when(F.size(values) <= BLOCK, before(values, zero)).otherwise(whole)
 
 
 _SCORED = "array<struct<start:int,order:int,kind:string,end:int,score:double>>"
 
 
-def _scored(order: int, kind: Kind, body: Column) -> Column:
-    """The confirmed matches of a kind with their scores."""
+def _scored(order: int, kind: Kind) -> Column:
+    """The confirmed matches of a kind with their scores. Context words count in the piece between the match before and this one."""
 
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substring(body, F.greatest(s["start"] - NEARBY, F.lit(0)) + 1, F.least(s["start"], F.lit(NEARBY))))
-        score = F.when(before.rlike(kind.context), kind.score + RAISE).otherwise(kind.score)
-        return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), score.alias("score"))
+    def told(x: Column, at: Column) -> Column:
+        piece, match = x["piece"], x["match"]
+        start = at + F.length(piece)
+        end = start + F.length(match)
+        near = F.lower(F.substring(piece, -NEARBY, NEARBY)).rlike(kind.context)
+        score = F.when(near, kind.score + RAISE).otherwise(kind.score)
+        return F.when(match.isNotNull() & confirmed(kind, match), F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score")))
 
-    spans = located(F.col(f"_pii_p_{kind.name}"), F.col(f"_pii_m_{kind.name}"))
-    return F.transform(F.filter(spans, lambda s: confirmed(kind, s["found"])), scored)
+    both = F.zip_with(f"_pii_p_{kind.name}", f"_pii_m_{kind.name}", lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
+    return F.filter(F.zip_with(both, f"_pii_b_{kind.name}", told), lambda s: s.isNotNull())
 
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """docs and `into`: array of (start, order, kind, end, score), by start, then kinds as listed.
 
-    Null and empty texts have an empty array. Columns other than `text` are carried; temporary names start with `_pii_`.
+    Null and empty texts have an empty array. Columns other than `text` are carried; temporary names start with `_pii_`. Work grows
+    with a text's length and its number of matches.
     """
-    body, out = F.coalesce(F.col(text), F.lit("")), docs
-    for k in KINDS:
-        pieces = F.split(body, k.pattern, -1)
-        out = out.withColumn(f"_pii_p_{k.name}", F.when(F.contains(body, F.lit(k.needs)), pieces) if k.needs else pieces)
-    for k in KINDS:
-        matches = F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))
-        out = out.withColumn(f"_pii_m_{k.name}", F.when(F.size(f"_pii_p_{k.name}") > 1, matches))
-    for i, k in enumerate(KINDS):
-        spans = _scored(i, k, body)
-        out = out.withColumn(f"_pii_s_{k.name}", F.when(F.col(f"_pii_m_{k.name}").isNotNull(), spans).otherwise(F.array().cast(_SCORED)))
-    base = F.concat(*[F.col(f"_pii_s_{k.name}") for k in KINDS if k.base])
-    added = F.concat(*[F.col(f"_pii_s_{k.name}") for k in KINDS if not k.base])
-    new = F.filter(added, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    every = F.array_sort(F.concat(base, new))
-    return out.withColumn(into, every).drop(*[f"_pii_{x}_{k.name}" for x in "pms" for k in KINDS])
+    body, out, none = F.coalesce(F.col(text), F.lit("")), docs, F.array().cast(_SCORED)
+    named = lambda x, f: {f"_pii_{x}_{k.name}": f(k) for k in KINDS}
+    of = lambda x, k: F.col(f"_pii_{x}_{k.name}")
+    out = out.withColumns(named("p", lambda k: F.when(F.contains(body, F.lit(k.needs or "")), F.split(body, k.pattern, -1))))
+    out = out.withColumns(named("m", lambda k: F.when(F.size(of("p", k)) > 1, F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0)))))
+    out = out.withColumns(named("w", lambda k: F.zip_with(of("p", k), of("m", k), lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))))
+    out = out.withColumns(named("b", lambda k: F.when(of("w", k).isNotNull(), running(f"_pii_w_{k.name}", lambda x, y: x + y))))
+    out = out.withColumns(named("s", lambda k: F.when(of("m", k).isNotNull(), _scored(KINDS.index(k), k)).otherwise(none)))
+    out = out.withColumn("_pii_all", F.array_sort(F.concat(*[F.col(f"_pii_s_{k.name}") for k in KINDS])))
+    out = out.withColumn("_pii_ends", F.transform("_pii_all", lambda s: F.when(s["order"] < len(BASE), s["end"]).otherwise(0)))
+    # an added span inside a base one is not told again: base spans that begin before it (or with it, being listed first) have gone by
+    reach = F.when(F.size("_pii_ends") > 0, running("_pii_ends", lambda x, y: F.greatest(x, y))).otherwise(F.array().cast("array<int>"))
+    both = F.zip_with("_pii_all", reach, lambda s, r: F.when((s["order"] < len(BASE)) | (r < s["end"]), s))
+    temporary = ["_pii_all", "_pii_ends", *[f"_pii_{x}_{k.name}" for x in "pmwbs" for k in KINDS]]
+    return out.withColumn(into, F.filter(both, lambda s: s.isNotNull())).drop(*temporary)
 
 
 def _is(kind: str):
@@ -143,32 +158,49 @@ def _listed(spans: Column) -> Column:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, a count for each base kind, base_sha256, spans and scores of each row.
 
-    Null text is empty. Overlapping spans of different kinds all stay. Equal rows are each reported.
+    Null text is empty. Overlapping spans of different kinds all stay. Equal rows are each reported; no rows: no rows. Only doc_id
+    and text are read. A text is searched whole; work grows with its length and its number of matches.
     """
     found = with_spans(docs.select("doc_id", "text"))
-    base = [k for k in KINDS if k.base]
-    own = F.filter("pii", lambda s: s["order"] < len(base))
-    counts = [F.size(F.filter("pii", _is(k.name))).cast("long").alias(f"n_{k.name}") for k in base]
+    own = F.filter("pii", lambda s: s["order"] < len(BASE))
+    counts = [F.size(F.filter("pii", _is(k.name))).cast("long").alias(f"n_{k.name}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(_listed(own), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"), F.transform("pii", lambda s: s["score"]).alias("scores"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; n_chars, where docs has it, follows. Null text stays null."""
-    columns, body = docs.columns, F.coalesce(F.col("text"), F.lit(""))
-    found = with_spans(docs, into="_spans")
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        kept = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(kept, mark))).otherwise(acc["out"]).alias("out"))
+#: Code points of the parts that a text is cut to, so that a place is reached without a walk from the text's start.
+PART = 1024
 
-    def finish(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(body, acc["at"] + 1, F.length(body)))), "")
 
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span replaced by its kind in brackets; n_chars, where docs has it, follows. Null text stays null.
+
+    Of overlapping spans the first is named and the others only cut. All other columns are carried as they are, whatever their
+    names. Equal rows are each redacted; no rows: no rows. Work grows with a text's length and its number of matches.
+    """
+    own = [c for c in ("text", "n_chars") if c in docs.columns]
+    found = with_spans(aside(docs, own), into="_spans")
     hit = F.size("_spans") > 0
-    out = found.withColumn("_clean", F.when(hit, F.aggregate("_spans", first, step, finish)).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    found = found.withColumn("_ends", F.transform("_spans", lambda s: s["end"]))
+    found = found.withColumn("_upto", F.when(hit, running("_ends", lambda x, y: F.greatest(x, y))))
+    found = found.withColumn("_parts", F.when(hit, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))))
+
+    def cut(start: Column, end: Column) -> Column:
+        """The text from start up to end."""
+        of = lambda at: F.floor(at / PART).cast("int")
+
+        def piece(i: Column) -> Column:
+            low = F.greatest(start - i * PART, F.lit(0))
+            return F.substring(F.get("_parts", i), low + 1, F.least(end - i * PART, F.lit(PART)) - low)
+
+        return F.when(end <= start, "").otherwise(F.array_join(F.transform(F.sequence(of(start), of(end - 1)), piece), ""))
+
+    def told(s: Column, upto: Column) -> Column:
+        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["start"] >= upto, F.concat(cut(upto, s["start"]), mark)).otherwise("")
+
+    last = F.greatest(F.element_at("_upto", -1), F.element_at("_spans", -1)["end"])
+    clean = F.concat(F.array_join(F.zip_with("_spans", "_upto", told), ""), cut(last, F.length("text")))
+    out = found.withColumn("_clean", F.when(hit, clean).otherwise(F.col("text")))
+    if "n_chars" in own:
         out = out.withColumn("n_chars", F.when(hit, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_clean")).select(columns)
+    return out.withColumn("text", F.col("_clean")).select(put_back(out, docs.columns, own))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, chunks, mapped, ragged, staged, tasks_for, words_of
+from .common import LOWER, NOT_SPACE, aside, chunks, flat_text, mapped, mixed, put_back, ragged, schema_with, staged, tasks_for, words_of
 
 #: Variants that a task holds at a time.
 HELD = 1 << 22
@@ -37,8 +37,8 @@ def joined_words(flat: np.ndarray, offsets: np.ndarray):
     return text.tobytes(), stop - (ends - starts), stop, rows
 
 
-def fingerprints(flat: np.ndarray, offsets: np.ndarray, width: int = 4) -> np.ndarray:
-    """One unsigned 64-bit fingerprint a row: a bit is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of every shingle of the rows' words, repeats included, and how many each row has."""
     n = len(offsets) - 1
     text, starts, ends, rows = joined_words(LOWER[flat], offsets)
     words = np.bincount(rows, minlength=n)
@@ -47,33 +47,48 @@ def fingerprints(flat: np.ndarray, offsets: np.ndarray, width: int = 4) -> np.nd
     at = ragged(first, count)
     to = np.minimum(at + width, np.repeat(first + words, count)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], 42) for a, b in zip(starts[at].tolist(), ends[to].tolist())), np.uint64, len(at)) if len(at) else np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    hashes = (digest(text[a:b], 42) for a, b in zip(starts[at].tolist(), ends[to].tolist()))
+    return np.fromiter(hashes, np.uint64, len(at)) if len(at) else np.zeros(0, np.uint64), count
+
+
+#: A byte's eight bits as the eight bytes of a number, so that up to 255 of them add up without a carry.
+SPREAD = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
+
+
+def voted(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One unsigned 64-bit fingerprint a row: a bit is set if it is in over half of the row's hashes; no hashes: 0."""
+    out = np.zeros(len(count), np.uint64)
     has = np.flatnonzero(count)
-    if len(has):
-        begin = (np.cumsum(count) - count)[has]
-        votes = np.zeros((len(has), 64), np.int64)
-        for byte in range(8):
-            bits = np.unpackbits(((hashes >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-            votes[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
-        set_bits = (votes * 2 > count[has][:, None]).astype(np.uint8)
-        out[has] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    if not len(has):
+        return out
+    size = count[has]
+    begin = (np.cumsum(count) - count)[has]
+    pieces = -(-size // 255)
+    at = np.repeat(begin, pieces) + 255 * ragged(np.zeros(len(has), np.int64), pieces)
+    first = np.cumsum(pieces) - pieces
+    votes = np.empty((len(has), 64), np.int64)
+    for byte in range(8):
+        sums = np.add.reduceat(SPREAD[((hashes >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)], at)
+        votes[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    out[has] = np.packbits(votes * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
     return out
 
 
-def with_fingerprint(docs: DataFrame, width: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id by default) and `fp`, the fingerprint as a signed long. Null or wordless text: 0."""
-    keep = [c for c in (keep or ["doc_id"]) if c != "fp"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = list(dict.fromkeys([*keep, "text"]))
+def fingerprints(flat: np.ndarray, offsets: np.ndarray, width: int = 4) -> np.ndarray:
+    """One unsigned 64-bit fingerprint a row: a bit is set if it is in over half of the shingles' hashes."""
+    return voted(*shingle_hashes(flat, offsets, width))
+
+
+def with_fingerprint(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id and `fp`, the fingerprint as a signed long. Null or wordless text: 0."""
 
     def run(batches):
         for batch in batches:
             for part, flat, offsets in chunks(batch):
                 fp = fingerprints(flat, offsets, width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(fp, pa.int64())], names=[*keep, "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(names).transform(mapped, run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "fp long"]))
+    return docs.select("doc_id", "text").transform(mapped, run, schema_with(docs, ["doc_id"], "fp long"))
 
 
 def _flips(bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +154,7 @@ def _links(fps: np.ndarray, left: np.ndarray, below: int) -> np.ndarray:
     return np.unique(pairs[fps[pairs[:, 0]] != fps[pairs[:, 1]]], axis=0)
 
 
-def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8) -> DataFrame:
     """Links (a, b), a != b, among distinct fingerprints `fp`: connected just as all pairs at most `reach` bits apart are.
 
     reach is even. Links are verified at the end by their Hamming distance. The number of leading bits that deal variants to
@@ -148,7 +163,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None) ->
     half = reach // 2
     count = distinct.count() if count is None else count
     size = sum(math.comb(64, k) for k in range(half + 1))
-    lead = min(20, max(8, math.ceil(math.log2(max(1, count * size / HELD)))))
+    lead = min(20, max(least_lead, math.ceil(math.log2(max(1, count * size / HELD)))))
 
     def emit(batches):
         for batch in batches:
@@ -170,7 +185,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None) ->
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(fps[a:b][pairs[:, k]].view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
-    tasks = min(1 << lead, tasks_for(count * 37, 1 << 20, 24))
+    tasks = min(1 << lead, tasks_for(count * sum(math.comb(lead, k) for k in range(half + 1)), 1 << 20, 24))
     routed = distinct.select("fp").transform(mapped, emit, "route int, fp long, left int").repartition(tasks, "route")
     return routed.transform(mapped, link, "a long, b long").distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
 
@@ -210,24 +225,94 @@ def near_duplicates(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFram
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def row_key(docs: DataFrame):
-    """A text that tells rows apart by doc_id, text and all other columns that can be hashed; equal rows have equal keys."""
-    others = [f"`{f.name}`" for f in docs.schema.fields if f.name not in ("doc_id", "text") and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
-    rest = F.xxhash64(*others).cast("string") if others else F.lit("")
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.md5("text"), F.lit("-")), rest)
+#: Parameters of the search for near copies: shingles of VIEW words, TABLES fingerprints of independent bits for each text.
+VIEW, TABLES = 2, 8
+
 
+def sketched(docs: DataFrame, view: int = VIEW, tables: int = TABLES) -> DataFrame:
+    """docs' columns but text, and for each text: `words`, a digest of its sequence of words, and `fps`, its fingerprints.
 
-def keep_one(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFrame:
-    """docs without all but one row of each component: the one with the least doc_id (null last), whole and with all its columns.
+    Fingerprint t votes on the shingles' hashes mixed with t, so that every one is a new draw of 64 bits.
+    """
+    kept = [c for c in docs.columns if c != "text"]
 
-    A component is one of fingerprints: a row without an id, or with the id of another row, goes only if a row of its component
-    stays. Of rows with the least id the least by fingerprint and row key stays, and of equal rows one.
+    def run(batches):
+        for batch in batches:
+            for part, flat, offsets in chunks(batch):
+                text, starts, ends, rows = joined_words(LOWER[flat], offsets)
+                at = np.searchsorted(rows, np.arange(len(part) + 1))
+                spans = [(int(starts[a]), int(ends[b - 1])) if b > a else (0, 0) for a, b in zip(at[:-1], at[1:])]
+                words = pa.array([xxhash.xxh3_128_digest(text[a:b]) for a, b in spans], pa.binary())
+                hashes, count = shingle_hashes(flat, offsets, view)
+                fps = np.stack([voted(hashes if not t else mixed(hashes + np.uint64(_STEP * t % 2**64)), count) for t in range(tables)], 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * tables), pa.array(fps.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], words, lists], names=[*kept, "words", "fps"])
+
+    return docs.transform(mapped, run, schema_with(docs, kept, "words binary, fps array<long>"))
+
+
+_STEP = 0x9E3779B97F4A7C15
+
+
+def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4) -> DataFrame:
+    """Pairs (a, b) of ids, a < b, to look at: of each table the star of texts with one fingerprint, and the links of fingerprints at
+    most `reach` bits apart. sketches: id, fps; ids differ."""
+    found = None
+    for t in range(tables):
+        own = sketches.select("id", F.col("fps")[t].alias("fp"))
+        stars = staged(own.groupBy("fp").agg(F.min("id").alias("star"), F.count(F.lit(1)).alias("n")), "stars")
+        links = staged(near_links(stars.select("fp"), reach, least_lead=6), "table-links")
+        ends = links
+        for end in ("a", "b"):
+            ends = ends.join(stars.select(F.col("fp").alias(end), F.col("star").alias(f"star_{end}")), end)
+        same = own.join(stars.filter("n > 1").select("fp", "star"), "fp").select(F.col("id").alias("a"), F.col("star").alias("b"))
+        both = same.unionByName(ends.select(F.col("star_a").alias("a"), F.col("star_b").alias("b")))
+        found = both if found is None else found.unionByName(both)
+    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of `least` or more. texts: id, text."""
+
+    def sets(column):
+        for text in column:
+            flat, offsets = flat_text(pa.array([text.as_py()], pa.string()))
+            yield np.unique(shingle_hashes(flat, offsets, width)[0])
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for one, other in zip(sets(batch.column("text_a")), sets(batch.column("text_b"))):
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(both >= least * (len(one) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = pairs
+    for end in ("a", "b"):
+        out = out.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return out.select("a", "b", "text_a", "text_b").transform(mapped, run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, tables: int = TABLES) -> DataFrame:
+    """docs without all but one row of each group of near copies: the one with the least doc_id (null last), whole, with all its columns.
+
+    Two texts are near copies if their sets of `width`-word shingles have a Jaccard similarity of `least` or more; a group is what
+    such links connect. Links are looked for among the pairs that ball hashing of `tables` fingerprints on VIEW-word shingles
+    finds, and each is verified on the texts. Texts with the same words in order are copies; so are all texts without words, null ones
+    too. Of rows with the least id the least by its hash stays, and of equal rows one. A row without an id, or with the id of
+    another row, goes only if a row of its group stays. No rows: no rows. Columns may have any names. Long texts are taken whole.
     """
-    keyed = docs.select("doc_id", "text", row_key(docs).alias("_key"))
-    rows = with_fingerprint(keyed, width, ["doc_id", "_key"])
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_key")).alias("place")
-    distinct = staged(rows.groupBy("fp").agg(place), "distinct")
-    labels = components(near_links(distinct, reach)).withColumnRenamed("node", "fp")
-    first = distinct.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("component")).agg(F.min("place").alias("place"))
-    chosen = first.select(F.col("place._key").alias("_key"))
-    return docs.select("*", row_key(docs).alias("_key")).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    others = [f"`{f.name}`" for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    held = staged(aside(docs, ["doc_id", "text"], _hash=F.xxhash64(*others), _row=F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_hash").alias("hash"), F.col("_row").alias("row"))
+    rows = staged(held.select(place.alias("place"), "text").transform(sketched, VIEW, tables), "sketches")
+    distinct = rows.groupBy("words").agg(F.min("place").alias("place"), F.min("place.row").alias("id"), F.first("fps").alias("fps"))
+    distinct = staged(distinct, "distinct")  # one row for each sequence of words
+    pairs = staged(candidates(distinct.select("id", "fps"), tables), "pairs")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = held.select(F.col("_row").alias("id"), "text").join(asked, "id", "left_semi")
+    labels = components(similar_pairs(pairs, texts, width, least)).withColumnRenamed("node", "id")
+    group = F.coalesce("label", "id").alias("group")
+    first = distinct.join(labels, "id", "left").groupBy(group).agg(F.min("place").alias("place"))
+    gone = rows.select(F.col("place.row").alias("_row")).join(first.select(F.col("place.row").alias("_row")), "_row", "left_anti")
+    return held.join(gone, "_row", "left_anti").select(put_back(held, docs.columns, ["doc_id", "text"]))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, ragged
+from .common import chunks, mapped, ragged, schema_with
 from .pretokens import numbered
 
 #: Pre-tokens whose counts a worker remembers; beyond that it forgets the later half.
@@ -51,7 +51,9 @@ class Merges:
         self.keys, self.ranks = key[order], order.astype(np.int64)
         self.result = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.byte_ids = np.array([ids[c] for c in byte_letters()], np.int64)
-        self.special = [t["content"] for t in spec["added_tokens"] if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens that strip or want whole words are not known here")
+        self.special = [t["content"] for t in spec["added_tokens"]]
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -130,7 +132,8 @@ _COUNTERS: dict[str, Counter] = {}
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row, as the tokenizers library counts by default.
 
-    Null text: 0 bytes, 0 tokens. Equal rows are each counted. Only doc_id and text are read.
+    Null text: 0 bytes, 0 tokens. Equal rows are each counted; no rows: no rows. Only doc_id and text are read. A text is counted
+    whole, however long; memory grows with the longest.
     """
 
     def run(batches):
@@ -142,5 +145,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 n = counter.count(flat, offsets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select("doc_id", "text").transform(mapped, run, schema_with(docs, ["doc_id"], "n_bytes long, n_tokens long")).withColumn("over_limit", F.col("n_tokens") > limit)
