@@ -454,10 +454,34 @@ def test_checksums(spark):
 
 def test_scores(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 40)  # so that some words are joined
+    monkeypatch.setattr(lm, "CLASSES", 5)
+    monkeypatch.setattr(lm, "CLASS_SIZE", 6)  # so that some words of the head are unknown to the network
+    learned, fit = {}, lm.fit
+    monkeypatch.setattr(lm, "fit", lambda parts, vocabulary, words: learned.setdefault("net", fit(parts, vocabulary, words)))
     rows = lm.score_documents(docs).collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]
     c = Counter(w for i, t in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 10 for w in words(t))
     n, v = sum(c.values()), len(c)
+    head = sorted((w for w in c if w is not None and len(w.encode()) <= lm.HEAD_BYTES), key=lambda w: (-c[w], w.encode()))[:28]
+    number = {None: 0} | {w: i + 2 for i, w in enumerate(head)}
+    rest = n + 0.1 * (v + 1) - sum(c[w] + 0.1 for w in [*head, None])
+    net = {k: x.astype(np.float64) for k, x in learned["net"].p.items()}
+
+    def plain(t):
+        """The recurrence and both softmaxes one word at a time."""
+        h, before, out, u = np.zeros(24), 0, 0.0, net["U"]
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        for w in words(t):
+            x, k = net["X"][before] + net["b"], number.get(w, 1)
+            z, r = sigmoid(x[:24] + h @ u[:, :24]), sigmoid(x[24:48] + h @ u[:, 24:48])
+            h = (1 - z) * np.tanh(x[48:] + r * (h @ u[:, 48:])) + z * h
+            kinds, slots = np.exp(h @ net["C"] + net["c"]), np.exp(h @ net["W"][k // 6] + net["w"][k // 6])
+            out += math.log10(kinds[k // 6] / kinds.sum() * slots[k % 6] / slots.sum()) + (math.log10((c[w] + 0.1) / rest) if k == 1 else 0)
+            before = k
+        return out
+
+    for r in rows:
+        assert r["score"] == pytest.approx(plain(TEXTS[r["doc_id"]]), rel=2e-4, abs=2e-3)
     assert sorted(r["doc_id"] for r in rows) == list(range(len(TEXTS)))
     for r in rows:
         w = words(TEXTS[r["doc_id"]])
@@ -471,12 +495,44 @@ def test_network_learns_and_sums_to_one():
     texts = [np.array([*np.tile([2, 3, 4], int(rng.integers(2, 9))), 0]) for _ in range(60)]
     net = gru.Network.fresh(np.bincount(np.concatenate(texts), minlength=6).astype(float), 3, 2, 8)
     flat, at = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    before = net.score(flat, at).sum()
+    before, memory = net.score(flat, at).sum(), None
     for _ in range(6):
-        net.train(texts, streams=8, rate=0.03)
+        memory = net.train(flat, memory, streams=8, rate=0.03)
+    assert memory["seen"] == 6 * len(flat)
     assert net.score(flat, at).sum() > before / 2
     h = rng.standard_normal((5, 8)).astype(np.float32)
     total = sum(np.exp(net.log_probabilities(h, np.full(5, w))[0]) for w in range(6))
     assert np.allclose(total, 1, atol=1e-5)
     whole = net.score(flat, at, window=32)
     assert np.allclose(whole, net.score(flat, at, window=5), atol=1e-3)  # the state is carried
+
+
+def test_gradients_are_those_of_the_loss():
+    """Each weight's gradient against differences of the log probability, over one window with ends of texts in it."""
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 6, 24)
+    net = gru.Network.fresh(np.ones(6), 3, 2, 4)
+    net.p = {k: rng.standard_normal(v.shape) * 0.5 for k, v in net.p.items()}
+
+    def loss(p):
+        own = gru.Network(3, 2, 4, p)
+        h, total = np.zeros((1, 4)), 0.0
+        for before, t in zip([0, *tokens[:-1]], tokens):
+            h = h * (before != 0)
+            h, _ = own.step((p["X"] + p["b"])[[before]], h)
+            k, s = np.exp(h @ p["C"] + p["c"])[0], np.exp(h @ p["W"][t // 2] + p["w"][t // 2])[0]
+            total -= math.log(k[t // 2] / k.sum() * s[t % 2] / s.sum())
+        return total / len(tokens)
+
+    seen = {}
+    own = gru.Network(3, 2, 4, {k: v.copy() for k, v in net.p.items()})
+    memory = own.train(tokens, {"turn": 0, "seen": 0} | {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, window=24, streams=1, rate=0)
+    for name, v in net.p.items():
+        for at in list(np.ndindex(v.shape))[:: max(1, v.size // 12)]:
+            up, down = ({k: x.copy() for k, x in net.p.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            want = (loss(up) - loss(down)) / 2e-5
+            seen[name] = max(seen.get(name, 0), abs(want))
+            assert memory[name][0][at] * 10 == pytest.approx(want, rel=1e-3, abs=1e-5), (name, at)  # the first moment is a tenth of it
+    assert all(seen.values())
