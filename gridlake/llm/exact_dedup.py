@@ -3,10 +3,10 @@
 Every byte inside a window of `width` bytes that also starts earlier is removed. Windows are dealt to families by content:
 a window's anchor is the least hash among its KGRAM-byte grams, so equal windows have equal anchors, and neighbouring windows with
 one anchor travel together as one segment. Only segments whose anchor turns up more than once are
-sent. A family takes its segments in batches: each batch gets a suffix array over its windows, ordered by their leading bytes and
-then by a digest of the whole window (so the order is alphabetical in its first bytes only); levels of
-equal size merge geometrically, and each merge scans the joint order for equal windows, keeps the
-earliest and reports the others. Every two windows meet in one merge, whatever the order in which they come.
+sent. A family takes its segments in batches: each batch gets a suffix array over its windows, in the alphabetical order of
+their bytes; levels of equal size merge geometrically, and each merge scans the joint order for equal windows, keeps the
+earliest and reports the others. Every two windows meet in one merge, whatever the order in which they come. Digests only spare
+the sort from going deeper into ties; a match is told by its bytes.
 Documents that repeat an earlier one as a whole are told by their SHA-256 and take no part.
 
 An anchor that more than HOT segments share (a line in a third of all documents, say) is not left to one family: its
@@ -27,7 +27,7 @@ WIDTH, KGRAM = 100, 24
 #: Segments of one anchor from which on its windows are dealt one by one.
 HOT = 4096
 #: Text bytes of a family's batch, and of a task's share of segments.
-BATCH_BYTES, FAMILY_BYTES = 3 << 20, 6 << 20
+BATCH_BYTES, FAMILY_BYTES = 3 << 19, 6 << 20
 
 
 def anchors(flat: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
@@ -66,54 +66,99 @@ def _over(f, values: np.ndarray, need: int) -> np.ndarray:
     return values
 
 
+def word_at(flat: np.ndarray) -> np.ndarray:
+    """For each byte of a text the eight bytes from there on as a number that sorts as they do; zeros follow the text."""
+    padded = np.append(flat, np.zeros(8, np.uint8)).astype(np.uint64)
+    out = np.zeros(len(flat), np.uint64)
+    for k in range(8):
+        out |= padded[k : k + len(flat)] << np.uint64(56 - 8 * k)
+    return out
+
+
 class Level:
-    """A suffix array over windows that all differ: order key, digest, owner (a segment) and start of each, by key.
+    """A suffix array: places `at` of a text, in the alphabetical order of the `width` bytes from each on, with a digest of these
+    bytes, the owner (a segment) and the start there of each. Windows that are equal stand side by side."""
 
-    The key is the window's first two bytes and 48 bits of its digest, so windows stand by their leading bytes and equal ones
-    stand together; the digest's other bits tell windows apart whose keys meet.
-    """
+    FIELDS = ("at", "digest", "owner", "start")
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray, digest: np.ndarray, owner: np.ndarray, start: np.ndarray):
+        self.flat, self.at, self.digest, self.owner, self.start = flat, at, digest, owner, start
 
-    def __init__(self, key: np.ndarray, digest: np.ndarray, owner: np.ndarray, start: np.ndarray):
-        self.key, self.digest, self.owner, self.start = key, digest, owner, start
+    def take(self, which: np.ndarray) -> "Level":
+        return Level(self.flat, *[getattr(self, f)[which] for f in self.FIELDS])
+
+
+def alphabetical(flat: np.ndarray, at: np.ndarray, digest: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows by their bytes, and which of them, in that order, differ from the one before.
+
+    Windows are sorted by eight bytes, and those that still tie by the next eight, until the windows of every tie have one digest;
+    these are then compared byte by byte.
+    """
+    words = word_at(flat)
+    order = np.argsort(words[at], kind="stable")
+    key = words[at[order]]
+    head = np.ones(len(at), bool)
+    head[1:] = key[1:] != key[:-1]
+    depth = 8
+    while True:
+        open_ = _mixed_ties(head, digest[order])
+        if not len(open_) or depth >= width:
+            break
+        own, group = order[open_], np.cumsum(head)[open_]
+        left = min(8, width - depth)
+        key = words[at[own] + depth] >> np.uint64(64 - 8 * left)
+        again = np.lexsort((key, group))
+        order[open_], key = own[again], key[again]
+        head[open_[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        depth += 8
+    tie = np.flatnonzero(~head)
+    if len(tie):
+        one, other = at[order[tie]], at[order[tie - 1]]
+        differ = np.zeros(len(tie), bool)
+        for d in [*range(0, width - 7, 8), width - 8]:
+            differ |= words[one + d] != words[other + d]
+        head[tie[differ]] = True  # one digest for different bytes: they part here, and no match is made of them
+    return order, head
+
+
+def _mixed_ties(head: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """The members of ties whose digests are not all the same."""
+    strange = np.zeros(len(head), bool)
+    strange[1:] = ~head[1:] & (digest[1:] != digest[:-1])
+    begins = np.flatnonzero(head)
+    if not len(begins):
+        return begins
+    mixed_ = np.logical_or.reduceat(strange, begins)
+    return np.flatnonzero(np.repeat(mixed_, np.diff(np.append(begins, len(head)))))
 
 
 def suffix_array(flat: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray, width: int = WIDTH) -> Level:
-    """The array of the windows that begin at these places of the text; equal ones still among them."""
-    code = span_hashes(prefix_sums(flat), at, at + width)
-    lead = (flat[at].astype(np.uint64) << np.uint64(8)) | flat[at + 1]
-    tail = span_hashes(prefix_sums(flat ^ np.uint8(0x5A)), at, at + width)  # of the same bytes turned: independent of the first
-    key = (lead << np.uint64(48)) | (code >> np.uint64(16))
-    order = np.argsort(key)
-    return Level(key[order], (tail ^ (code << np.uint64(48)))[order], owner[order], start[order])
+    """The windows that begin at these places of a batch's text, to be ordered when they are scanned."""
+    return Level(flat, at, span_hashes(prefix_sums(flat), at, at + width), owner, start)
 
 
-def merged(levels: list[Level], rank: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
-    """One level of the earliest window of each content, and the (owner, start) of the others, found by a scan over the merge.
+def merged(levels: list[Level], rank: np.ndarray, width: int = WIDTH) -> tuple[Level, np.ndarray, np.ndarray]:
+    """One level of the earliest window of each content, and the (owner, start) of the others, found by a scan over the joint order.
 
     rank: each segment's document in the order of documents.
     """
-    key, digest, owner, start = (np.concatenate([getattr(x, f) for x in levels]) for f in ("key", "digest", "owner", "start"))
-    if len(levels) > 1:
-        order = np.argsort(key, kind="stable")  # runs that are in order already merge in one pass
-        key, digest, owner, start = key[order], digest[order], owner[order], start[order]
-    head = np.ones(len(key), bool)
-    head[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-    if (head[1:] & (key[1:] == key[:-1])).any():  # keys of different windows met: part them by digest
-        order = np.lexsort((digest, key))
-        key, digest, owner, start = key[order], digest[order], owner[order], start[order]
-        head[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-    origin = (rank[owner] << 32) | start
+    ends = np.cumsum([0, *[len(x.flat) for x in levels]])
+    flat = np.concatenate([x.flat for x in levels])
+    at = np.concatenate([x.at + e for x, e in zip(levels, ends)])
+    both = Level(flat, at, *[np.concatenate([getattr(x, f) for x in levels]) for f in Level.FIELDS[1:]])
+    order, head = alphabetical(flat, at, both.digest, width)
+    both = both.take(order)
+    origin = (rank[both.owner] << 32) | both.start
     heads = np.flatnonzero(head)
     if not len(heads):
-        return Level(key, digest, owner, start), owner, start
+        return both, both.owner, both.start
     first = np.minimum.reduceat(origin, heads)
-    size = np.diff(np.append(heads, len(key)))
-    is_first = origin == np.repeat(first, size)
+    is_first = origin == np.repeat(first, np.diff(np.append(heads, len(head))))
     # of a window given twice (a row that is there twice) one goes on, and the other is no repeat of itself
     held = np.flatnonzero(is_first)
-    keep = held[np.append(True, (key[held][1:] != key[held][:-1]) | (digest[held][1:] != digest[held][:-1]))]
+    of = np.cumsum(head)[held]
     lost = ~is_first
-    return Level(key[keep], digest[keep], owner[keep], start[keep]), owner[lost], start[lost]
+    return both.take(held[np.append(True, of[1:] != of[:-1])]), both.owner[lost], both.start[lost]
 
 
 def spans_of(doc: np.ndarray, start: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +209,7 @@ class Family:
         new[1:] = (doc[order][1:] != doc[order][:-1]) | (digest[order][1:] != digest[order][:-1])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(new)
-        level, owner, start = merged(levels, rank)
+        level, owner, start = merged(levels, rank, self.width)
         if len(owner):
             self.lost.append((owner, start))
         return level

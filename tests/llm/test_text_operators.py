@@ -126,6 +126,21 @@ def test_family_merges_in_any_order():
     assert removed == Counter({d: v[1] for d, v in repeats(enumerate(TEXTS)).items() if v[1]})
 
 
+def test_windows_stand_in_the_order_of_their_bytes():
+    rng = np.random.default_rng(8)
+    for letters, width in ((2, 13), (3, 100), (2, 8), (200, 20)):
+        flat = rng.integers(0, letters, 3000).astype(np.uint8)
+        flat[1500:2100] = flat[200:800]
+        at = rng.permutation(len(flat) - width + 1)
+        digest = common.span_hashes(common.prefix_sums(flat), at, at + width)
+        order, head = exact_dedup.alphabetical(flat, at, digest, width)
+        windows = [flat[p : p + width].tobytes() for p in at[order].tolist()]
+        assert windows == sorted(windows) and head[1:].tolist() == [a != b for a, b in zip(windows, windows[1:])]
+        order, head = exact_dedup.alphabetical(flat, at, np.zeros(len(at), np.uint64), width)  # one digest for all: bytes still tell
+        tied = [flat[p : p + width].tobytes() for p in at[order].tolist()]
+        assert all(a == b for a, b, h in zip(tied, tied[1:], head[1:]) if not h)
+
+
 # decontamination
 
 
