@@ -89,7 +89,7 @@ def apply_directory(payload: DataFrame, current: dict[str, DataFrame], aliases:
     good = latest_records(payload).filter(reason.isNull())
     good = good.withColumn("station_key", station_key(F.col("operator_id"), F.col("street"), F.col("postal_code"), F.col("lat"), F.col("lon")))
     bad = lost.withColumn("reason", reason).filter("reason is not null").select(F.to_json(F.struct(*payload.columns)).alias("record"), "reason")
-    named = good.select("plugs", "evse_id", F.explode("plugs").alias("source_name")).join(F.broadcast(aliases.select("source_name", "plug_code")), "source_name", "left")
+    named = good.select("plugs", "evse_id", F.explode("plugs").alias("source_name")).join(aliases.select("source_name", "plug_code"), "source_name", "left")
     plugs = named.filter("plug_code is not null").select("evse_id", "plug_code").distinct()
     unknown = named.filter("plug_code is null").groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
     bad = bad.unionByName(unknown.select(F.to_json(F.struct(F.col("source_name").alias("plug"), F.col("n").alias("evse_count"))).alias("record"), F.lit("unknown plug type").alias("reason")))

@@ -13,6 +13,7 @@ c = F.col
 HORIZONS = (1, 2, 3, 6, 12, 24)
 STATUS_CODES = {"Available": 0, "Occupied": 1, "OutOfService": 2, "Reserved": 3, "Unknown": 4}
 UNKNOWN_CODE, DEFAULT_FREE = 4, 0.75
+MEASURES = {"temperature_c": "temp_c", "precipitation_mm": "precip_mm", "snowfall_cm": "snow_cm", "wind_kmh": "wind_kmh"}
 SERIES = ["canton_code", "power_class"]
 
 
@@ -29,7 +30,7 @@ def with_calendar(df: DataFrame, at: str, holidays: DataFrame | None = None, zon
     day = F.to_date(F.from_utc_timestamp(c(at), zone))
     everywhere = holidays.filter("canton_code is null").select(c("day").alias("_d"), F.lit(1).alias("_a")).distinct()
     own = holidays.filter("canton_code is not null").select(c("day").alias("_d"), "canton_code", F.lit(1).alias("_b")).distinct()
-    out = out.withColumn("_d", day).join(F.broadcast(everywhere), "_d", "left").join(F.broadcast(own), ["_d", "canton_code"], "left")  # a calendar of days
+    out = out.withColumn("_d", day).join(everywhere, "_d", "left").join(own, ["_d", "canton_code"], "left")
     return out.withColumn("is_holiday", F.coalesce("_a", "_b", F.lit(0))).drop("_d", "_a", "_b")
 
 
@@ -67,8 +68,9 @@ def add_profile(df: DataFrame, series: DataFrame, train_to: Column, at: str = "t
 
 
 def add_weather(df: DataFrame, weather: DataFrame, kind: str, at: str = "target_utc") -> DataFrame:
-    """df with the temperature and rain of its canton at the hour, of one kind of weather."""
-    own = weather.filter(c("kind") == kind).select("canton_code", c("hour_utc").alias("_hour"), c("temperature_c").alias("temp_c"), c("precipitation_mm").alias("precip_mm"))
+    """df with temperature, rain, snow and wind of its canton at the hour, of one kind of weather; a measure it lacks is null."""
+    measures = [(c(x) if x in weather.columns else F.lit(None).cast("double")).alias(into) for x, into in MEASURES.items()]
+    own = weather.filter(c("kind") == kind).select("canton_code", c("hour_utc").alias("_hour"), *measures)
     return df.withColumn("_hour", F.date_trunc("hour", at)).join(own, ["canton_code", "_hour"], "left").drop("_hour")
 
 
@@ -128,7 +130,7 @@ def fit_markov(train: DataFrame, min_count: int = 50) -> tuple[DataFrame, DataFr
 
 def predict_markov(df: DataFrame, table: tuple[DataFrame, DataFrame]) -> DataFrame:
     """df with p_markov. The tables have at most statuses x classes x buckets x deltas rows."""
-    out = df.withColumn("hour_bucket", F.floor(c("hour_local") / 4).cast("int")).join(F.broadcast(table[0]), _FULL, "left").join(F.broadcast(table[1]), ["status_code", "delta_min"], "left")
+    out = df.withColumn("hour_bucket", F.floor(c("hour_local") / 4).cast("int")).join(table[0], _FULL, "left").join(table[1], ["status_code", "delta_min"], "left")
     return out.withColumn("p_markov", F.coalesce("p_full", "p_coarse", F.lit(DEFAULT_FREE))).drop("p_full", "p_coarse", "hour_bucket")
 
 
@@ -180,49 +182,73 @@ def frame_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("parity"))
 
 
-NUMERIC = ["lag0", "lag1", "lag2", "mean24", "y_tm24", "y_tm168", "profile", "h", "hour_local", "dow", "is_weekend", "temp_c", "precip_mm"]
-AVAILABILITY = ["status_code", "delta_min", "hour_local", "dow", "is_weekend", "class_dc", "power_kw", "n_total_other", "n_free_other", "share_free_other", "p_free_evse", "p_free_group", "temp_c", "precip_mm", "p_markov"]
+#: Names of the features, numbers first, then categories.
+NUMERIC = ["lag0", "lag1", "lag2", "mean24", "y_tm24", "y_tm168", "profile", "h", "hour_local", "dow", "is_weekend", "is_holiday", "temp_c", "precip_mm", "snow_cm", "wind_kmh"]
+NUMERIC_CATEGORIES = ["canton_code", "power_class"]
+AVAILABILITY = ["status_code", "delta_min", "hour_local", "dow", "is_weekend", "is_holiday", "class_dc", "power_kw", "n_total_other", "n_free_other", "share_free_other", "p_free_evse", "p_free_group", "temp_c", "precip_mm", "snow_cm", "p_markov"]
+AVAILABILITY_CATEGORIES = ["canton_code"]
 
 
-def vectors(df: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
-    """df with features and label; a missing value is 0 with a mark of its own, since trees take no gaps."""
+def categories(train: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """The values of each column in order, by which they are numbered: cantons and classes, a few dozen."""
+    return {x: sorted(r[0] for r in train.select(x).filter(c(x).isNotNull()).distinct().collect()) for x in columns}
+
+
+def vectors(df: DataFrame, columns: list[str], known: dict[str, list[str]] | None = None, label: str = "y") -> DataFrame:
+    """df with features and label; a missing value is 0 with a mark of its own, since trees take no gaps. known: values of categories,
+    numbered from 1; a value that training hasn't seen is 0."""
     from pyspark.ml.feature import VectorAssembler
 
     filled = df.withColumns({f"_v_{x}": F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in columns} | {f"_m_{x}": c(x).isNull().cast("double") for x in columns}).withColumn("label", c(label).cast("double"))
-    names = [f"_v_{x}" for x in columns] + [f"_m_{x}" for x in columns]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(filled).drop(*names)
+    number = {f"_c_{x}": F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]).cast("array<string>"), c(x)), F.lit(0)).cast("double") for x, values in (known or {}).items()}
+    names = [f"_v_{x}" for x in columns] + [f"_m_{x}" for x in columns] + list(number)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(filled.withColumns(number) if number else filled).drop(*names)
 
 
-def fit_gbt_forecast(train: DataFrame, tail_days: int = 2, rounds: int = 10, seed: int = 42):
-    """Boosted trees whose last days of targets decide when to stop."""
+def fit_gbt_forecast(train: DataFrame, tail_days: int = 28, rounds: int = 50, seed: int = 42):
+    """(values of the categories, boosted trees whose last days of targets decide when to stop)."""
     from pyspark.ml.regression import GBTRegressor
 
-    last = train.agg(F.max("target_utc").alias("_last"))
-    rows = vectors(train.join(F.broadcast(last)).withColumn("_valid", c("target_utc") > c("_last") - F.make_dt_interval(F.lit(tail_days))), NUMERIC)
-    return GBTRegressor(maxIter=rounds, maxDepth=4, seed=seed, validationIndicatorCol="_valid").fit(rows)
+    known = categories(train, NUMERIC_CATEGORIES)
+    last = train.agg(F.max("target_utc").alias("_last"))  # one row
+    marked = train.join(F.broadcast(last)).withColumn("_valid", c("target_utc") > c("_last") - F.make_dt_interval(F.lit(tail_days)))
+    return known, GBTRegressor(maxIter=rounds, maxDepth=4, seed=seed, validationIndicatorCol="_valid").fit(vectors(marked, NUMERIC, known))
 
 
 def forecast(df: DataFrame, model) -> DataFrame:
     """df with p, held within 0 and 1."""
-    return model.transform(vectors(df, NUMERIC)).withColumn("p", F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))).drop("features", "prediction", "label")
+    known, trees = model
+    return trees.transform(vectors(df, NUMERIC, known)).withColumn("p", F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))).drop("features", "prediction", "label")
 
 
-def fit_gbt_availability(train: DataFrame, calib: DataFrame, rounds: int = 10, seed: int = 42):
-    """(boosted trees, isotonic calibration on held-out rows)."""
+def fit_gbt_availability(train: DataFrame, calib: DataFrame, rounds: int = 50, seed: int = 42):
+    """(values of the categories, boosted trees that stop when the held-out rows gain no more, isotonic calibration on these rows)."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    trees = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed).fit(vectors(train, AVAILABILITY))
-    raw = trees.transform(vectors(calib, AVAILABILITY)).withColumn("raw", vector_to_array("probability")[1])
-    return trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw.select("raw", "label"))
+    known = categories(train, AVAILABILITY_CATEGORIES)
+    both = train.withColumn("_valid", F.lit(False)).unionByName(calib.withColumn("_valid", F.lit(True)))
+    trees = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed, validationIndicatorCol="_valid").fit(vectors(both, AVAILABILITY, known))
+    raw = trees.transform(vectors(calib, AVAILABILITY, known)).withColumn("raw", vector_to_array("probability")[1])
+    return known, trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw.select("raw", "label"))
 
 
 def score_availability(df: DataFrame, model) -> DataFrame:
     """df with p_free of the calibrated trees, held within 0.001 and 0.999."""
     from pyspark.ml.functions import vector_to_array
 
-    trees, isotonic = model
-    raw = trees.transform(vectors(df, AVAILABILITY)).withColumn("raw", vector_to_array("probability")[1]).drop("prediction", "probability", "rawPrediction", "features")
+    known, trees, isotonic = model
+    raw = trees.transform(vectors(df, AVAILABILITY, known)).withColumn("raw", vector_to_array("probability")[1]).drop("prediction", "probability", "rawPrediction", "features")
     out = isotonic.transform(raw)
     return out.withColumn("p_free", F.greatest(F.least("prediction", F.lit(0.999)), F.lit(0.001))).drop("raw", "prediction", "label")
+
+
+def importance(spark, model) -> DataFrame:
+    """(feature, importance) of the boosted availability model: a value's, its mark's and its category's added up."""
+    known, trees, _ = model
+    names = AVAILABILITY * 2 + list(known)
+    sums: dict[str, float] = {}
+    for name, x in zip(names, trees.featureImportances.toArray().tolist()):
+        sums[name] = sums.get(name, 0.0) + x
+    return spark.createDataFrame(sorted(sums.items(), key=lambda kv: (-kv[1], kv[0])), "feature string, importance double")

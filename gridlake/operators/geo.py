@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +23,24 @@ def _cells(at: Column, size: float, around: bool) -> Column:
     return F.explode(F.array(cell - 1, cell, cell + 1)) if around else cell
 
 
-def within_radius(asking: DataFrame, places: DataFrame, radius_km: float, north: float = 48.0) -> DataFrame:
+def _wide(band: Column, dlat: float) -> Column:
+    """Degrees of longitude that a cell of a band of latitude has: as many as the radius has at the far edge of the next band."""
+    edge = F.least((F.greatest(F.abs(band), F.abs(band + 1)) + 1) * dlat, F.lit(89.99))
+    return dlat / F.cos(F.radians(edge))
+
+
+def within_radius(asking: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:
     """Pairs of asking (alat, alon) and places (lat, lon) at most radius_km apart, with distance_km.
 
-    Cells are at least as large as the radius up to latitude `north`, so a match lies in one of nine cells: the range
-    becomes an equality on the cell.
+    Cells are at least as large as the radius, in bands of latitude that each have their own width, so that a match lies in one
+    of nine cells at any latitude: the range becomes an equality on the cell. Pairs across the 180th meridian are not met.
     """
     dlat = radius_km / KM_PER_DEGREE
-    dlon = radius_km / (KM_PER_DEGREE * math.cos(math.radians(north)))
-    near = asking.withColumn("_y", _cells(F.col("alat"), dlat, True)).withColumn("_x", _cells(F.col("alon"), dlon, True))
-    own = places.withColumns({"_y": _cells(F.col("lat"), dlat, False), "_x": _cells(F.col("lon"), dlon, False)})
+    near = asking.withColumn("_y", _cells(F.col("alat"), dlat, True))
+    cell = F.floor(F.col("alon") / _wide(F.col("_y"), dlat)).cast("int")
+    near = near.withColumn("_x", F.explode(F.array(cell - 1, cell, cell + 1)))
+    own = places.withColumn("_y", _cells(F.col("lat"), dlat, False))
+    own = own.withColumn("_x", F.floor(F.col("lon") / _wide(F.col("_y"), dlat)).cast("int"))
     pairs = near.join(own, ["_y", "_x"]).drop("_y", "_x").filter(in_box(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"), radius_km))
     return pairs.withColumn("distance_km", haversine_km(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon"))).filter(F.col("distance_km") <= radius_km)
 

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def ancestors(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """(start, node, depth): every node that leads to a start, with every length of path up to `most`.
+    """(start, node, depth): every node that leads to a start, with every length of path.
 
-    A round joins the last round's nodes with the edges into them; the graph is acyclic, so rounds end.
+    A round joins the last round's nodes with the edges into them and is staged. The graph is acyclic, so rounds end; if there are
+    more than `most`, it is an error: a cycle, or paths longer than expected.
     """
-    into = edges.select(F.col("to_node").alias("node"), F.col("from_node").alias("parent")).distinct().persist()
+    into = staged(edges.select(F.col("to_node").alias("node"), F.col("from_node").alias("parent")).distinct(), "edges")
     last = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     rounds = [last]
-    for depth in range(1, most + 1):
-        last = last.join(into, "node").select("start", F.col("parent").alias("node"), F.lit(depth).alias("depth")).distinct().persist()
+    for depth in range(1, most + 2):
+        last = staged(last.join(into, "node").select("start", F.col("parent").alias("node"), F.lit(depth).alias("depth")).distinct(), "round")
         if last.isEmpty():
             break
+        if depth > most:
+            raise ValueError(f"paths of more than {most} edges, or a cycle")
         rounds.append(last)
     out = rounds[0]
     for r in rounds[1:]:

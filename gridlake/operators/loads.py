@@ -51,7 +51,7 @@ def apply_vehicles(rows: DataFrame, aliases: DataFrame, existing: DataFrame, plu
     good = rows.filter(~rejected).withColumns({"variant": F.coalesce("variant", F.lit("")), "ac_max_kw": F.least("ac_max_kw", F.lit(AC_CAP_KW)), "dc_max_kw": F.nullif(F.col("dc_max_kw"), F.lit(0.0))})
     new = first_per_key(good, MODEL, [F.desc(F.col("source") == "manual"), F.asc("source"), F.desc("ac_max_kw"), F.desc("dc_max_kw")])
     cars = upsert_with_priority(existing, new.select(existing.columns), MODEL, "source", "manual")
-    own = new.select(F.struct(*MODEL).alias("owner"), F.explode("plugs").alias("source_name")).join(F.broadcast(aliases.select("source_name", "plug_code")), "source_name")
+    own = new.select(F.struct(*MODEL).alias("owner"), F.explode("plugs").alias("source_name")).join(aliases.select("source_name", "plug_code"), "source_name")
     return cars, replace_bridge(plugs, own.select("owner", "plug_code"), "owner"), rows.filter(rejected)
 
 

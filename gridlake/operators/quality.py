@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import haversine_km
+from ..session import staged
 from .geo import near_duplicate_stations
 from .keyed import first_per_key
 
@@ -108,7 +109,7 @@ def _(t, now):
 @check("range_station_canton_distance", "range")
 def _(t, now):
     centre = t["canton"].select("canton_code", c("lat").alias("clat"), c("lon").alias("clon"))
-    far = t["station"].join(F.broadcast(centre), "canton_code").withColumn("km", haversine_km(c("lat"), c("lon"), c("clat"), c("clon")))
+    far = t["station"].join(centre, "canton_code").withColumn("km", haversine_km(c("lat"), c("lon"), c("clat"), c("clon")))
     return far.filter(c("km") > CANTON_KM).select("station_id", "canton_code", F.round("km", 1).alias("km"))
 
 
@@ -151,25 +152,25 @@ def _(t, now):
 
 
 def run_checks(tables: Tables, now: Column, spark, samples: int = 5, only: list[str] | None = None) -> DataFrame:
-    """check_id, severity, passed, failed_rows, sample (JSON of some offending rows) of every check; a check that can't run fails
-    with one row and doesn't stop the others."""
-    parts = []
+    """check_id, severity, passed, failed_rows, sample (JSON of some offending rows) of every check.
+
+    Each check is run by itself and gives one row: one that can't be planned, or fails on an executor, fails with one row and doesn't
+    stop the others. Offending rows are written once, counted, and some of them read.
+    """
+    rows = []
     for k in CATALOGUE.values():
         if only is not None and k.check_id not in only:
             continue
-        head = [F.lit(k.check_id).alias("check_id"), F.lit(k.severity).alias("severity")]
         try:
             found = k.find(tables, now)
             record = F.to_json(F.struct(*[c(x) for x in sorted(found.columns)]))
-            some = found.select(record.alias("r")).limit(samples).agg(F.array_sort(F.collect_list("r")).alias("sample"))
-            one = found.agg(F.count(F.lit(1)).alias("failed_rows")).join(F.broadcast(some))
-            parts.append(one.select(*head, (c("failed_rows") == 0).alias("passed"), "failed_rows", "sample"))
+            held = staged(found.select(record.alias("r")), f"check-{k.check_id}")
+            n = held.count()
+            some = sorted(r["r"] for r in held.limit(samples).collect()) if n else []
+            rows.append((k.check_id, k.severity, n == 0, n, some))
         except Exception as e:  # noqa: BLE001  a broken check is a finding
-            parts.append(spark.range(1).select(*head, F.lit(False).alias("passed"), F.lit(1).cast("long").alias("failed_rows"), F.array(F.lit(str(e)[:200])).alias("sample")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            rows.append((k.check_id, k.severity, False, 1, [str(e)[:200]]))
+    return spark.createDataFrame(rows, "check_id string, severity string, passed boolean, failed_rows long, sample array<string>")
 
 
 def blocked(results: DataFrame) -> DataFrame:

@@ -71,11 +71,12 @@ VIEWS = {
         from {lineitem}""",
 }
 
-#: Statuses of the first three days on a full five-minute grid: the two engines generate series differently.
+#: Every status carried forward on a full five-minute grid up to the last slot of the data: the two engines generate series differently.
 _DENSE = """
     with s as (select EvseID as evse_id, EVSEStatus as status, datetime, {slot} as slot_ts from {{fx_status_raw}}),
-    g as (select evse_id, slot_ts, max(struct_pack_) as last from (select evse_id, slot_ts, {pack} as struct_pack_ from s where slot_ts < timestamp '2024-01-04 00:00:00') x group by evse_id, slot_ts),
-    n as (select evse_id, slot_ts, last.status as status, lead(slot_ts, 1, timestamp '2024-01-04 00:00:00') over (partition by evse_id order by slot_ts) as next_ts from g)
+    g as (select evse_id, slot_ts, max(struct_pack_) as last from (select evse_id, slot_ts, {pack} as struct_pack_ from s) x group by evse_id, slot_ts),
+    e as (select max(slot_ts) + interval '5' minute as end_ts from s),
+    n as (select evse_id, slot_ts, last.status as status, coalesce(lead(slot_ts) over (partition by evse_id order by slot_ts), end_ts) as next_ts from g cross join e)
     select evse_id, {series} as slot_ts, status from n"""
 _ENGINE = {
     "spark": {

@@ -88,7 +88,7 @@ def fits_all(v: Views, station_id: int) -> DataFrame:
     """DC cars that share a plug with every active DC point of a station: cars x points less those that fit, turned round."""
     points = v.fx_point.filter((c("station_id") == station_id) & c("is_active") & (c("power_class") == "DC")).select("evse_id")
     cars = v.fx_vehicle.filter("dc_max_kw is not null").select("vehicle_id", "brand", "model")
-    fit = v.fx_point_plug.join(F.broadcast(points), "evse_id").join(v.fx_vehicle_plug, "plug_code").select("vehicle_id", "evse_id").distinct()
+    fit = v.fx_point_plug.join(points, "evse_id").join(v.fx_vehicle_plug, "plug_code").select("vehicle_id", "evse_id").distinct()
     need = points.agg(F.count(F.lit(1)).alias("need"))  # one row; a station has few points
     many = fit.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n"))
     return cars.join(many, "vehicle_id", "left").join(F.broadcast(need)).filter(F.coalesce("n", F.lit(0)) == c("need")).select("vehicle_id", "brand", "model")
@@ -115,7 +115,7 @@ _KM = "2 * 6371.0088 * asin(sqrt(power(sin(radians(p.lat - r.lat) / 2), 2) + cos
 SHARED["compat"] = f"""
     select r.request_id, p.evse_id, any_value(p.station_id) as station_id, any_value({_KM}) as distance_km, list_sort(list(distinct a.plug_code)) as plugs, any_value(p.power_class) as power_class, any_value(p.power_kw) as power_kw,
       any_value(case when p.power_kw is null then null when p.power_class = 'DC' then least(p.power_kw, v.dc_max_kw) else least(p.power_kw, v.ac_max_kw) end) as effective_kw
-    from (select * from {{fx_request}} where request_id % 7 = 0) r join {{fx_point}} p on p.is_active and {_KM} <= 15 join {{fx_vehicle}} v on v.vehicle_id = r.vehicle_id join {{fx_point_plug}} a on a.evse_id = p.evse_id
+    from {{fx_request}} r join {{fx_point}} p on p.is_active and {_KM} <= 15 join {{fx_vehicle}} v on v.vehicle_id = r.vehicle_id join {{fx_point_plug}} a on a.evse_id = p.evse_id
       join {{fx_vehicle_plug}} b on b.plug_code = a.plug_code and b.vehicle_id = r.vehicle_id where p.power_class = 'AC' or v.dc_max_kw is not null group by 1, 2"""
 
 
@@ -124,7 +124,6 @@ def compatible(v: Views, requests: DataFrame | None = None, radius_km: float = 1
     return geo.compatible_points(requests, v.fx_point, v.fx_point_plug, v.fx_vehicle_plug, v.fx_vehicle, radius_km)
 
 
-# all requests and points; the SQL of these queries still asks for one request in seven
 @query("compatible_points_in_radius", "select request_id, evse_id, station_id, round(distance_km, 6) as distance_km, array_to_string(plugs, ',') as plug_codes, power_class, power_kw, effective_kw from {compat}")
 def _(v):
     return rounded(compatible(v).withColumn("plug_codes", F.array_join("plug_codes", ",")))
@@ -192,7 +191,7 @@ def _(v):
     return h.filter("versions > 1")
 
 
-@query("ordered_string_agg", "select source, string_agg(status, ',' order by started_at, run_id) as runs from {fx_run} where run_id % 50 = 0 group by 1")
+@query("ordered_string_agg", "select source, string_agg(status, ',' order by started_at, run_id) as runs from {fx_run} group by 1")
 def _(v):
     # in two steps, so that no task sorts all runs of a source: first each day's runs, then the days' lists
     told = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*at, "runs"))), lambda x: x["runs"]), ",").alias("runs")
@@ -233,7 +232,7 @@ def edges(v: Views) -> DataFrame:
     return rn.union(ns).union(sp).union(np_).distinct()
 
 
-_UP = "with recursive up(start, node, depth) as (select concat('p', p_partkey), concat('p', p_partkey), 0 from {part} where p_partkey % 20 = 0 union select start, e.from_node, depth + 1 from {edge} e join up on e.to_node = up.node)"
+_UP = "with recursive up(start, node, depth) as (select concat('p', p_partkey), concat('p', p_partkey), 0 from {part} union select start, e.from_node, depth + 1 from {edge} e join up on e.to_node = up.node)"
 
 
 def _recursive(text: str) -> str:

@@ -63,7 +63,7 @@ def _(v):
 @query("fn_weekend_holiday", "select o_orderkey, cast((dayofweek(o_orderdate) + 6) % 7 >= 5 as int) as is_weekend, cast((month(o_orderdate), day(o_orderdate)) in ((1, 1), (8, 1), (12, 25)) as int) as is_holiday from {orders}")
 def _(v):
     days = v.spark.createDataFrame([(1, 1), (8, 1), (12, 25)], "m int, d int")  # a holiday table; here the fixed dates of the whole country
-    rows = v.orders.withColumns({"m": F.month("o_orderdate"), "d": F.day("o_orderdate")}).join(F.broadcast(days.withColumn("hit", F.lit(1))), ["m", "d"], "left")
+    rows = v.orders.withColumns({"m": F.month("o_orderdate"), "d": F.day("o_orderdate")}).join(days.withColumn("hit", F.lit(1)), ["m", "d"], "left")
     return rows.select("o_orderkey", (F.weekday("o_orderdate") >= 5).cast("int").alias("is_weekend"), F.coalesce("hit", F.lit(0)).alias("is_holiday"))
 
 
@@ -156,7 +156,7 @@ def _(v):
 @query("in_list_param", "select evse_id, status from {fx_status_dense} where evse_id in (select evse_id from {fx_point} where k in (3, 6, 9)) and minute(slot_ts) = 0")
 def _(v):
     wanted = v.fx_point.filter(c("k").isin(3, 6, 9)).select("evse_id")
-    return v.fx_status_dense.filter(F.minute("slot_ts") == 0).join(F.broadcast(wanted), "evse_id", "left_semi").select("evse_id", "status")
+    return v.fx_status_dense.filter(F.minute("slot_ts") == 0).join(wanted, "evse_id", "left_semi").select("evse_id", "status")
 
 
 @query("bounding_box", "select station_id, lat, lon from {fx_station} where lat between 46.9 - 30 / 111.0 and 46.9 + 30 / 111.0 and lon between 7.4 - 30 / (111.0 * cos(radians(46.9))) and 7.4 + 30 / (111.0 * cos(radians(46.9)))")

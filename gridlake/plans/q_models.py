@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as M
 from ..operators import status
+from ..session import staged
 from .q_status import rounded
 from .q_tables import ts
 from .registry import SHARED, Views, query
@@ -36,6 +37,8 @@ _DOW, _HR = f"(dayofweek({_LT}) + 6) % 7", f"hour({_LT})"
 SHARED["prof"] = f"select canton_code, power_class, {_DOW.format('hour_utc')} as dow, {_HR.format('hour_utc')} as hour_local, avg(y) as profile from {{series}} where hour_utc <= timestamp '2024-01-20 23:00:00' group by 1, 2, 3, 4"
 SHARED["fcst_p"] = f"select f.*, cast({_DOW.format('target_utc')} as int) as dow, cast({_HR.format('target_utc')} as int) as hour_local, profile from {{fcst}} f left join {{prof}} p on p.canton_code = f.canton_code and p.power_class = f.power_class and p.dow = {_DOW.format('target_utc')} and p.hour_local = {_HR.format('target_utc')}"
 TRAIN_TO = "2024-01-20 23:00:00"
+#: The tables hold 30 days: the stopping tail is 4 of them, of 28 in years of data; rounds of boosting at most.
+TAIL_DAYS, ROUNDS = 4, 20
 
 
 def dataset(v: Views) -> DataFrame:
@@ -130,12 +133,12 @@ def forecast_parts(v: Views, kind: str = "actual") -> tuple[DataFrame, DataFrame
 @query("gbt_forecast")
 def _(v):
     train, test = forecast_parts(v)
-    return M.forecast(test, M.fit_gbt_forecast(train)).select(*M.SERIES, "origin_utc", "h", "p", "y")
+    return M.forecast(test, M.fit_gbt_forecast(train, TAIL_DAYS, ROUNDS)).select(*M.SERIES, "origin_utc", "h", "p", "y")
 
 
 @query("weather_ablation")
 def _(v):
-    model = M.fit_gbt_forecast(forecast_parts(v)[0])
+    model = M.fit_gbt_forecast(forecast_parts(v)[0], TAIL_DAYS, ROUNDS)
     out = None
     for kind in ("actual", "hist_forecast"):
         p = M.forecast(forecast_parts(v, kind)[1], model).withColumns({"naive": M.seasonal_naive(), "weather": F.lit(kind)})
@@ -156,8 +159,9 @@ SHARED["feat"] = f"""
 
 
 def feature_rows(v: Views) -> DataFrame:
-    parts = status.profile_parts(v.fx_status_dense)
-    sample = status.availability_sample(v.fx_status_dense, v.fx_point, share_bp=500)
+    grid = staged(v.fx_status_dense, "grid")
+    parts = status.profile_parts(grid)
+    sample = status.availability_sample(grid, v.fx_point, share_bp=500)
     return M.availability_features(sample, v.fx_point, status.evse_profile(parts), status.profile_group(parts, v.fx_point), v.fx_weather, "hist_forecast")
 
 
@@ -166,16 +170,16 @@ def _(v):
     return rounded(feature_rows(v).select("evse_id", "t0", "delta_min", "status_code", "class_dc", c("dow").cast("int").alias("dow"), c("hour_local").cast("int").alias("hour_local"), "share_free_other", "p_free_evse", "p_free_group", "temp_c"))
 
 
-SHARED["mk_train"] = "select *, hour_local // 4 as hb from {feat} where t0 < timestamp '2024-01-02 12:00:00'"
+SHARED["mk_train"] = "select *, hour_local // 4 as hb from {feat} where t0 < timestamp '2024-01-19 12:00:00'"
 SHARED["mk"] = """
-    select f.*, case when status_code = 0 then 0.95 else 0.05 end as b0, coalesce(p_free_evse, p_free_group, 0.75) as b1, coalesce(a.p, b.p, 0.75) as b2 from (select *, hour_local // 4 as hb from {feat} where t0 >= timestamp '2024-01-02 12:00:00') f
+    select f.*, case when status_code = 0 then 0.95 else 0.05 end as b0, coalesce(p_free_evse, p_free_group, 0.75) as b1, coalesce(a.p, b.p, 0.75) as b2 from (select *, hour_local // 4 as hb from {feat} where t0 >= timestamp '2024-01-19 12:00:00') f
     left join (select status_code, class_dc, hb, delta_min, avg(y) as p from {mk_train} group by 1, 2, 3, 4 having count(*) >= 10) a using (status_code, class_dc, hb, delta_min) left join (select status_code, delta_min, avg(y) as p from {mk_train} group by 1, 2) b using (status_code, delta_min)"""
 
 
 def scored(v: Views) -> DataFrame:
-    f = feature_rows(v)
-    table = M.fit_markov(f.filter(c("t0") < ts("2024-01-02 12:00:00")), min_count=10)
-    out = M.predict_markov(f.filter(c("t0") >= ts("2024-01-02 12:00:00")), table)
+    f = staged(feature_rows(v), "features")  # for the fit and for what is predicted
+    table = M.fit_markov(f.filter(c("t0") < ts("2024-01-19 12:00:00")), min_count=10)
+    out = M.predict_markov(f.filter(c("t0") >= ts("2024-01-19 12:00:00")), table)
     return out.withColumns({"b0": M.persistence(), "b1": M.profile_probability(), "b2": c("p_markov")})
 
 
@@ -234,15 +238,15 @@ def _(v):
     return rounded(m.filter(c("slice").startswith("delta") | (c("n") > 100)))
 
 
-@query("model_selection", "select arg_min(model, (brier, model)) as selected, round(min(brier), 6) as brier from (select model, avg((p - y) * (p - y)) as brier from {mk_long} where t0 >= timestamp '2024-01-03' group by 1) x")
+@query("model_selection", "select arg_min(model, (brier, model)) as selected, round(min(brier), 6) as brier from (select model, avg((p - y) * (p - y)) as brier from {mk_long} where t0 >= timestamp '2024-01-25' group by 1) x")
 def _(v):
-    late = clean(by_model(v)).filter(c("t0") >= ts("2024-01-03 00:00:00"))
+    late = clean(by_model(v)).filter(c("t0") >= ts("2024-01-25 00:00:00"))
     return rounded(M.select_model(M.classification_metrics(late, "y", "p", ["model"]).select("model", "brier")))
 
 
-@query("time_split", "select case when t0 < timestamp '2024-01-02' then 'train' when t0 < timestamp '2024-01-03' then 'valid' else 'test' end as part, count(*) as n, round(avg(y), 6) as base_rate from {feat} group by 1")
+@query("time_split", "select case when t0 < timestamp '2024-01-19' then 'train' when t0 < timestamp '2024-01-25' then 'valid' else 'test' end as part, count(*) as n, round(avg(y), 6) as base_rate from {feat} group by 1")
 def _(v):
-    part = F.when(c("t0") < ts("2024-01-02"), "train").when(c("t0") < ts("2024-01-03"), "valid").otherwise("test")
+    part = F.when(c("t0") < ts("2024-01-19"), "train").when(c("t0") < ts("2024-01-25"), "valid").otherwise("test")
     return rounded(feature_rows(v).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("base_rate")))
 
 
@@ -257,9 +261,10 @@ def _(v):
 
 
 def trained(v: Views):
-    f = M.predict_markov(feature_rows(v), M.fit_markov(feature_rows(v).filter(c("t0") < ts("2024-01-02 12:00:00")), 10))
-    train, calib, test = f.filter(c("t0") < ts("2024-01-02 12:00:00")), f.filter((c("t0") >= ts("2024-01-02 12:00:00")) & (c("t0") < ts("2024-01-03"))), f.filter(c("t0") >= ts("2024-01-03"))
-    return M.fit_gbt_availability(train, calib), test
+    rows = staged(feature_rows(v), "features")
+    f = M.predict_markov(rows, M.fit_markov(rows.filter(c("t0") < ts("2024-01-19 12:00:00")), 10))
+    train, calib, test = f.filter(c("t0") < ts("2024-01-19 12:00:00")), f.filter((c("t0") >= ts("2024-01-19 12:00:00")) & (c("t0") < ts("2024-01-25"))), f.filter(c("t0") >= ts("2024-01-25"))
+    return M.fit_gbt_availability(train, calib, ROUNDS), test
 
 
 @query("gbt_availability")
@@ -272,3 +277,19 @@ def _(v):
 def _(v):
     model, test = trained(v)
     return M.score_availability(test, model).select("evse_id", "t0", "delta_min", "p_free")
+
+
+@query("model_selection_boosted")
+def _(v):
+    """The least Brier score among the baselines, the transition table and the calibrated trees."""
+    model, test = trained(v)
+    told = M.score_availability(test, model).withColumns({"b0": M.persistence(), "b1": M.profile_probability(), "b2": c("p_markov"), "b3": c("p_free")})
+    long = told.select("y", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c(m).alias("p")) for m in ("b0", "b1", "b2", "b3")])).alias("m")).select("y", "m.*")
+    scores = M.classification_metrics(clean(long), "y", "p", ["model"]).select("model", "brier")
+    least = M.select_model(scores).select(c("selected").alias("model"), F.lit(True).alias("chosen"))
+    return scores.join(least, "model", "left").select("model", "brier", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query("gbt_importance")
+def _(v):
+    return M.importance(v.spark, trained(v)[0])

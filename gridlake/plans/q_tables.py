@@ -211,7 +211,7 @@ def _(v):
 
 @query("unnest_alias_join", "select evse_id, plug_code from (select evse_id, unnest(case when power_type = 'DC' then ['CCS', 'Chademo'] else ['Type 2', 'Schuko'] end) as source_name from {good_rec}) x join (values ('CCS', 'CCS2'), ('Type 2', 'TYPE2_CABLE'), ('Type 2', 'TYPE2_SOCKET'), ('Chademo', 'CHADEMO')) a(source_name, plug_code) using (source_name)")
 def _(v):
-    return good_records(v).select("evse_id", F.explode("plugs").alias("source_name")).join(F.broadcast(aliases(v)), "source_name").select("evse_id", "plug_code")
+    return good_records(v).select("evse_id", F.explode("plugs").alias("source_name")).join(aliases(v), "source_name").select("evse_id", "plug_code")
 
 
 def aliases(v: Views) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC times, adaptive plans, whole partitions replaced on overwrite.
 SETTINGS = {
@@ -23,9 +23,19 @@ def session(master: str | None = None, **more: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A new path below spark.checkpoint.dir, in the application's own folder; where that is unset, below a temporary one, on a local
+    master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written to a new path and read again, for frames that are used more than once."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

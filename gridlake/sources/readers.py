@@ -13,14 +13,20 @@ POWER_TYPES = ("AC_1_PHASE", "AC_3_PHASE", "DC")
 
 
 def read_status_archive(spark: SparkSession, path: str) -> DataFrame | None:
-    """The month's statuses, or None if a column is missing or nothing can be read: the month is then partial."""
+    """The month's statuses, or None if a file can't be read or lacks a column, or there is none: the month is then partial.
+
+    The footer of each of the month's files is read by tasks, empty files too; then each file's columns are looked at.
+    """
     try:
-        df = spark.read.parquet(path)
+        month = spark.read.option("mergeSchema", "true").parquet(path)
+        files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()]
+        if any(not set(ARCHIVE_COLUMNS) <= set(spark.read.parquet(f).columns) for f in files):
+            return None
     except Exception as e:  # noqa: BLE001  an unreadable or empty file is a finding, not a fault
-        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "CANNOT_READ_FILE_FOOTER" in str(e) or "PATH_NOT_FOUND" in str(e):
+        if any(k in str(e) for k in ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "PATH_NOT_FOUND", "is not a Parquet file")):
             return None
         raise
-    return df.select(*ARCHIVE_COLUMNS) if set(ARCHIVE_COLUMNS) <= set(df.columns) else None
+    return month.select(*ARCHIVE_COLUMNS) if set(ARCHIVE_COLUMNS) <= set(month.columns) else None
 
 
 def parse_coordinates(google: Column, lat: Column | None = None, lon: Column | None = None) -> Column:

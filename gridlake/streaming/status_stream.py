@@ -1,4 +1,8 @@
-"""Status snapshots as streams: ingest without repeats, hourly occupancy, episodes kept in state."""
+"""Status snapshots as streams: ingest without repeats, hourly occupancy, episodes kept in state.
+
+Each takes a `place`, a folder for its checkpoint and its output. A run with the same place goes on where the last one stopped:
+nothing is read twice, and what it returns is all that has come out so far. Without one a run starts anew.
+"""
 
 from __future__ import annotations
 
@@ -23,18 +27,20 @@ def snapshots(spark: SparkSession, folder: str, schema, pattern: str | None = No
     return reader.parquet(folder)
 
 
-def drained(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append"):
-    """Run a stream over all that is there now, batch by batch; its progress reports."""
-    q = stream.writeStream.foreachBatch(handle).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch(stream.sparkSession, "stream")).start()
+def drained(stream: DataFrame, handle: Callable[[DataFrame, int], None], place: str, mode: str = "append"):
+    """Run a stream over all that is there now, batch by batch, from the checkpoint in place; its progress reports. A batch that is run
+    again after a failure has its number again and overwrites what it wrote."""
+    q = stream.writeStream.foreachBatch(handle).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").start()
     q.awaitTermination()
     return q.recentProgress
 
 
-def ingest(statuses: DataFrame, points: DataFrame, late: str = "10 minutes") -> tuple[DataFrame, DataFrame]:
+def ingest(statuses: DataFrame, points: DataFrame, late: str = "10 minutes", place: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of known points, counts of unknown ones) of a stream of evse_id, datetime, status: one row for each slot and point, the
     first that comes. Rows that come later than the watermark allows are dropped."""
     spark = statuses.sparkSession
-    rows, unknown = scratch(spark, "rows"), scratch(spark, "unknown")
+    place = place or scratch(spark, "ingest")
+    rows, unknown = f"{place}/rows", f"{place}/unknown"
     own = statuses.withColumn("slot_ts", slot_floor(c("datetime"))).withWatermark("slot_ts", late).dropDuplicatesWithinWatermark(["slot_ts", "evse_id"])
     ids = points.select("evse_id")
 
@@ -44,14 +50,15 @@ def ingest(statuses: DataFrame, points: DataFrame, late: str = "10 minutes") ->
         batch.join(ids, "evse_id", "left_anti").groupBy("slot_ts").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{unknown}/batch={number}")
         batch.unpersist()
 
-    drained(own, handle)
+    drained(own, handle, place)
     return spark.read.parquet(rows).drop("batch"), spark.read.parquet(unknown).drop("batch")
 
 
-def live_occupancy(statuses: DataFrame, dim: DataFrame, late: str = "2 hours") -> DataFrame:
+def live_occupancy(statuses: DataFrame, dim: DataFrame, late: str = "2 hours", place: str | None = None) -> DataFrame:
     """canton_code, hour_utc, n, n_free, n_occ by tumbling hours: each batch updates the hours it touches, the last update counts."""
     spark = statuses.sparkSession
-    out = scratch(spark, "live")
+    place = place or scratch(spark, "live")
+    out = f"{place}/hours"
     hourly = (
         statuses.withWatermark("datetime", late)
         .join(dim.select("evse_id", "canton_code"), "evse_id")
@@ -62,7 +69,7 @@ def live_occupancy(statuses: DataFrame, dim: DataFrame, late: str = "2 hours") -
     def handle(batch: DataFrame, number: int) -> None:
         batch.select(c("window.start").alias("hour_utc"), "canton_code", "n", "n_free", "n_occ").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    drained(hourly, handle, "update")
+    drained(hourly, handle, place, "update")
     newest = F.row_number().over(Window.partitionBy("canton_code", "hour_utc").orderBy(F.desc("batch")))
     return spark.read.parquet(out).withColumn("_n", newest).filter("_n = 1").drop("_n", "batch")
 
@@ -71,11 +78,12 @@ EPISODE = "evse_id string, status string, valid_from timestamp, valid_to timesta
 STATE = "status string, first timestamp, last timestamp, n int"
 
 
-def episodes(grid: DataFrame, gap: str = "10 minutes", slot: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+def episodes(grid: DataFrame, gap: str = "10 minutes", slot: str = "5 minutes", late: str = "1 hour", place: str | None = None) -> DataFrame:
     """Closed episodes of a stream of evse_id, slot_ts, status: an episode closes at the first row of another status or after the gap,
     or when the watermark passes it by the gap. A point's open episode is its state."""
     spark = grid.sparkSession
-    out = scratch(spark, "episodes")
+    place = place or scratch(spark, "episodes")
+    out = f"{place}/closed"
     most, width = pd.Timedelta(gap), pd.Timedelta(slot)
 
     def close(key: str, s: tuple) -> dict:
@@ -88,11 +96,15 @@ def episodes(grid: DataFrame, gap: str = "10 minutes", slot: str = "5 minutes",
             state.remove()
         else:
             rows = pd.concat(list(frames)).sort_values("slot_ts")  # one point's rows of one micro-batch
-            for at, status in zip(rows["slot_ts"], rows["status"]):
-                if now is not None and (status != now[0] or at - now[2] > most):
-                    closed.append(close(key[0], now))
-                    now = None
-                now = (status, at, at, 1) if now is None else (now[0], now[1], max(at, now[2]), now[3] + 1)
+            if now is not None:  # the open episode goes before them as one row
+                rows = pd.concat([pd.DataFrame({"slot_ts": [now[2]], "status": [now[0]]}), rows[["slot_ts", "status"]]])
+            anew = (rows["status"] != rows["status"].shift()) | (rows["slot_ts"].diff() > most)
+            runs = rows.groupby(anew.to_numpy().cumsum()).agg(status=("status", "first"), first=("slot_ts", "min"), last=("slot_ts", "max"), n=("slot_ts", "size"))
+            found = [tuple(r) for r in runs.itertuples(index=False)]  # one an episode
+            if now is not None:
+                found[0] = (now[0], now[1], found[0][2], now[3] + found[0][3] - 1)
+            closed += [close(key[0], s) for s in found[:-1]]
+            now = (found[-1][0], found[-1][1], found[-1][2], int(found[-1][3]))
             state.update(now)
             after = int((now[2] + most).timestamp() * 1000)
             if after > state.getCurrentWatermarkMs():
@@ -101,5 +113,5 @@ def episodes(grid: DataFrame, gap: str = "10 minutes", slot: str = "5 minutes",
             yield pd.DataFrame(closed)
 
     stream = grid.withWatermark("slot_ts", late).groupBy("evse_id").applyInPandasWithState(step, EPISODE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    drained(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+    drained(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), place)
     return spark.read.parquet(out).drop("batch")

@@ -186,3 +186,90 @@ def test_window_plan(spark):
     have = spark.createDataFrame([("BE", dt(2024, 1, 1, 23)), ("ZH", dt(2024, 3, 1, 5))], "key string, hour_utc timestamp")
     got = sorted(map(tuple, loads.window_plan(have, F.lit("2024-01-20").cast("date"), 10).collect()))
     assert [(k, str(a), str(b)) for k, a, b in got] == [("BE", "2024-01-02", "2024-01-11"), ("BE", "2024-01-12", "2024-01-20")]
+
+
+def test_checks_fail_alone(spark):
+    """A check that can't be planned, and one that fails on an executor, are findings; the others run."""
+    from gridlake.operators import quality
+
+    tables = {"station": spark.createDataFrame([(1, "a", "1000", None)], "station_id long, name string, postal_code string, canton_code string")}
+    broken = spark.range(3).select(F.col("id").alias("station_id"), F.lit("n").alias("name"), F.lit("1").alias("postal_code"), F.expr("cast(raise_error('no such cell') as string)").alias("canton_code"))
+    ok = quality.run_checks(tables, F.lit("2024-01-01").cast("timestamp"), spark, only=["completeness_station_canton", "completeness_evse_power"]).collect()
+    assert {r["check_id"]: (r["passed"], r["failed_rows"]) for r in ok} == {"completeness_station_canton": (False, 1), "completeness_evse_power": (False, 1)}
+    both = quality.run_checks({"station": broken, "point": spark.createDataFrame([("x", 11.0, "AC", True)], "evse_id string, power_kw double, power_class string, is_active boolean")}, F.lit("2024-01-01").cast("timestamp"), spark, only=["completeness_station_canton", "completeness_evse_power"]).collect()
+    told = {r["check_id"]: r for r in both}
+    assert not told["completeness_station_canton"]["passed"] and told["completeness_evse_power"]["passed"]
+
+
+def test_a_month_with_a_bad_file_is_partial(spark, tmp_path):
+    from gridlake.sources import readers
+
+    good = spark.createDataFrame([("2024-01-01", "a", "Available", "o")], "datetime string, EvseID string, EVSEStatus string, OperatorID string")
+    path = str(tmp_path / "month")
+    good.write.parquet(path)
+    assert readers.read_status_archive(spark, path).count() == 1
+    good.drop("OperatorID").write.mode("append").parquet(path)
+    assert readers.read_status_archive(spark, path) is None
+    other = tmp_path / "other"
+    good.write.parquet(str(other))
+    (other / "empty.parquet").write_bytes(b"")
+    assert readers.read_status_archive(spark, str(other)) is None
+    assert readers.read_status_archive(spark, str(tmp_path / "none")) is None
+
+
+def test_radius_at_any_latitude(spark):
+    import math
+    import random
+
+    from gridlake.operators import geo
+
+    rng = random.Random(3)
+    for north in (0, 47, 60, 75):
+        a = [(i, north + rng.uniform(-2, 2), 10 + rng.uniform(-3, 3)) for i in range(60)]
+        b = [(i, north + rng.uniform(-2, 2), 10 + rng.uniform(-3, 3)) for i in range(200)]
+
+        def km(x, y):
+            p, q = math.radians(x[1]), math.radians(y[1])
+            h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(y[2] - x[2]) / 2) ** 2
+            return 2 * 6371.0088 * math.asin(math.sqrt(h))
+
+        want = {(x[0], y[0]) for x in a for y in b if km(x, y) <= 40}
+        asking, places = spark.createDataFrame(a, "q long, alat double, alon double"), spark.createDataFrame(b, "p long, lat double, lon double")
+        got = [(r["q"], r["p"]) for r in geo.within_radius(asking, places, 40.0).select("q", "p").collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_lineage_says_when_paths_do_not_end(spark):
+    import pytest
+
+    from gridlake.operators import lineage
+
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "from_node string, to_node string")
+    with pytest.raises(ValueError):
+        lineage.ancestors(ring, spark.createDataFrame([("a",)], "start string"), most=5)
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    from gridlake.streaming import status_stream
+
+    kind = "evse_id string, slot_ts timestamp, status string"
+    feed, place = str(tmp_path / "feed"), str(tmp_path / "place")
+    at = lambda h, m=0: dt(2024, 1, 1, h, m)
+
+    def more(*rows):
+        spark.createDataFrame(list(rows), kind).coalesce(1).write.mode("append").parquet(feed)
+        return {tuple(r) for r in status_stream.episodes(status_stream.snapshots(spark, feed, spark.createDataFrame([], kind).schema), place=place).collect()}
+
+    assert more(("a", at(1), "Available"), ("a", at(1, 5), "Available")) == set()  # open, in the state
+    got = more(("a", at(1, 10), "Available"), ("a", at(1, 15), "Occupied"), ("b", at(1, 15), "Occupied"))
+    assert got == {("a", "Available", at(1), at(1, 15), 3)}  # its slots came in two runs
+    got = more(("a", at(9), "Available"), ("b", at(9), "Available"), ("a", at(9, 5), "Occupied"))
+    assert got == {("a", "Available", at(1), at(1, 15), 3), ("a", "Occupied", at(1, 15), at(1, 20), 1), ("b", "Occupied", at(1, 15), at(1, 20), 1), ("a", "Available", at(9), at(9, 5), 1)}
+
+    rows = spark.createDataFrame([("a", at(1)), ("zz", at(1))], "evse_id string, datetime timestamp").withColumn("status", F.lit("Available"))
+    known, raw, run = spark.createDataFrame([("a",)], "evse_id string"), str(tmp_path / "raw"), str(tmp_path / "run")
+    for turn in (1, 2, 3):  # the third finds nothing new
+        if turn < 3:
+            rows.withColumn("datetime", c("datetime") + F.make_interval(hours=F.lit(turn))).write.mode("append").parquet(raw)
+        found, unknown = status_stream.ingest(status_stream.snapshots(spark, raw, rows.schema), known, place=run)
+        assert found.count() == unknown.count() == min(turn, 2)

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 #: Model fits and text operators have tests of their own.
-SLOW = {"gbt_forecast", "weather_ablation", "gbt_availability", "score_availability"}
+SLOW = {"gbt_forecast", "weather_ablation", "gbt_availability", "score_availability", "model_selection_boosted", "gbt_importance"}
 NAMES = [n for n in QUERIES if n not in SLOW and n != "pipeline" and not (n.startswith("op") and n[2].isdigit())]
 
 
