@@ -4,7 +4,8 @@ Two fingerprints at most 2r bits apart share a variant within r bits of both. Ea
 variants within r = reach // 2 bits. Variants travel grouped by their leading bits: a row (leading bits of the variant,
 fingerprint, flips left) stands for all variants with these leading bits, and the receiving task writes them out,
 sorts them and links what collides. All holders of one variant lie within 2r bits of each other, so a
-star to the least of them keeps every link of the group without listing its pairs.
+star to the one nearest to it keeps every link of the group without listing its pairs. Of the links that meet in a task a tree of the
+shortest is kept: it connects what they connect, and a dense group has no more of them than members.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def _routes(fps: np.ndarray, left: np.ndarray, below: int, take: int):
 
 
 def _links(fps: np.ndarray, left: np.ndarray, below: int) -> np.ndarray:
-    """Star links (fingerprint, least holder) among all variants of the rows' low `below` bits; pairs of indices into fps."""
+    """Star links (fingerprint, nearest holder) among all variants of the rows' low `below` bits; pairs of indices into fps."""
     size = sum(math.comb(below, k) for k in range(int(left.max(initial=0)) + 1))
     if len(fps) < 2:
         return np.zeros((0, 2), np.int64)
@@ -129,14 +130,15 @@ def _links(fps: np.ndarray, left: np.ndarray, below: int) -> np.ndarray:
             found.append(row[own][_links(fps[row[own]], rest[own], below - 4)])
         return np.concatenate(found)
     low = fps & np.uint64((1 << below) - 1)
-    codes, owners = [], []
+    codes, owners, far = [], [], []
     for flips in range(int(left.max(initial=0)) + 1):
         own = np.flatnonzero(left == flips)
         if len(own):
-            masks, _ = _flips(below, flips)
+            masks, used = _flips(below, flips)
             codes.append((low[own][:, None] ^ masks[None, :]).reshape(-1))
             owners.append(np.repeat(own, len(masks)))
-    codes, owners = np.concatenate(codes), np.concatenate(owners)
+            far.append(np.tile((used - flips).astype(np.int8), len(own)))  # flips of a variant in all, less those that all rows may make
+    codes, owners, far = np.concatenate(codes), np.concatenate(owners), np.concatenate(far)
     order = np.argsort(codes)
     codes = codes[order]
     same = codes[1:] == codes[:-1]
@@ -146,14 +148,31 @@ def _links(fps: np.ndarray, left: np.ndarray, below: int) -> np.ndarray:
     member[1:] |= same
     member[:-1] |= same
     at = np.flatnonzero(member)
-    owners, head = owners[order[at]], np.append(True, codes[at][1:] != codes[at][:-1])
+    owners, far, head = owners[order[at]], far[order[at]], np.append(True, codes[at][1:] != codes[at][:-1])
     group = np.cumsum(head) - 1
-    by = np.lexsort((fps[owners], group))
-    least = owners[by][np.flatnonzero(head)][group]
-    pairs = np.stack([owners, least], 1)
+    by = np.lexsort((fps[owners], far, group))
+    nearest = owners[by][np.flatnonzero(head)][group]
+    pairs = np.stack([owners, nearest], 1)
     return np.unique(pairs[fps[pairs[:, 0]] != fps[pairs[:, 1]]], axis=0)
 
 
+def _tree(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs that connect, shortest first, what none before them connects."""
+    values, node = np.unique(fps[pairs], return_inverse=True)
+    node = node.reshape(-1, 2)
+    order = np.lexsort((node[:, 1], node[:, 0], np.bitwise_count(values[node[:, 0]] ^ values[node[:, 1]])))
+    parent, keep = list(range(len(values))), []
+    for i, (a, b) in zip(order.tolist(), node[order].tolist()):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(i)
+    return pairs[keep]
+
+
 def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8) -> DataFrame:
     """Links (a, b), a != b, among distinct fingerprints `fp`: connected just as all pairs at most `reach` bits apart are.
 
@@ -183,6 +202,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
         for a, b in zip(cuts, np.append(cuts[1:], len(route))):
             pairs = _links(fps[a:b], left[a:b], 64 - lead)
             if len(pairs):
+                pairs = _tree(fps[a:b], pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(fps[a:b][pairs[:, k]].view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
     tasks = min(1 << lead, tasks_for(count * sum(math.comb(lead, k) for k in range(half + 1)), 1 << 20, 24))
