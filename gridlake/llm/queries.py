@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, hamming, language, lm, pii, sharding, simhash, token_counts
+from . import bpe, decontaminate, exact_dedup, filter_audit, hamming, language, lm, pii, sharding, simhash, token_counts
 from .common import documents, in_test_part
 
 
@@ -61,6 +61,10 @@ def op10_gated_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(documents(spark, sf_dir))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -126,5 +130,46 @@ k as (select query_id, cast(row_number() over (partition by query_id order by di
 select query_id, rank, neighbour_id, distance from k where rank <= 10"""
 
 
+_OP11 = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select doc_id, part, text, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '') as words from d),
+firsts as (select text, min(doc_id) as least from d group by text),
+f as (
+  select doc_id, part,
+    len(words) < 50 as a,
+    100 * len(list_distinct(words)) < 65 * len(words) as b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d,
+    coalesce(doc_id > least, false) as e
+  from w join firsts using (text)
+),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+m as (
+  select part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) as fails, count(*) as n,
+    count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from f left join l using (doc_id) group by all
+),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select [p.x, q.x, r.x, s.x, t.x] as o from x p, x q, x r, x s, x t
+  where q.x <> p.x and r.x not in (p.x, q.x) and s.x not in (p.x, q.x, r.x) and t.x not in (p.x, q.x, r.x, s.x)
+),
+steps as (select o, unnest(range(1, 6)) as step from orders),
+s as (
+  select part, array_to_string(o, '') as filter_order, step, o[step] as letter,
+    sum(case when list_has_any(fails, o[:step]) then 0 else n end) as kept,
+    sum(case when list_contains(fails, o[step]) and not list_has_any(fails, o[:step - 1]) then n else 0 end) as removed,
+    sum(case when list_contains(fails, o[step]) and list_has_any(fails, o[:step - 1]) then n else 0 end) as redundant,
+    sum(case when fails = [o[step]] then n else 0 end) as unique_fails,
+    sum(case when list_contains(fails, o[step]) and not list_has_any(fails, o[:step - 1]) then good else 0 end) as good_lost,
+    sum(case when list_contains(fails, o[step]) and not list_has_any(fails, o[:step - 1]) then toxic else 0 end) as toxic_lost
+  from m, steps group by all
+)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hash_tree_sharding": _op1_sql(), "op3_fm_index_decontamination": _OP3, "op4_multi_index_hamming": _OP4}
+    return {"op1_hash_tree_sharding": _op1_sql(), "op3_fm_index_decontamination": _OP3, "op4_multi_index_hamming": _OP4, "op11_filter_interaction_audit": _OP11}
