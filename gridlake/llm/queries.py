@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, filter_audit, hamming, language, lm, pii, sharding, simhash, token_counts
+from . import bpe, decontaminate, exact_dedup, filter_audit, hamming, language, lm, pii, sharding, simhash, spelling, token_counts
 from .common import documents, in_test_part
 
 
@@ -65,6 +65,10 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -171,5 +175,36 @@ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as ke
 from s"""
 
 
+_OP13 = rf"""
+with recursive nibbles as (select list_transform(range(16), lambda i: list_reduce(list_prepend(i, range(4)), lambda c, s: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
+runs as (
+  select coalesce(cast(doc_id as varchar), '') as doc, {_LOWER.format("run")} as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as run from documents)
+  where length(run) >= 7 group by all
+),
+coded as (select doc, run, n, hex(encode(doc || ':' || run)) as h from runs),
+hashed as (
+  select run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h)), lambda i: strpos('0123456789ABCDEF', h[cast(xor(i, 1) as bigint) + 1]) - 1)),
+    lambda c, x: xor(c // 16, t[cast(xor(c % 16, x) as bigint) + 1])), 4294967295) as crc
+  from coded, nibbles
+),
+made as (select case when crc % 31 = 0 then substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) else run end as word, n from hashed),
+words as (select word, cast(sum(n) as bigint) as n from made where length(word) >= 7 group by word having sum(n) >= 2),
+cuts as (select word, n, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+shorter as (select distinct c.word as longer, c.n as longer_n, w.word as shorter, w.n as shorter_n from cuts c join words w on w.word = c.a || c.b),
+near as (
+  select x.word, y.word as other, y.n as other_n from cuts x join cuts y on x.a = y.a and x.b = y.b and x.word <> y.word
+  union all select longer, shorter, shorter_n from shorter
+  union all select shorter, longer, longer_n from shorter
+),
+best as (select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word),
+formed as (select word, n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * n then other end as form, case when other_n >= 10 * n then other_n end as form_n from words left join best using (word)),
+follow as (
+  select word, word as root, form as ahead from formed
+  union all select f.word, f.ahead, g.form from follow f join formed g on g.word = f.ahead
+)
+select word, form, root, n, n_near, form_n from formed join (select word, root from follow where ahead is null) using (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hash_tree_sharding": _op1_sql(), "op3_fm_index_decontamination": _OP3, "op4_multi_index_hamming": _OP4, "op11_filter_interaction_audit": _OP11}
+    return {"op1_hash_tree_sharding": _op1_sql(), "op3_fm_index_decontamination": _OP3, "op4_multi_index_hamming": _OP4, "op11_filter_interaction_audit": _OP11, "op13_spelling_variants": _OP13}
