@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, filter_audit, hamming, language, lm, pii, sharding, simhash, spelling, token_counts
+from . import bpe, decontaminate, exact_dedup, filter_audit, hamming, language, lm, pii, quality, sharding, simhash, spelling, token_counts
 from .common import documents, in_test_part
 
 
@@ -65,6 +65,12 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select("doc_id", in_test_part(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
