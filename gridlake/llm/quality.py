@@ -1,6 +1,6 @@
 """Quality scores: n-gram indicators scaled by class log-count ratios, and a linear model fitted by dual coordinate descent.
 
-Tokens are runs of word bytes and runs of signs; features are the tokens, their pairs, and that a word comes again at once, told by hash,
+Tokens are runs of word bytes and runs of signs; features are the tokens, their pairs, and that a token follows itself, told by hash,
 once a document. Each is scaled by the log of how much more of the good documents' features it is than of the others', and rows are
 brought to length 1. The hinge loss is minimized in its dual: a row's own variable is set to its optimum given all others, row after
 row. Blocks of rows do so side by side from the same weights, each as if all blocks moved as it does, so that their changes may be
@@ -24,7 +24,7 @@ SAMPLE_DOCS, ADDED, COST, ROUNDS, BLOCKS = 40_000, 1.0, 1.0, 12, 6
 BITS = 21
 #: One in so many labelled rows is not fitted but used to turn margins into chances.
 CALIBRATED = 5
-#: The hash of a token of word bytes that is the one before it, or the one before that: whichever it is.
+#: The hash of a token that follows itself, whichever it is.
 AGAIN = np.uint64(0x5BD1E9955BD1E995)
 GOOD = 0.7
 
@@ -68,12 +68,9 @@ def features_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     code = span_hashes(prefix_sums(flat), starts, ends)
     pair = mixed(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:])
     together = rows[:-1] == rows[1:]
-    again = np.zeros(len(rows), bool)
-    for gap in (1, 2):
-        again[gap:] |= (code[gap:] == code[:-gap]) & (rows[gap:] == rows[:-gap])
-    again &= kind[starts] == 1
+    again = together & (code[:-1] == code[1:])
     place = np.concatenate([code, pair[together], np.full(int(again.sum()), AGAIN)]) >> np.uint64(64 - BITS)
-    key = np.unique((np.concatenate([rows, rows[:-1][together], rows[again]]) << BITS) | place.astype(np.int64))
+    key = np.unique((np.concatenate([rows, rows[:-1][together], rows[:-1][again]]) << BITS) | place.astype(np.int64))
     return key & ((1 << BITS) - 1), key >> BITS
 
 
