@@ -85,13 +85,15 @@ def rotation_sums(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edited, whole
 
 
-def _summed_rotations(batches):
+def _summed_rotations(batches, spelt: int):
     for batch in batches:
         flat, offsets = flat_text(batch.column(batch.schema.get_field_index("word")))
         for i, (number, n) in enumerate(zip(batch.column(batch.schema.get_field_index("id")).to_pylist(), batch.column(batch.schema.get_field_index("n")).to_pylist())):
             code = np.frombuffer(flat[offsets[i] : offsets[i + 1]].tobytes().decode().encode("utf-32-le"), np.uint32)
             edited, whole = rotation_sums(code)
-            last = np.append(np.append(code[1:] != code[:-1], True), np.zeros(len(whole), bool))
+            if len(code) == spelt:
+                code, edited = code[:0], edited[:0]
+            last = np.concatenate([code[1:] != code[:-1], np.ones(min(1, len(code)), bool), np.zeros(len(whole), bool)])
             keys, is_edited = np.concatenate([edited, whole]), np.arange(len(last)) < len(edited)
             for a in range(0, len(keys), 1 << 16):
                 part = keys[a : a + (1 << 16)]
@@ -104,9 +106,10 @@ def rotations(words: DataFrame) -> DataFrame:
     """(key, edited, last, id, n): for each word and code point the key without it, and for each place the key of the word whole.
 
     `last` is whether an edited code point differs from the next: of a run of equal ones, only the last is taken for inserted.
+    Words of SPELT code points have whole keys of both kinds, so that they meet those with one more.
     """
-    long = F.length("word") > SPELT
-    return _spelt_rotations(words.filter(~long)).union(words.filter(long).transform(mapped, _summed_rotations, ROTATION))
+    spelt, size = SPELT, F.length("word")
+    return _spelt_rotations(words.filter(size <= spelt)).union(words.filter(size >= spelt).transform(mapped, lambda b: _summed_rotations(b, spelt), ROTATION))
 
 
 def near_words(words: DataFrame) -> DataFrame:
