@@ -198,6 +198,38 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def spans_differ(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of flat are others than those of its span of other."""
+    size = ends - starts
+    out = size != other_ends - other_starts
+    same = np.flatnonzero(~out & (size > 0))
+    if flat is other:
+        same = same[starts[same] != other_starts[same]]
+    for a, b in slices(np.concatenate(([0], np.cumsum(size[same])))):
+        part = same[a:b]
+        unlike = flat[ragged(starts[part], size[part])] != other[ragged(other_starts[part], size[part])]
+        if unlike.any():
+            out[part] = np.logical_or.reduceat(unlike, np.cumsum(size[part]) - size[part])
+    return out
+
+
+def distinct_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each kind, and each span's kind. Hashes sort the spans, bytes decide: different spans with one hash are two kinds."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, one, which = np.unique(span_hashes(prefix_sums(flat), starts, ends), return_index=True, return_inverse=True)
+    unlike = np.flatnonzero(spans_differ(flat, starts, ends, flat, starts[one][which], ends[one][which]))
+    if len(unlike):
+        more: dict[bytes, int] = {}
+        which = which.copy()
+        for i in unlike.tolist():
+            which[i] = len(one) + more.setdefault(flat[starts[i] : ends[i]].tobytes(), len(more))
+        first = np.full(len(more), len(starts))
+        np.minimum.at(first, which[unlike] - len(one), unlike)
+        one = np.concatenate((one, first))
+    return one, which
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The indices start, start+1, ... of each piece, end to end."""
     total = int(counts.sum())

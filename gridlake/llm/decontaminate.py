@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, aside, chunks, flat_text, mapped, prefix_sums, put_back, ragged, schema_with, span_hashes, staged, words_of
+from .common import ALNUM, LOWER, aside, chunks, distinct_spans, flat_text, mapped, prefix_sums, put_back, ragged, schema_with, span_hashes, spans_differ, staged, words_of
 
 SAMPLE = 8
 
@@ -25,7 +25,9 @@ SAMPLE = 8
 class Phrases:
     """Distinct windows of the test items over word numbers 1..V, and the items of each."""
 
-    vocabulary: np.ndarray  # sorted word hashes; number = place + 1
+    vocabulary: np.ndarray  # word hashes in order; number = place + 1
+    flat: np.ndarray  # the words' bytes, end to end in the same order
+    word_at: np.ndarray  # where each begins, and the end
     pairs: np.ndarray  # sorted keys of neighbouring words inside windows
     padded: np.ndarray  # windows x width, 0 after the end
     lengths: np.ndarray
@@ -39,9 +41,14 @@ def phrases_of(items: pa.Table, window: int = 10) -> Phrases:
     flat, offsets = flat_text(items.column("text"))
     flat = LOWER[flat]
     starts, ends, rows = words_of(flat, offsets, ALNUM)
-    hashes = span_hashes(prefix_sums(flat), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    vocabulary, numbers = np.unique(hashes, return_inverse=True)
-    numbers = numbers.astype(np.int64) + 1
+    one, kind = distinct_spans(flat, starts, ends)
+    hashes = span_hashes(prefix_sums(flat), starts[one], ends[one]) if len(one) else np.zeros(0, np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    vocabulary, one = hashes[order], one[order]
+    place = np.empty(len(one), np.int64)
+    place[order] = np.arange(len(one))
+    numbers = place[kind] + 1
+    words = flat[ragged(starts[one], ends[one] - starts[one])], np.concatenate(([0], np.cumsum(ends[one] - starts[one])))
     names, item_no = np.unique(np.array([str(x) for x in items.column("item_id").to_pylist()], dtype=object).astype(str), return_inverse=True)
     first = np.searchsorted(rows, np.arange(len(items)))
     count = np.searchsorted(rows, np.arange(len(items)), side="right") - first
@@ -55,13 +62,13 @@ def phrases_of(items: pa.Table, window: int = 10) -> Phrases:
         has = length > k
         padded[has, k] = numbers[at[has] + k]
     if not len(at):
-        return Phrases(vocabulary, np.zeros(0, np.int64), padded, length, np.zeros(1, np.int64), np.zeros(0, np.int64), list(names))
+        return Phrases(vocabulary, *words, np.zeros(0, np.int64), padded, length, np.zeros(1, np.int64), np.zeros(0, np.int64), list(names))
     distinct, which = np.unique(padded, axis=0, return_inverse=True)
     links = np.unique(np.stack([which.reshape(-1), item], 1), axis=0)
     item_at = np.searchsorted(links[:, 0], np.arange(len(distinct) + 1))
     base = len(vocabulary) + 1
     left, right = distinct[:, :-1], distinct[:, 1:]
-    return Phrases(vocabulary, np.unique((left * base + right)[right > 0]), distinct, (distinct > 0).sum(1), item_at, links[:, 1], list(names))
+    return Phrases(vocabulary, *words, np.unique((left * base + right)[right > 0]), distinct, (distinct > 0).sum(1), item_at, links[:, 1], list(names))
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -201,15 +208,29 @@ def _spans(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> pa
     return pa.ListArray.from_arrays(pa.array(at), inner)
 
 
+def numbered(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, p: Phrases) -> np.ndarray:
+    """The number of each word of flat, 0 for one that no phrase has. A hash finds the place, bytes decide."""
+    numbers = np.zeros(len(hashes), np.int64)
+    if not len(p.vocabulary):
+        return numbers
+    live, place = np.arange(len(hashes)), np.searchsorted(p.vocabulary, hashes)
+    while len(live):  # once more only for words that share a hash with another
+        may = place < len(p.vocabulary)
+        live, place = live[may], place[may]
+        may = p.vocabulary[place] == hashes[live]
+        live, place = live[may], place[may]
+        unlike = spans_differ(flat, starts[live], ends[live], p.flat, p.word_at[place], p.word_at[place + 1])
+        numbers[live[~unlike]] = place[~unlike] + 1
+        live, place = live[unlike], place[unlike] + 1
+    return numbers
+
+
 def searched(part: pa.RecordBatch, flat: np.ndarray, offsets: np.ndarray, p: Phrases) -> pa.RecordBatch:
     """Columns of FOUND for the part's rows. Columns items and words of an earlier block's search are added to, if there."""
     n, low = len(part), LOWER[flat]
     starts, ends, rows = words_of(low, offsets, ALNUM)
     hashes = span_hashes(prefix_sums(low), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    numbers = np.zeros(len(hashes), np.int64)
-    if len(p.vocabulary) and len(hashes):
-        place = np.minimum(np.searchsorted(p.vocabulary, hashes), len(p.vocabulary) - 1)
-        numbers = np.where(p.vocabulary[place] == hashes, place + 1, 0)
+    numbers = numbered(low, starts, ends, hashes, p)
     first_of = np.ones(len(rows), bool)
     first_of[1:] = rows[1:] != rows[:-1]
     words, which = occurrences(numbers, first_of, p)

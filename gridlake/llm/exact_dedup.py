@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat_text, mapped, mixed, prefix_sums, ragged, span_hashes, staged, tasks_for
+from .common import chunks, flat_text, mapped, mixed, prefix_sums, ragged, span_hashes, spans_differ, staged, tasks_for
 
 WIDTH, KGRAM = 100, 24
 #: Segments of one anchor from which on its windows are dealt one by one.
@@ -326,6 +326,8 @@ def _dealt(batches, width: int):
             head[1:] = code[order][1:] != code[order][:-1]
             of = np.empty(len(order), np.int64)
             of[order] = order[head][np.cumsum(head) - 1]
+            end = first + n + width - 1
+            of = np.where(spans_differ(flat, first, end, flat, first[of], end[of]), np.arange(len(of)), of)
             sent = of == np.arange(len(order))
             self_again = ~sent & (doc == doc[of]) & (digest == digest[of]) & (lo == lo[of])
             route = np.where(hot, code.view(np.int64), anchor)

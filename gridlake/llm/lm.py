@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, chunks, flat_text, in_test_part, mapped, prefix_sums, ragged, slices, span_hashes, staged, words_of
+from .common import LOWER, NOT_SPACE, chunks, distinct_spans, flat_text, in_test_part, mapped, prefix_sums, ragged, slices, span_hashes, spans_differ, staged, words_of
 from .gru import END, UNKNOWN, Network
 
 CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 24
@@ -31,8 +31,7 @@ SCORE_TOKENS = 2 << 20
 
 def _words(flat: np.ndarray, offsets: np.ndarray):
     low = LOWER[flat]
-    starts, ends, rows = words_of(low, offsets, NOT_SPACE)
-    return low, starts, ends, rows, span_hashes(prefix_sums(low), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return low, *words_of(low, offsets, NOT_SPACE)
 
 
 def _strings(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -47,8 +46,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             for _, flat, offsets in chunks(batch):
-                low, starts, ends, _, code = _words(flat, offsets)
-                _, one, n = np.unique(code, return_index=True, return_counts=True)
+                low, starts, ends, _ = _words(flat, offsets)
+                one, kind = distinct_spans(low, starts, ends)
+                n = np.bincount(kind, minlength=len(one))
                 yield pa.RecordBatch.from_arrays([_strings(low, starts[one], ends[one]), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return docs.select("text").transform(mapped, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -58,31 +58,39 @@ class Vocabulary:
     """Head words by hash, most frequent first, with counts; the first of them are the network's."""
 
     def __init__(self, words: list[str], counts: np.ndarray, ends: int):
-        raw = "".join(words).encode()
+        self.flat = np.frombuffer("".join(words).encode(), np.uint8)
         size = np.array([len(w.encode()) for w in words], np.int64)
-        to = np.cumsum(size)
-        code = span_hashes(prefix_sums(np.frombuffer(raw, np.uint8)), to - size, to) if len(words) else np.zeros(0, np.uint64)
+        self.to = np.cumsum(size)
+        self.at = self.to - size
+        code = span_hashes(prefix_sums(self.flat), self.at, self.to) if len(words) else np.zeros(0, np.uint64)
         order = np.argsort(code)
         self.code, self.place, self.counts, self.ends = code[order], order, counts, ends
         self.known = min(len(words), CLASSES * CLASS_SIZE - 2)
 
-    def places(self, code: np.ndarray) -> np.ndarray:
-        """Each word's place in the head, or -1."""
-        if not len(self.code) or not len(code):
-            return np.full(len(code), -1)
+    def places(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each word's place in the head, or -1. A hash finds it, bytes decide; of head words with one hash the first is found, and
+        the others count as words outside of the head."""
+        out = np.full(len(starts), -1)
+        if not len(self.code) or not len(starts):
+            return out
+        code = span_hashes(prefix_sums(low), starts, ends)
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return np.where(self.code[at] == code, self.place[at], -1)
+        may = np.flatnonzero(self.code[at] == code)
+        place = self.place[at[may]]
+        unlike = spans_differ(low, starts[may], ends[may], self.flat, self.at[place], self.to[place])
+        out[may] = np.where(unlike, -1, place)
+        return out
 
     def tokens(self, flat: np.ndarray, offsets: np.ndarray):
         """Network tokens of all rows, END after each, with offsets; and the words' places, rows and spans."""
-        low, starts, ends, rows, code = _words(flat, offsets)
-        place = self.places(code)
+        low, starts, ends, rows = _words(flat, offsets)
+        place = self.places(low, starts, ends)
         n = len(offsets) - 1
         words = np.bincount(rows, minlength=n)
         at = np.concatenate(([0], np.cumsum(words + 1)))
         out = np.full(int(at[-1]), END)
         out[np.arange(len(rows)) + rows] = np.where((place >= 0) & (place < self.known), place + 2, UNKNOWN)
-        return out, at, place, rows, low, starts, ends, code
+        return out, at, place, rows, low, starts, ends
 
 
 MODEL = "part int, salt int, seen long, flat binary"
@@ -164,15 +172,17 @@ def _parts(batches, vocabulary: Vocabulary):
     log_head = np.log10(vocabulary.counts + 0.1)
     for batch in batches:
         for part, flat, offsets in chunks(batch):
-            tokens, at, place, rows, low, starts, ends, code = vocabulary.tokens(flat, offsets)
+            tokens, at, place, rows, low, starts, ends = vocabulary.tokens(flat, offsets)
             n = len(part)
             in_head, unknown = place >= 0, (place < 0) | (place >= vocabulary.known)
             value = np.where(in_head, log_head[np.maximum(place, 0)] if len(log_head) else 0.0, 0.0)
             add = lambda w, which: np.bincount(rows[which], weights=None if w is None else w[which], minlength=n)
             out = np.flatnonzero(~in_head)
-            order = out[np.lexsort((code[out], rows[out]))]
+            kind = distinct_spans(low, starts[out], ends[out])[1]
+            by = np.lexsort((kind, rows[out]))
+            order, kind = out[by], kind[by]
             first = np.ones(len(order), bool)
-            first[1:] = (code[order][1:] != code[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+            first[1:] = (kind[1:] != kind[:-1]) | (rows[order][1:] != rows[order][:-1])
             heads = np.flatnonzero(first)
             one, times = order[heads], np.diff(np.append(heads, len(order)))
             lists = np.searchsorted(rows[one], np.arange(n + 1)).astype(np.int32)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import regex
 
-from .common import prefix_sums, span_hashes
+from .common import distinct_spans
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE, LETTER, DIGIT, OTHER = range(4)
@@ -74,7 +74,7 @@ def numbered(flat: np.ndarray, offsets: np.ndarray, seen: dict[bytes, int]) -> t
     if not len(first):
         return first, counts
     ends = np.append(first[1:], len(flat))
-    _, one, which = np.unique(span_hashes(prefix_sums(flat), first, ends), return_index=True, return_inverse=True)
+    one, which = distinct_spans(flat, first, ends)
     raw, number = flat.tobytes(), seen.setdefault
     numbers = [number(raw[a:b], len(seen)) for a, b in zip(first[one].tolist(), ends[one].tolist())]
     return np.array(numbers, np.int64)[which], counts
