@@ -4,8 +4,9 @@ Two fingerprints at most 2r bits apart share a variant within r bits of both. Ea
 variants within r = reach // 2 bits. Variants travel grouped by their leading bits: a row (leading bits of the variant,
 fingerprint, flips left) stands for all variants with these leading bits, and the receiving task writes them out,
 sorts them and links what collides. All holders of one variant lie within 2r bits of each other, so a
-star to the one nearest to it keeps every link of the group without listing its pairs. Of the links that meet in a task a tree of the
-shortest is kept: it connects what they connect, and a dense group has no more of them than members.
+star to the one nearest to it keeps every link of the group without listing its pairs. Where every link counts as it is, a task keeps a
+tree of the shortest it meets: it connects what they connect, and a dense group has no more of them than members. Where links are
+verified on the texts all are kept, and compared in rounds, nearest first: those within a component already verified are spared.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, aside, chunks, flat_text, mapped, mixed, put_back, ragged, schema_with, staged, tasks_for, words_of
@@ -173,10 +174,11 @@ def _tree(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
-def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8) -> DataFrame:
+def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8, tree: bool = True) -> DataFrame:
     """Links (a, b), a != b, among distinct fingerprints `fp`: connected just as all pairs at most `reach` bits apart are.
 
-    reach is even. Links are verified at the end by their Hamming distance. The number of leading bits that deal variants to
+    reach is even. Links are verified at the end by their Hamming distance. With `tree` a task gives no more links than connect what it
+    has met; without, the links are the same however many tasks there are, and a has no more of them than variants. The number of leading bits that deal variants to
     tasks grows with the number of fingerprints; a task's variants are written out in bounded pieces.
     """
     half = reach // 2
@@ -202,7 +204,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
         for a, b in zip(cuts, np.append(cuts[1:], len(route))):
             pairs = _links(fps[a:b], left[a:b], 64 - lead)
             if len(pairs):
-                pairs = _tree(fps[a:b], pairs)
+                pairs = _tree(fps[a:b], pairs) if tree else pairs
                 yield pa.RecordBatch.from_arrays([pa.array(fps[a:b][pairs[:, k]].view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
     tasks = min(1 << lead, tasks_for(count * sum(math.comb(lead, k) for k in range(half + 1)), 1 << 20, 24))
@@ -275,20 +277,22 @@ _STEP = 0x9E3779B97F4A7C15
 
 
 def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4) -> DataFrame:
-    """Pairs (a, b) of ids, a < b, to look at: of each table the star of texts with one fingerprint, and the links of fingerprints at
-    most `reach` bits apart. sketches: id, fps; ids differ."""
+    """Pairs (a, b) of ids, a < b, to look at, with their `owner` (a or b) and `bits`, how far they are apart: of each table the star of
+    texts with one fingerprint, and the links of fingerprints at most `reach` bits apart. sketches: id, fps; ids differ. An owner has
+    no more pairs than variants in all tables."""
     found = None
     for t in range(tables):
         own = sketches.select("id", F.col("fps")[t].alias("fp"))
         stars = staged(own.groupBy("fp").agg(F.min("id").alias("star"), F.count(F.lit(1)).alias("n")), "stars")
-        links = staged(near_links(stars.select("fp"), reach, least_lead=6), "table-links")
-        ends = links
+        links = staged(near_links(stars.select("fp"), reach, least_lead=6, tree=False), "table-links")
+        ends = links.withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
         for end in ("a", "b"):
             ends = ends.join(stars.select(F.col("fp").alias(end), F.col("star").alias(f"star_{end}")), end)
-        same = own.join(stars.filter("n > 1").select("fp", "star"), "fp").select(F.col("id").alias("a"), F.col("star").alias("b"))
-        both = same.unionByName(ends.select(F.col("star_a").alias("a"), F.col("star_b").alias("b")))
+        same = own.join(stars.filter("n > 1").select("fp", "star"), "fp").select(F.col("id").alias("owner"), F.col("star").alias("other"), F.lit(0).alias("bits"))
+        both = same.unionByName(ends.select(F.col("star_a").alias("owner"), F.col("star_b").alias("other"), "bits"))
         found = both if found is None else found.unionByName(both)
-    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = found.filter("owner <> other").groupBy(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b"))
+    return pairs.agg(F.min("bits").alias("bits"), F.min("owner").alias("owner"))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -313,6 +317,32 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: flo
     return out.select("a", "b", "text_a", "text_b").transform(mapped, run, "a long, b long")
 
 
+def verified_components(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, label): the components that the similar ones of the candidate pairs make. texts: id, text.
+
+    Each round compares the nearest pairs of every owner, four times as many as the round before, then leaves out pairs whose ends
+    are in one component by now. So every pair is compared unless its ends are known to be connected, and the result is that of
+    comparing all. A hub's text meets its pairs in a join that adaptive plans split.
+    """
+    passed, labels, most = None, None, 1
+    while True:
+        open_ = pairs
+        if labels is not None:
+            for end in ("a", "b"):
+                open_ = open_.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+            open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "bits", "owner")
+        near = F.row_number().over(Window.partitionBy("owner").orderBy("bits", "a", "b"))
+        open_ = staged(open_.withColumn("place", near), "open-pairs")
+        chosen = open_.filter(F.col("place") <= most).select("a", "b")
+        if not chosen.limit(1).count():
+            return labels if labels is not None else components(pairs.select("a", "b").limit(0))
+        asked = chosen.select(F.col("a").alias("id")).union(chosen.select(F.col("b").alias("id"))).distinct()
+        found = staged(similar_pairs(chosen, texts.join(asked, "id", "left_semi"), width, least), "similar-pairs")
+        passed = found if passed is None else passed.unionByName(found)
+        labels = staged(components(passed), "labels")
+        pairs, most = open_.filter(F.col("place") > most).drop("place"), most * 4
+
+
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, tables: int = TABLES) -> DataFrame:
     """docs without all but one row of each group of near copies: the one with the least doc_id (null last), whole, with all its columns.
 
@@ -329,9 +359,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, tables: int =
     distinct = rows.groupBy("words").agg(F.min("place").alias("place"), F.min("place.row").alias("id"), F.first("fps").alias("fps"))
     distinct = staged(distinct, "distinct")  # one row for each sequence of words
     pairs = staged(candidates(distinct.select("id", "fps"), tables), "pairs")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = held.select(F.col("_row").alias("id"), "text").join(asked, "id", "left_semi")
-    labels = components(similar_pairs(pairs, texts, width, least)).withColumnRenamed("node", "id")
+    labels = verified_components(pairs, held.select(F.col("_row").alias("id"), "text"), width, least).withColumnRenamed("node", "id")
     group = F.coalesce("label", "id").alias("group")
     first = distinct.join(labels, "id", "left").groupBy(group).agg(F.min("place").alias("place"))
     gone = rows.select(F.col("place.row").alias("_row")).join(first.select(F.col("place.row").alias("_row")), "_row", "left_anti")

@@ -1,5 +1,7 @@
 """The stage that keeps one document of each component, where ids are missing or repeat."""
 
+import random
+
 from gridlake.llm import simhash
 
 A, B, C = ("one two three four five six seven eight", "rivers run slowly past the old stone mill", "copper wires hum above the empty winter road")
@@ -24,3 +26,37 @@ def test_one_row_of_equal_ones_and_always_the_same(spark):
     rows = [(1, A, "x"), (1, A, "y"), (1, A, "x"), (2, None, "x"), (2, "", "x")]
     first = kept(spark, rows)
     assert len(first) == 2 and all(kept(spark, rows[::-1], n) == first for n in (1, 4))
+
+
+def group_of(n, seed, changes):
+    """Near copies of one text of 200 words, each with up to `changes` words of its own."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(i % (changes + 1)):
+            words[rng.randrange(200)] = f"v{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_a_large_group_is_the_same_for_any_number_of_partitions(spark):
+    texts = group_of(250, 1, 2) + group_of(60, 2, 12) + [f"{t} {i}" for i, t in enumerate(group_of(40, 3, 1))]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    found = kept(spark, rows, 3)
+    assert found == kept(spark, rows, 11)
+    stay = {d for d, _, _ in found}
+    assert {0, 250, 310} <= stay and len(stay) < 100
+
+
+def test_rounds_find_what_comparing_every_pair_finds(spark):
+    texts = group_of(120, 4, 5)
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, text string").persist()
+    sketches = simhash.sketched(table).persist()
+    pairs = simhash.candidates(sketches.select("id", "fps")).persist()
+    assert pairs.filter("a >= b or (owner <> a and owner <> b) or bits > 4").count() == 0
+    at_once = simhash.components(simhash.similar_pairs(pairs.select("a", "b"), table))
+    want = {tuple(r) for r in at_once.collect()}
+    assert {tuple(r) for r in simhash.verified_components(pairs, table).collect()} == want and len(want) > 20
+    assert simhash.verified_components(pairs.limit(0), table).count() == 0
