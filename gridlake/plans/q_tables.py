@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import directory, keyed, loads
+from ..session import scratch
+from ..sources.versioned import VersionedTable
 from .q_analytics import NOW, RUN_NOW
 from .q_status import rounded
 from .registry import SHARED, Views, query
@@ -18,6 +20,13 @@ SHARED["t_old"] = "select k, power_kw as kw, k % 7 as h, k % 11 <> 0 as active,
 SHARED["t_new"] = "select k, power_kw + 10 as kw, case when k % 10 = 0 then k % 7 + 1 else k % 7 end as h, true as active, case when k % 6 = 0 then 'manual' else 'feed' end as source from {fx_point} where k % 13 <> 1 and k % 3 <> 2"
 
 
+def table_of(rows: DataFrame, part: str) -> VersionedTable:
+    """A versioned table that holds rows, in the shared folder."""
+    table = VersionedTable(rows.sparkSession, scratch(rows.sparkSession, "table"), part)
+    table.replace(rows)
+    return table
+
+
 def old(v: Views) -> DataFrame:
     return v.fx_point.filter("k % 13 <> 0").select("k", c("power_kw").alias("kw"), (c("k") % 7).alias("h"), (c("k") % 11 != 0).alias("active"), F.when(c("k") % 4 == 0, "manual").otherwise("feed").alias("source"))
 
@@ -34,7 +43,10 @@ def _merged(take: str) -> str:
 
 @query("upsert", _merged("n.k is not null"))
 def _(v):
-    return keyed.upsert(old(v), new(v), ["k"])
+    table = table_of(old(v), "pmod(k, 8)")
+    for _ in range(2):  # twice is once
+        table.merge(new(v), ["k"], moves=False, writer="feed", number=1)
+    return table.read()
 
 
 @query("upsert_if_changed", _merged("n.k is not null and (o.k is null or o.h is distinct from n.h or not o.active)"))
@@ -54,14 +66,18 @@ def _(v):
 
 @query("replace_bridge", "select evse_id, plug_code from {fx_point_plug} where evse_id not in (select evse_id from {fx_point} where k % 4 = 0) union all select evse_id, 'CCS2' from {fx_point} where k % 4 = 0")
 def _(v):
-    return keyed.replace_bridge(v.fx_point_plug, v.fx_point.filter("k % 4 = 0").select("evse_id", F.lit("CCS2").alias("plug_code")), "evse_id")
+    table = table_of(v.fx_point_plug, "pmod(xxhash64(evse_id), 8)")
+    table.merge(v.fx_point.filter("k % 4 = 0").select("evse_id", F.lit("CCS2").alias("plug_code")), ["evse_id"], lambda o, n: keyed.replace_bridge(o, n, "evse_id"), moves=False)
+    return table.read()
 
 
 @query("replace_range", "select event_id, value, 'old' as version from {events} where not (ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12' and event_type = 'click') union all select event_id, value + 1, 'new' from {events} where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12' and event_type = 'click'")
 def _(v):
     inside = (c("ts") >= ts("2024-01-10")) & (c("ts") < ts("2024-01-12")) & (c("event_type") == "click")
     fresh = v.events.filter(inside).withColumns({"value": c("value") + 1, "version": F.lit("new")})
-    return keyed.replace_range(v.events.withColumn("version", F.lit("old")), fresh, inside).select("event_id", "value", "version")
+    table = table_of(v.events.withColumn("version", F.lit("old")), "date_format(ts, 'yyyy-MM-dd')")
+    table.replace_range(fresh, inside)  # two days are written, the others named again
+    return table.read().select("event_id", "value", "version")
 
 
 @query("load_partial_aggregates", "select evse_id, cast(dow as int) as dow, cast(hour_local as int) as hour_local, n_free, n_occ, n_obs from {parts}")
