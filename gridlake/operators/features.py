@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ZONE, local_dow, local_hour
+from .ranks import with_ranks
 
 c = F.col
 
@@ -146,14 +147,13 @@ def calibration_table(df: DataFrame, y: str, p: str, bins: int = 10, by: list[st
 def classification_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None, bins: int = 10) -> DataFrame:
     """brier, logloss, auc, base_rate, n and ece by groups, with p held within 1e-4 of 0 and 1.
 
-    One pass: rows are reduced to one for each group and score, these to bins, and the bins to groups. The exact AUC
-    comes from rank sums with ties shared; the running count behind it is over the distinct scores of a group.
+    Rows are reduced to one for each group and score, these to bins, and the bins to groups. The exact AUC comes from rank sums with
+    ties shared; ranks of a group's distinct scores are worked out range by range (see `with_ranks`), so that a group may be the whole table.
     """
     by = by or []
     held = F.greatest(F.least(c(p), F.lit(1 - 1e-4)), F.lit(1e-4))
     score = df.groupBy(*by, held.alias("_p")).agg(F.sum(y).alias("_y"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = score.withColumn("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (c("_n") + 1) / 2)
+    ranked = with_ranks(score, by, "_p").withColumn("_r", c("_before") + (c("_n") + 1) / 2)
     no = c("_n") - c("_y")
     binned = ranked.groupBy(*by, bins_of(c("_p"), bins).alias("_bin")).agg(
         F.sum("_n").alias("_n"), F.sum("_y").alias("_y"), F.sum(c("_n") * c("_p")).alias("_s"), F.sum(c("_r") * c("_y")).alias("_ry"),
