@@ -119,6 +119,7 @@ def profile_probability() -> Column:
     return F.coalesce("p_free_evse", "p_free_group", F.lit(DEFAULT_FREE))
 
 
+#: What the finer transition table is keyed by.
 _FULL = ["status_code", "class_dc", "hour_bucket", "delta_min"]
 
 

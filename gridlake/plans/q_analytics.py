@@ -366,10 +366,10 @@ def _(v):
     return by.join(F.broadcast(by.agg(F.min("mae").alias("_best")))).withColumn("selected", c("mae") == c("_best")).drop("_best")
 
 
-@query("d12_metrics_recommender", "select *, list_position(['R', 'A', 'N'], model) as place from (" + _PIVOT.format(by="model", where="where fold <= 3") + ") x")
+@query("d12_metrics_recommender", "select *, list_position(['R', 'A', 'N'], model) as place from (" + _PIVOT.format(by="model", where="") + ") x")
 def _(v):
     at = F.array_position(F.array(*map(F.lit, "RAN")), c("model")).cast("int")
-    return metric_pivot(v.fx_metric.filter("fold <= 3"), "model").withColumn("place", at).orderBy("place")
+    return metric_pivot(v.fx_metric, "model").withColumn("place", at).orderBy("place")
 
 
 @query("d13_metrics_by_horizon", "select model, cast(replace(slice, 'h=', '') as int) as horizon, round(avg(value), 6) as mae from {fx_metric} where metric = 'mae' and slice like 'h=%' group by 1, 2")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import sql
+from ..session import scratch
+from ..sources import sinks
 from .q_status import rounded
 from .registry import SHARED, query
 
@@ -190,11 +193,56 @@ def _(v):
     return n.withColumn("place", F.row_number().over(Window.orderBy(at)))  # a few rows by now
 
 
-@query("physical_cluster_sort")
+@query("physical_cluster_sort", "select evse_id, count(*) as n_rows, 1 as n_files, true as in_order, min(slot_ts) as first_slot, max(slot_ts) as last_slot from {grid_raw} group by 1")
 def _(v):
+    """The grid in buckets, read again: each point lies in one file, whose rows stand in the order of point and slot."""
+    from pyspark.sql import Window
+
     from ..operators.status import status_grid
 
-    return status_grid(v.fx_status_raw).repartition("evse_id").sortWithinPartitions("evse_id", "slot_ts")
+    table = v.spark.table(sinks.write_bucketed(status_grid(v.fx_status_raw), scratch(v.spark, "buckets"), int(v.spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = table.select("evse_id", "slot_ts", c("_metadata.file_path").alias("file"), c("_metadata.row_index").alias("at"))
+    along = Window.partitionBy("file").orderBy("at")  # a bucket is a task's work
+    rows = rows.withColumn("ok", F.coalesce(F.struct(F.lag("evse_id").over(along), F.lag("slot_ts").over(along)) <= F.struct("evse_id", "slot_ts"), F.lit(True)))
+    rows = rows.withColumn("ok", c("ok") | F.lag("evse_id").over(along).isNull())
+    return rows.groupBy("evse_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file").cast("int").alias("n_files"), F.bool_and("ok").alias("in_order"), F.min("slot_ts").alias("first_slot"), F.max("slot_ts").alias("last_slot"))
+
+
+def registered(v):
+    """The session's SQL with the domain's functions, and views of the tables they are called on."""
+    sql.register(v.spark, {"charging_point": v.fx_point, "charging_point_plug": v.fx_point_plug, "charging_vehicle": v.fx_vehicle, "charging_vehicle_plug": v.fx_vehicle_plug})
+    v.fx_station.createOrReplaceTempView("charging_station")
+    return v.spark.sql
+
+
+_AT = _HAV.format("46.5", "7.5", "p.lat", "p.lon")
+
+
+@query(
+    "sql_scalar_functions",
+    f"""select evse_id, round(km, 6) as km, round(case when km * 1.3 <= 5 then km * 1.3 / 35 else km * 1.3 / 60 end * 60, 6) as eta, station_key, kw from (select p.evse_id, {_AT} as km,
+      md5(concat(p.operator_id, '|', lower(regexp_replace(s.street, '[^a-zA-Z0-9]+', '', 'g')), '|', trim(s.postal_code))) as station_key,
+      case when power_kw is null then null when power_class = 'DC' then least(power_kw, 100.0) when power_class = 'AC' then least(power_kw, 11.0) end as kw
+    from {{fx_point}} p join {{fx_station}} s using (station_id)) x""",
+)
+def _(v):
+    return rounded(
+        registered(v)("""
+        select p.evse_id, haversine_km(46.5d, 7.5d, p.lat, p.lon) as km, eta_minutes(haversine_km(46.5d, 7.5d, p.lat, p.lon)) as eta,
+          station_key(p.operator_id, s.street, s.postal_code, p.lat, p.lon) as station_key, effective_power(p.power_kw, p.power_class, 11d, 100d) as kw
+        from charging_point p join charging_station s using (station_id)""")
+    )
+
+
+@query(
+    "sql_compatible_points",
+    f"""select evse_id, any_value(station_id) as station_id, round(any_value(km), 6) as distance_km, array_to_string(list_sort(list(distinct plug_code)), ',') as plug_codes, any_value(power_class) as power_class, any_value(kw) as effective_kw
+    from (select p.evse_id, p.station_id, {_AT} as km, a.plug_code, p.power_class, case when power_kw is null then null when power_class = 'DC' then least(power_kw, dc_max_kw) else least(power_kw, ac_max_kw) end as kw
+      from {{fx_point}} p join {{fx_point_plug}} a using (evse_id) join {{fx_vehicle_plug}} b using (plug_code) join {{fx_vehicle}} v using (vehicle_id) where vehicle_id = 7 and is_active and (power_class = 'AC' or dc_max_kw is not null)) x
+    where km <= 50 group by 1""",
+)
+def _(v):
+    return rounded(registered(v)("select evse_id, station_id, distance_km, array_join(plug_codes, ',') as plug_codes, power_class, effective_kw from compatible_points(7, 46.5d, 7.5d, 50d)"))
 
 
 @query("append_union", "select evse_id, 'dc' as part from {fx_point} where power_class = 'DC' union all select evse_id, 'ac' as part from {fx_point} where power_class = 'AC'")

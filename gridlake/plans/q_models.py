@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import features as M
 from ..operators import status
-from ..session import staged
+from ..operators.model_store import ModelStore
+from ..session import scratch, staged
 from .q_status import rounded
 from .q_tables import ts
 from .registry import SHARED, Views, query
@@ -275,8 +276,11 @@ def _(v):
 
 @query("score_availability")
 def _(v):
+    """Scores of the registered model: fitted, saved, and loaded again by its entry."""
     model, test = trained(v)
-    return M.score_availability(test, model).select("evse_id", "t0", "delta_min", "p_free")
+    store = ModelStore(v.spark, scratch(v.spark, "model-store"))
+    store.save(model, "availability", test, "2024-01-25 00:00:00")
+    return store.score(test).select("evse_id", "t0", "delta_min", "p_free")
 
 
 @query("model_selection_boosted")

@@ -58,7 +58,7 @@ ORACLE = {
     "completeness_weather_actual": "select n_name as canton_code, h.hour_utc from {nation}, (select unnest(generate_series(timestamp '2023-12-28', timestamp '2024-01-26 23:00:00', interval '1 hour')) as hour_utc) h where (n_name, h.hour_utc) not in (select (canton_code, hour_utc) from {fx_weather} where kind = 'actual')",
     "uniqueness_evse_in_payload": "select evse_id, count(*) as n from {payload} group by 1 having count(*) > 1",
     "uniqueness_station_location": f"select a.station_id, b.station_id as other_station_id, round(1000 * {_DIST}, 1) as distance_m from {{b_station}} a join {{b_station}} b on b.operator_id = a.operator_id and b.station_id > a.station_id and abs(b.lat - a.lat) <= 0.0003 and abs(b.lon - a.lon) <= 0.0005 where {_DIST} < 0.03",
-    "validity_evse_id_format": "select evse_id from {b_point} where not regexp_matches(evse_id, '^[A-Z][A-Z]\\*?[A-Z0-9][A-Z0-9][A-Z0-9]\\*?E[A-Za-z0-9*_-]+$')",
+    "validity_evse_id_format": "select evse_id from {b_point} where not regexp_matches(evse_id, '" + quality.POINT_ID.replace("{", "{{").replace("}", "}}") + "')",
     "validity_quarantine_recent": "select table_name, reason, count(*) as n from {fx_quarantine} where created_at > timestamp '2001-07-31' group by 1, 2",
     "type_postal_code": "select station_id, postal_code from {b_station} where not regexp_full_match(postal_code, '[0-9][0-9][0-9][0-9]')",
     "range_evse_power": "select evse_id, power_class, power_kw from {b_point} where is_active and (power_class = 'AC' and (power_kw < 1 or power_kw > 43) or power_class = 'DC' and (power_kw < 5 or power_kw > 400))",

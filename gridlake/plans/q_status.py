@@ -141,7 +141,10 @@ def _(v):
     return status.status_grid(v.fx_status_raw).join(known, "evse_id", "left").agg(F.count(F.lit(1)).alias("n_rows"), F.count("canton_code").alias("n_known"))
 
 
-@query("self_join_time_shift", "select a.evse_id, a.slot_ts, a.delta, b.status as status_then from (select *, slot_ts + interval '1' minute * delta as shifted from (select *, 5 * (1 + minute(slot_ts) // 5 % 12) as delta from {fx_status_dense} where minute(slot_ts) = 30) x) a join {fx_status_dense} b on b.evse_id = a.evse_id and b.slot_ts = a.shifted")
+SHARED["dense_min"] = "select evse_id, status, slot_ts, cast(epoch(slot_ts) as bigint) // 60 as mins from {fx_status_dense}"
+
+
+@query("self_join_time_shift", "select a.evse_id, a.slot_ts, a.delta, b.status as status_then from (select evse_id, slot_ts, 5 * (1 + minute(slot_ts) // 5 % 12) as delta, mins + 5 * (1 + minute(slot_ts) // 5 % 12) as later from {dense_min} where minute(slot_ts) = 30) a join {dense_min} b on b.evse_id = a.evse_id and b.mins = a.later")
 def _(v):
     now = v.fx_status_dense.filter(F.minute("slot_ts") == 30).select("evse_id", "slot_ts", (5 * (1 + F.floor(F.minute("slot_ts") / 5) % 12)).alias("delta"))
     keyed_ = now.withColumn("then", F.timestamp_seconds(F.unix_seconds("slot_ts") + F.col("delta") * 60))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import exprs as X
 from gridlake.operators import directory, features, geo, keyed, lineage, loads, quality, recommend, status
+from gridlake.plans.registry import Views
 from gridlake.sources import readers
 
 c = F.col
@@ -273,3 +274,44 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
             rows.withColumn("datetime", c("datetime") + F.make_interval(hours=F.lit(turn))).write.mode("append").parquet(raw)
         found, unknown = status_stream.ingest(status_stream.snapshots(spark, raw, rows.schema), known, place=run)
         assert found.count() == unknown.count() == min(turn, 2)
+
+
+def test_bucketed_grid_needs_no_exchange(spark, sf, tmp_path):
+    from gridlake.operators import status as S
+    from gridlake.sources import sinks
+    from gridlake.streaming.status_stream import settings
+
+    grid = S.status_grid(Views(spark, sf).fx_status_raw)
+    table = spark.table(sinks.write_bucketed(grid, str(tmp_path / "grid"), 4))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", **sinks.CO_LOCATED}):
+        episodes = S.status_episodes(table)
+        assert "Exchange" not in plan(episodes)
+        parts = S.profile_parts(table)
+        assert "Exchange" not in plan(parts)
+        later = table.select("evse_id", (c("slot_ts") - F.expr("interval 5 minutes")).alias("slot_ts"), c("status").alias("then"))
+        shifted = table.join(later, ["evse_id", "slot_ts"])
+        assert "Exchange" not in plan(shifted)
+        assert {tuple(r) for r in episodes.collect()} == {tuple(r) for r in S.status_episodes(grid).collect()}
+        assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in S.profile_parts(grid).collect()} and shifted.count() >= 0
+
+
+def test_sql_functions_equal_the_columns_and_stay_in_the_engine(spark, sf):
+    from gridlake.functions import exprs as X
+    from gridlake.functions import sql
+    from gridlake.operators import geo
+
+    v = Views(spark, sf)
+    sql.register(spark, {"charging_point": v.fx_point, "charging_point_plug": v.fx_point_plug, "charging_vehicle": v.fx_vehicle, "charging_vehicle_plug": v.fx_vehicle_plug})
+    rows = v.fx_point.join(v.fx_station.select("station_id", "street", "postal_code"), "station_id").withColumn("street", F.when(c("k") % 5 != 0, F.concat(F.lit("Übere-"), "street")))
+    rows.createOrReplaceTempView("placed")
+    by_sql = spark.sql("select evse_id, haversine_km(46.9d, 7.4d, lat, lon) as km, eta_minutes(haversine_km(46.9d, 7.4d, lat, lon)) as eta, station_key(operator_id, street, postal_code, lat, lon) as key, effective_power(power_kw, power_class, 11d, null) as kw from placed")
+    km = X.haversine_km(F.lit(46.9), F.lit(7.4), c("lat"), c("lon"))
+    by_column = rows.select("evse_id", km.alias("km"), X.eta_minutes(km).alias("eta"), X.station_key(c("operator_id"), c("street"), c("postal_code"), c("lat"), c("lon")).alias("key"), X.effective_power(c("power_kw"), c("power_class"), F.lit(11.0), F.lit(None).cast("double")).alias("kw"))
+    close = lambda df: {(r["evse_id"], round(r["km"], 9), round(r["eta"], 9), r["key"], r["kw"]) for r in df.collect()}
+    assert close(by_sql) == close(by_column) and "Python" not in by_sql._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(1, 7, 46.5, 7.5)], "request_id long, vehicle_id long, lat double, lon double")
+    want = {(r["evse_id"], round(r["distance_km"], 9), tuple(r["plug_codes"]), r["effective_kw"]) for r in geo.compatible_points(asked, v.fx_point, v.fx_point_plug, v.fx_vehicle_plug, v.fx_vehicle, 50.0).collect()}
+    found = spark.sql("select * from compatible_points(7, 46.5d, 7.5d, 50d)")
+    assert {(r["evse_id"], round(r["distance_km"], 9), tuple(r["plug_codes"]), r["effective_kw"]) for r in found.collect()} == want and want
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
