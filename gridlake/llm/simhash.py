@@ -296,7 +296,9 @@ def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4) -> Dat
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of `least` or more. texts: id, text."""
+    """Those of the pairs (a, b, and more columns) whose texts' sets of shingles have a Jaccard similarity of `least` or more.
+    texts: id, text."""
+    kept = pairs.columns
 
     def sets(column):
         for text in column:
@@ -309,38 +311,42 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: flo
             for one, other in zip(sets(batch.column("text_a")), sets(batch.column("text_b"))):
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(both >= least * (len(one) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(kept).filter(pa.array(keep, pa.bool_()))
 
     out = pairs
     for end in ("a", "b"):
         out = out.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return out.select("a", "b", "text_a", "text_b").transform(mapped, run, "a long, b long")
+    return out.select(*kept, "text_a", "text_b").transform(mapped, run, pairs.schema)
+
+
+#: Pairs of an owner that the first round compares, and how many times as many each later one.
+FIRST_ROUND, GROWTH = 2, 8
 
 
 def verified_components(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(node, label): the components that the similar ones of the candidate pairs make. texts: id, text.
 
-    Each round compares the nearest pairs of every owner, four times as many as the round before, then leaves out pairs whose ends
+    Each round compares the nearest pairs of every owner, GROWTH times as many as the round before, then leaves out pairs whose ends
     are in one component by now. So every pair is compared unless its ends are known to be connected, and the result is that of
-    comparing all. A hub's text meets its pairs in a join that adaptive plans split.
+    comparing all. A round's links join the components there are, as single nodes. A hub's text meets its pairs in a join that
+    adaptive plans split.
     """
-    passed, labels, most = None, None, 1
+    labels, most = components(pairs.select("a", "b").limit(0)), FIRST_ROUND
     while True:
         open_ = pairs
-        if labels is not None:
-            for end in ("a", "b"):
-                open_ = open_.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
-            open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "bits", "owner")
+        for end in ("a", "b"):
+            open_ = open_.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
         near = F.row_number().over(Window.partitionBy("owner").orderBy("bits", "a", "b"))
-        open_ = staged(open_.withColumn("place", near), "open-pairs")
-        chosen = open_.filter(F.col("place") <= most).select("a", "b")
+        open_ = staged(open_.filter("of_a <> of_b").withColumn("place", near), "open-pairs")
+        chosen = open_.filter(F.col("place") <= most).select("a", "b", "of_a", "of_b")
         if not chosen.limit(1).count():
-            return labels if labels is not None else components(pairs.select("a", "b").limit(0))
+            return labels
         asked = chosen.select(F.col("a").alias("id")).union(chosen.select(F.col("b").alias("id"))).distinct()
-        found = staged(similar_pairs(chosen, texts.join(asked, "id", "left_semi"), width, least), "similar-pairs")
-        passed = found if passed is None else passed.unionByName(found)
-        labels = staged(components(passed), "labels")
-        pairs, most = open_.filter(F.col("place") > most).drop("place"), most * 4
+        found = similar_pairs(chosen, texts.join(asked, "id", "left_semi"), width, least)
+        joined = staged(components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))), "joined")
+        moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = staged(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
+        pairs, most = open_.filter(F.col("place") > most).select("a", "b", "bits", "owner"), most * GROWTH
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, tables: int = TABLES) -> DataFrame:
