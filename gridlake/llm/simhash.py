@@ -6,7 +6,8 @@ fingerprint, flips left) stands for all variants with these leading bits, and th
 sorts them and links what collides. All holders of one variant lie within 2r bits of each other, so a
 star to the one nearest to it keeps every link of the group without listing its pairs. Where every link counts as it is, a task keeps a
 tree of the shortest it meets: it connects what they connect, and a dense group has no more of them than members. Where links are
-verified on the texts all are kept, and compared in rounds, nearest first: those within a component already verified are spared.
+verified on the texts, those of the trees come first. A link that a tree leaves out can matter only if one of the tree fails: groups where
+one did are searched again, for all links between different components, which are compared in rounds, nearest first.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, aside, chunks, flat_text, mapped, mixed, put_back, ragged, schema_with, staged, tasks_for, words_of
+from .common import LOWER, NOT_SPACE, aside, chunks, flat_text, forget, mapped, mixed, put_back, ragged, schema_with, staged, tasks_for, words_of
 
 #: Variants that a task holds at a time.
 HELD = 1 << 22
@@ -177,8 +178,9 @@ def _tree(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8, tree: bool = True) -> DataFrame:
     """Links (a, b), a != b, among distinct fingerprints `fp`: connected just as all pairs at most `reach` bits apart are.
 
-    reach is even. Links are verified at the end by their Hamming distance. With `tree` a task gives no more links than connect what it
-    has met; without, the links are the same however many tasks there are, and a has no more of them than variants. The number of leading bits that deal variants to
+    reach is even. Links are verified at the end by their Hamming distance. With `tree` no more links come of fingerprints that share
+    leading bits than connect them; without, a has no more of them than variants. With a column `label` in distinct, links are
+    between different labels only. The number of leading bits that deal variants to
     tasks grows with the number of fingerprints; a task's variants are written out in bounded pieces.
     """
     half = reach // 2
@@ -186,29 +188,34 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
     size = sum(math.comb(64, k) for k in range(half + 1))
     lead = min(20, max(least_lead, math.ceil(math.log2(max(1, count * size / HELD)))))
 
+    own = ["fp", "label"] if "label" in distinct.columns else ["fp"]
+
     def emit(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for a in range(0, len(fps), 1 << 14):
                 code, row, rest = _routes(fps[a : a + (1 << 14)], np.full(len(fps[a : a + (1 << 14)]), half), 64, lead)
-                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(fps[a + row].view(np.int64)), pa.array(rest.astype(np.int32))], names=["route", "fp", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(rest.astype(np.int32)), *[batch.column(k).take(pa.array(a + row)) for k in range(len(own))]], names=["route", "left", *own])
 
     def link(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()) for b in batches if len(b)]
+        held = [[b.column(k).to_numpy() for k in range(2 + len(own))] for b in batches if len(b)]
         if not held:
             return
-        route, fps, left = (np.concatenate(x) for x in zip(*held))
+        route, left, fps, *label = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(route, kind="stable")
-        route, fps, left = route[order], fps[order], left[order].astype(np.int64)
+        route, left, fps, label = route[order], left[order].astype(np.int64), fps[order].view(np.uint64), [x[order] for x in label]
         cuts = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
         for a, b in zip(cuts, np.append(cuts[1:], len(route))):
             pairs = _links(fps[a:b], left[a:b], 64 - lead)
+            if label:
+                of = label[0][a:b]
+                pairs = pairs[of[pairs[:, 0]] != of[pairs[:, 1]]]
             if len(pairs):
                 pairs = _tree(fps[a:b], pairs) if tree else pairs
                 yield pa.RecordBatch.from_arrays([pa.array(fps[a:b][pairs[:, k]].view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
     tasks = min(1 << lead, tasks_for(count * sum(math.comb(lead, k) for k in range(half + 1)), 1 << 20, 24))
-    routed = distinct.select("fp").transform(mapped, emit, "route int, fp long, left int").repartition(tasks, "route")
+    routed = distinct.select(own).transform(mapped, emit, "route int, left int, " + ", ".join(f"{x} long" for x in own)).repartition(tasks, "route")
     return routed.transform(mapped, link, "a long, b long").distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
 
 
@@ -225,7 +232,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = staged(small, "links")
+        last, edges = edges, staged(small, "links")
+        forget(last)
         if not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
@@ -276,23 +284,29 @@ def sketched(docs: DataFrame, view: int = VIEW, tables: int = TABLES) -> DataFra
 _STEP = 0x9E3779B97F4A7C15
 
 
-def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4) -> DataFrame:
-    """Pairs (a, b) of ids, a < b, to look at, with their `owner` (a or b) and `bits`, how far they are apart: of each table the star of
-    texts with one fingerprint, and the links of fingerprints at most `reach` bits apart. sketches: id, fps; ids differ. An owner has
-    no more pairs than variants in all tables."""
-    found = None
+def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree: bool = True) -> DataFrame:
+    """Pairs (a, b) of ids, a < b, to look at, with their `owner` (a or b) and `bits`, how far they are apart, staged: of each table the
+    star of texts with one fingerprint, and the links of fingerprints at most `reach` bits apart, all or a tree (see near_links).
+
+    sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only.
+    """
+    found, made, label = None, [], ["label"] if "label" in sketches.columns else []
     for t in range(tables):
-        own = sketches.select("id", F.col("fps")[t].alias("fp"))
-        stars = staged(own.groupBy("fp").agg(F.min("id").alias("star"), F.count(F.lit(1)).alias("n")), "stars")
-        links = staged(near_links(stars.select("fp"), reach, least_lead=6, tree=False), "table-links")
+        own = sketches.select("id", F.col("fps")[t].alias("fp"), *label)
+        stars = staged(own.groupBy("fp").agg(F.min(F.struct("id", *label)).alias("star"), F.count(F.lit(1)).alias("n")).select("fp", F.col("star.id").alias("star"), "n", *[f"star.{x}" for x in label]), "stars")
+        links = staged(near_links(stars.select("fp", *label), reach, least_lead=6, tree=tree), "table-links")
+        made += [stars, links]
         ends = links.withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
         for end in ("a", "b"):
             ends = ends.join(stars.select(F.col("fp").alias(end), F.col("star").alias(f"star_{end}")), end)
-        same = own.join(stars.filter("n > 1").select("fp", "star"), "fp").select(F.col("id").alias("owner"), F.col("star").alias("other"), F.lit(0).alias("bits"))
+        same = own.join(stars.filter("n > 1").select("fp", "star", *[F.col(x).alias("of_star") for x in label]), "fp")
+        same = (same.filter("label <> of_star") if label else same).select(F.col("id").alias("owner"), F.col("star").alias("other"), F.lit(0).alias("bits"))
         both = same.unionByName(ends.select(F.col("star_a").alias("owner"), F.col("star_b").alias("other"), "bits"))
         found = both if found is None else found.unionByName(both)
     pairs = found.filter("owner <> other").groupBy(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b"))
-    return pairs.agg(F.min("bits").alias("bits"), F.min("owner").alias("owner"))
+    pairs = staged(pairs.agg(F.min("bits").alias("bits"), F.min("owner").alias("owner")), "pairs")
+    forget(*made)
+    return pairs
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -313,7 +327,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: flo
                 keep.append(both >= least * (len(one) + len(other) - both))
             yield batch.select(kept).filter(pa.array(keep, pa.bool_()))
 
-    out = pairs
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    out, texts = pairs, texts.join(asked, "id", "left_semi")
     for end in ("a", "b"):
         out = out.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
     return out.select(*kept, "text_a", "text_b").transform(mapped, run, pairs.schema)
@@ -323,15 +338,15 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: flo
 FIRST_ROUND, GROWTH = 2, 8
 
 
-def verified_components(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """(node, label): the components that the similar ones of the candidate pairs make. texts: id, text.
+def verified_components(pairs: DataFrame, texts: DataFrame, labels: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, label): the components that labels and the similar ones of the candidate pairs make. texts: id, text.
 
     Each round compares the nearest pairs of every owner, GROWTH times as many as the round before, then leaves out pairs whose ends
     are in one component by now. So every pair is compared unless its ends are known to be connected, and the result is that of
     comparing all. A round's links join the components there are, as single nodes. A hub's text meets its pairs in a join that
     adaptive plans split.
     """
-    labels, most = components(pairs.select("a", "b").limit(0)), FIRST_ROUND
+    most = FIRST_ROUND
     while True:
         open_ = pairs
         for end in ("a", "b"):
@@ -341,14 +356,34 @@ def verified_components(pairs: DataFrame, texts: DataFrame, width: int = 5, leas
         chosen = open_.filter(F.col("place") <= most).select("a", "b", "of_a", "of_b")
         if not chosen.limit(1).count():
             return labels
-        asked = chosen.select(F.col("a").alias("id")).union(chosen.select(F.col("b").alias("id"))).distinct()
-        found = similar_pairs(chosen, texts.join(asked, "id", "left_semi"), width, least)
+        found = similar_pairs(chosen, texts, width, least)
         joined = staged(components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))), "joined")
         moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = staged(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
         pairs, most = open_.filter(F.col("place") > most).select("a", "b", "bits", "owner"), most * GROWTH
 
 
+def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8, tables: int = TABLES) -> DataFrame:
+    """(node, label): the components of the similar pairs among the candidates, as if each candidate had been compared.
+    sketches: id, fps; texts: id, text.
+
+    First the links of trees are compared. Where none of a tree's fails, those it left out lie within a component. The members of
+    groups in which one failed are searched again, each with its component, for every link between two components.
+    """
+    pairs = candidates(sketches, tables)
+    passed = similar_pairs(pairs.select("a", "b"), texts, width, least).withColumn("passed", F.lit(True))
+    tried = staged(pairs.select("a", "b").join(passed, ["a", "b"], "left"), "tried")
+    labels = staged(components(tried.filter("passed").select("a", "b")), "labels")
+    failed = tried.filter("passed is null")
+    if not failed.limit(1).count():
+        return labels
+    groups = staged(components(pairs.select("a", "b")), "groups")
+    bad = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("label").distinct()
+    again = groups.join(bad, "label", "left_semi").select("node").join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"))
+    more = candidates(staged(sketches.join(again, "id"), "again"), tables, tree=False)
+    return verified_components(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, labels, width, least)
+
+
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, tables: int = TABLES) -> DataFrame:
     """docs without all but one row of each group of near copies: the one with the least doc_id (null last), whole, with all its columns.
 
@@ -364,8 +399,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, tables: int =
     rows = staged(held.select(place.alias("place"), "text").transform(sketched, VIEW, tables), "sketches")
     distinct = rows.groupBy("words").agg(F.min("place").alias("place"), F.min("place.row").alias("id"), F.first("fps").alias("fps"))
     distinct = staged(distinct, "distinct")  # one row for each sequence of words
-    pairs = staged(candidates(distinct.select("id", "fps"), tables), "pairs")
-    labels = verified_components(pairs, held.select(F.col("_row").alias("id"), "text"), width, least).withColumnRenamed("node", "id")
+    labels = near_copies(distinct.select("id", "fps"), held.select(F.col("_row").alias("id"), "text"), width, least, tables).withColumnRenamed("node", "id")
     group = F.coalesce("label", "id").alias("group")
     first = distinct.join(labels, "id", "left").groupBy(group).agg(F.min("place").alias("place"))
     gone = rows.select(F.col("place.row").alias("_row")).join(first.select(F.col("place.row").alias("_row")), "_row", "left_anti")

@@ -50,13 +50,21 @@ def test_a_large_group_is_the_same_for_any_number_of_partitions(spark):
     assert {0, 250, 310} <= stay and len(stay) < 100
 
 
-def test_rounds_find_what_comparing_every_pair_finds(spark):
-    texts = group_of(120, 4, 5)
+def test_what_trees_leave_out_is_found_as_if_every_pair_were_compared(spark):
+    texts = group_of(120, 4, 5) + group_of(30, 5, 14) + group_of(30, 6, 1)
     table = spark.createDataFrame(list(enumerate(texts)), "id long, text string").persist()
-    sketches = simhash.sketched(table).persist()
-    pairs = simhash.candidates(sketches.select("id", "fps")).persist()
+    sketches = simhash.sketched(table).select("id", "fps").persist()
+    pairs = simhash.candidates(sketches, tree=False).persist()
     assert pairs.filter("a >= b or (owner <> a and owner <> b) or bits > 4").count() == 0
+    assert simhash.candidates(sketches).count() < pairs.count()
     at_once = simhash.components(simhash.similar_pairs(pairs.select("a", "b"), table))
     want = {tuple(r) for r in at_once.collect()}
-    assert {tuple(r) for r in simhash.verified_components(pairs, table).collect()} == want and len(want) > 20
-    assert simhash.verified_components(pairs.limit(0), table).count() == 0
+    assert {tuple(r) for r in simhash.near_copies(sketches, table).collect()} == want and len(want) > 20
+    assert simhash.near_copies(sketches.limit(0), table).count() == 0
+
+
+def test_links_between_labels_only(spark):
+    rows = [(0, 1), (1, 1), (3, 2), (1 << 20, 3)]
+    found = simhash.near_links(spark.createDataFrame(rows, "fp long, label long"), tree=False).collect()
+    of = dict(rows)
+    assert found and all(of[r["a"]] != of[r["b"]] for r in found)
