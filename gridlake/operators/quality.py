@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException, PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import haversine_km
-from ..session import staged
 from .geo import near_duplicate_stations
 from .keyed import first_per_key
 
@@ -151,25 +153,43 @@ def _(t, now):
     return t["coverage"].filter(c("n_slots") < LEAST_MONTH * c("expected_slots")).select("month", "n_slots", "expected_slots")
 
 
-def run_checks(tables: Tables, now: Column, spark, samples: int = 5, only: list[str] | None = None) -> DataFrame:
+def counted(found: DataFrame, samples: int = 5) -> DataFrame:
+    """One row: how many rows there are, and up to `samples` of them as JSON, in order.
+
+    A row falls in a slot by its hash, and the least of each slot is kept, beside the least and the greatest of all: partial
+    aggregates of bounded size, however many rows offend.
+    """
+    record = F.to_json(F.struct(*[c(x) for x in sorted(found.columns)]))
+    told = found.select(record.alias("r"))
+    kept = [F.min("r"), F.max("r"), *[F.min(F.when(F.pmod(F.xxhash64("r"), F.lit(samples)) == i, c("r"))) for i in range(samples)]]
+    some = F.slice(F.array_sort(F.array_distinct(F.array_compact(F.array(*kept)))), 1, samples)
+    return told.agg(F.count(F.lit(1)).alias("n"), some.alias("sample"))
+
+
+def own_failure(e: Exception) -> bool:
+    """Whether an error is the check's: a table or column it lacks, or an error that Spark names. A lost cluster is neither."""
+    return isinstance(e, (KeyError, PythonException)) or isinstance(e, PySparkException) and e.getCondition() is not None
+
+
+def run_checks(tables: Tables, now: Column, spark, samples: int = 5, only: list[str] | None = None, at_once: int = 4) -> DataFrame:
     """check_id, severity, passed, failed_rows, sample (JSON of some offending rows) of every check.
 
-    Each check is run by itself and gives one row: one that can't be planned, or fails on an executor, fails with one row and doesn't
-    stop the others. Offending rows are written once, counted, and some of them read.
+    Each check is one job, of which `at_once` run side by side, and gives one row. One that can't be planned, or fails on an executor,
+    fails with one row and doesn't stop the others; errors that aren't a check's own are raised.
     """
-    rows = []
-    for k in CATALOGUE.values():
-        if only is not None and k.check_id not in only:
-            continue
+
+    def run(k: Check) -> tuple:
         try:
-            found = k.find(tables, now)
-            record = F.to_json(F.struct(*[c(x) for x in sorted(found.columns)]))
-            held = staged(found.select(record.alias("r")), f"check-{k.check_id}")
-            n = held.count()
-            some = sorted(r["r"] for r in held.limit(samples).collect()) if n else []
-            rows.append((k.check_id, k.severity, n == 0, n, some))
-        except Exception as e:  # noqa: BLE001  a broken check is a finding
-            rows.append((k.check_id, k.severity, False, 1, [str(e)[:200]]))
+            n, some = counted(k.find(tables, now), samples).first()
+            return k.check_id, k.severity, n == 0, n, some
+        except Exception as e:
+            if not own_failure(e):
+                raise
+            return k.check_id, k.severity, False, 1, [str(e)[:200]]
+
+    wanted = [k for k in CATALOGUE.values() if only is None or k.check_id in only]
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(run), wanted))
     return spark.createDataFrame(rows, "check_id string, severity string, passed boolean, failed_rows long, sample array<string>")
 
 

@@ -29,7 +29,8 @@ def status_grid(raw: DataFrame, slot_seconds: int = 300) -> DataFrame:
 def status_episodes(grid: DataFrame, gap: str = "10 minutes", slot: str = "5 minutes", split_by: str | None = None) -> DataFrame:
     """evse_id, status, valid_from, valid_to, n_slots: maximal runs of one status without a gap longer than `gap`.
 
-    split_by: a truncation unit ('month') at which runs are cut. Both windows and the aggregate share one shuffle.
+    split_by: a truncation unit ('month') at which runs are cut. Both windows and the aggregate share one shuffle; a run has one status,
+    which is a key, so that what is aggregated are times and counts, in a hash table.
     """
     own = ["evse_id"]
     if split_by:
@@ -40,8 +41,8 @@ def status_episodes(grid: DataFrame, gap: str = "10 minutes", slot: str = "5 min
     opens = ~before.eqNullSafe(F.col("status")) | F.coalesce(F.col("slot_ts") > last + F.expr(f"interval {gap}"), F.lit(False))
     numbered = grid.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        numbered.groupBy(*own, "_run")
-        .agg(F.first("status").alias("status"), F.min("slot_ts").alias("valid_from"), F.max("slot_ts").alias("last"), F.count(F.lit(1)).cast("int").alias("n_slots"))
+        numbered.groupBy(*own, "_run", "status")
+        .agg(F.min("slot_ts").alias("valid_from"), F.max("slot_ts").alias("last"), F.count(F.lit(1)).cast("int").alias("n_slots"))
         .select("evse_id", "status", "valid_from", (F.col("last") + F.expr(f"interval {slot}")).alias("valid_to"), "n_slots")
     )
 

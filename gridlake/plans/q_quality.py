@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality, status
+from ..session import staged
 from .q_analytics import _KM, NOW, RUN_NOW
 from .q_status import occupancy, rounded
 from .q_tables import payload, run_events, ts
@@ -89,7 +90,9 @@ _RUN = [k for k in quality.CATALOGUE if k not in _AT]
 
 @query("dq_run", " union all ".join(f"select '{k}' as check_id, '{quality.CATALOGUE[k].severity}' as severity, count(*) = 0 as passed, count(*) as failed_rows from ({ORACLE[k]}) x" for k in _RUN))
 def _(v):
-    return quality.run_checks(tables(v), ts(RUN_NOW), v.spark, only=_RUN).select("check_id", "severity", "passed", "failed_rows")
+    shared = tables(v)
+    shared |= {x: staged(shared[x], x) for x in ("occupancy", "coverage")}  # several checks read them
+    return quality.run_checks(shared, ts(RUN_NOW), v.spark, only=_RUN).select("check_id", "severity", "passed", "failed_rows")
 
 
 @query(

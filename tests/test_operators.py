@@ -202,6 +202,38 @@ def test_checks_fail_alone(spark):
     assert not told["completeness_station_canton"]["passed"] and told["completeness_evse_power"]["passed"]
 
 
+def test_a_check_counts_all_and_shows_some(spark):
+    from gridlake.operators import quality
+
+    n, some = quality.counted(spark.range(1000).select("id", (c("id") * 2).alias("twice"))).first()
+    assert n == 1000 and len(some) == 5 and some == sorted(set(some)) and all(x.startswith('{"id":') for x in some)
+    assert tuple(quality.counted(spark.range(1)).first()) == (1, ['{"id":0}']) and tuple(quality.counted(spark.range(0)).first()) == (0, [])
+
+
+def test_an_error_that_is_no_check_s_own_is_raised(spark, monkeypatch):
+    from gridlake.operators import quality
+
+    def lost(tables, now):
+        raise ConnectionError("the cluster is gone")
+
+    monkeypatch.setitem(quality.CATALOGUE, "lost", quality.Check("lost", "error", "validity", lost))
+    with pytest.raises(ConnectionError):
+        quality.run_checks({}, F.lit("2024-01-01").cast("timestamp"), spark, only=["lost"])
+
+
+def test_explanations_say_what_the_figures_say(spark):
+    items = spark.createDataFrame(
+        [(1, 7, 10, "DC", 150.0, 100.0, ["CCS2", "CHADEMO"], 0.854, 12.34, 12.4, 20, 12.0, 30.6), (2, 7, 11, "AC", None, None, ["TYPE2_CABLE"], 0.5, 3.0, 4.2, 10, 162.0, 176.2), (3, 7, 12, "AC", 22.0, 11.0, ["TYPE2_SOCKET"], 1.0, 0.5, 1.0, 40, 218.0, 219.0)],
+        "request_id long, vehicle_id long, station_id long, power_class string, power_kw double, effective_kw double, plugs array<string>, p_station double, distance_km double, eta_min double, energy_kwh int, charge_min double, total_min double",
+    )
+    cars = spark.createDataFrame([(7, 11.0, 100.0)], "vehicle_id long, ac_max_kw double, dc_max_kw double")
+    state = spark.createDataFrame([(10, 3, 2, 3), (11, 4, 0, 0)], "station_id long, n_total long, n_free_now long, n_known long")
+    told = {r["request_id"]: r["explanation"] for r in recommend.explained(items, cars, state, cold=c("request_id") != 3).collect()}
+    assert told[1] == "Plug CCS2, CHADEMO. Point 150 kW, car up to 100 kW: about 100 kW. 12.3 km, 12 min away. Now 2 of 3 free; one free on arrival: 85%. 20 kWh in 12 min, in all 31 min. Fast charging is slower in the cold."
+    assert told[2] == "Plug TYPE2_CABLE. Point power unknown; time estimated from the least usual. 3.0 km, 4 min away. State unknown; by history one free: 50%. 10 kWh in 162 min, in all 176 min."
+    assert told[3].startswith("Plug TYPE2_SOCKET. Point 22 kW, car up to 11 kW: about 11 kW.") and "State unknown" in told[3]
+
+
 def test_a_month_with_a_bad_file_is_partial(spark, tmp_path):
     from gridlake.sources import readers
 
