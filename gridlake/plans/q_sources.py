@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import status
 from ..session import scratch
-from ..sources import readers, sinks
+from ..sources import readers, schemas, sinks
 from ..streaming import status_stream
 from .q_status import rounded
 from .q_tables import ts
@@ -154,6 +154,23 @@ def _(v):
     return readers.schema_drift(readers.schema_fingerprint(later, "events").unionByName(known), known).select("source", "fields_hash")
 
 
+_FIELDS = "select string_agg(f, ',' order by f) as fields from (select column_name as f from (describe {{events}}){0}) x"
+
+
+@query(
+    "schema_registry",
+    "select 'events' as source, fields, sha256(fields) as fields_hash, first_seen, last_seen from ("
+    f"select *, timestamp '2024-02-01' as first_seen, timestamp '2024-02-03' as last_seen from ({_FIELDS.format('')}) a union all select *, timestamp '2024-02-02', timestamp '2024-02-02' from ({_FIELDS.format(chr(32) + 'union all select ' + repr('extra'))}) b) c",
+)
+def _(v):
+    """Three loads of a feed: as it is, with a field more, and as it was."""
+    table = schemas.registry(v.spark, scratch(v.spark, "schemas"))
+    more = F.when(c("event_id") % 97 == 5, 1)
+    for day, rows in (("2024-02-01", v.events), ("2024-02-02", v.events.withColumn("extra", more)), ("2024-02-03", v.events)):
+        schemas.note(table, schemas.feed_fingerprint(v.spark.read.text(written(rows, "json")), "events", day))
+    return table.read()
+
+
 @query("write_month_partition", "select o_orderkey as evse_id, strftime(o_orderdate, '%Y-%m') as month, case when o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-03-01' then 2 else 1 end as version from {orders}")
 def _(v):
     path = scratch(v.spark, "months")
