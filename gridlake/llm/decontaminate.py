@@ -311,7 +311,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
     items: ids of the items with an occurring window, as strings, sorted; words: the words hit, as ranges; spans: the
     same as merged byte ranges. Blocks of the test items are searched one after the other, each broadcast alone; with more
     than one, what is found is staged between them. Null text has no words; an empty items table hits nothing;
-    equal rows are each reported. A column of docs with the name of a result column (in any case) is not carried.
+    equal rows are each reported; no rows: no rows. A column of docs with the name of a result column (in any case) is not carried.
+    A very long text is a shard of its own, indexed whole.
     """
     made = ["n_words", "n_hit", "items", "words", "spans"]
     carried = [c for c in docs.columns if c.lower() not in made]

@@ -410,7 +410,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     A byte goes if a width-byte string over it also starts earlier: in a document with a smaller doc_id, or earlier in the
     same one. Null text: no bytes. Null doc_id: before all others. Rows with equal doc_id and text are one document, each
-    reported; rows with equal doc_id and different texts stand in the order of their texts' hashes.
+    reported; rows with equal doc_id and different texts stand in the order of their texts' hashes. No rows: no rows. A very long text
+    is worked on whole where it is read, and its windows are dealt like any others. Other columns are not read.
     """
     whole = keyed(docs.select("doc_id", "text")).select("doc_id", "doc", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     whole = staged(whole, "whole")

@@ -73,6 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, slot_buckets: int = 256)
     Slots are gapless within a shard: rows are numbered within (shard, bucket of doc_id), and a small table of bucket
     counts, of at most shards x slot_buckets rows, gives each bucket's first slot. That table is made from doc_id alone.
     Null text: size 8, checksum 0. Null doc_id: placed as `null`. Repeated rows each get a slot of their own. No rows: no rows.
+    A text is only measured and summed, however long.
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     bucket = (F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long") % slot_buckets).cast("int")

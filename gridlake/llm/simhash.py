@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFram
     """doc_id, fp, component_id for each row of docs: the least doc_id reachable over links of at most reach bits.
 
     Null, empty and wordless texts have fingerprint 0 and link like others. Equal rows share a component; a null doc_id never
-    names a component while another member has an id. No rows: no rows. Only doc_id and text are read.
+    names a component while another member has an id. No rows: no rows. Only doc_id and text are read. A very long text gives its
+    fingerprint in one piece, in memory of some tens of bytes for each of its own.
     """
     rows = staged(with_fingerprint(docs.select("doc_id", "text"), width), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
