@@ -152,7 +152,7 @@ def read_point_details(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, size and SHA-256 of each file below a folder."""
+    """path, size and SHA-256 of each file below a folder, but for empty ones, which Spark's scans leave out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha"))
 

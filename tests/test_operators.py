@@ -347,3 +347,22 @@ def test_sql_functions_equal_the_columns_and_stay_in_the_engine(spark, sf):
     found = spark.sql("select * from compatible_points(7, 46.5d, 7.5d, 50d)")
     assert {(r["evse_id"], round(r["distance_km"], 9), tuple(r["plug_codes"]), r["effective_kw"]) for r in found.collect()} == want and want
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprint_tells_content_not_order(spark, sf):
+    rows = Views(spark, sf).lineitem.limit(500).persist()
+    first = features.frame_fingerprint(rows).first()
+    assert tuple(features.frame_fingerprint(rows.repartition(7)).first()) == tuple(first) and first["n"] == 500
+    assert tuple(features.frame_fingerprint(rows.withColumn("l_quantity", F.when(c("l_orderkey") == rows.first()["l_orderkey"], -1).otherwise(c("l_quantity")))).first()) != tuple(first)
+    assert tuple(features.frame_fingerprint(rows.union(rows)).first()) != tuple(first)
+
+
+def test_manifest_is_what_the_files_are(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "deep").mkdir()
+    held = {"a.json": b"{}", "deep/b.bin": bytes(range(256)) * 5000, "deep/empty": b""}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r["path"].split(tmp_path.name + "/")[1]: (r["size"], r["sha"]) for r in readers.raw_manifest(spark, str(tmp_path)).collect()}
+    assert found == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in held.items() if data}
