@@ -97,16 +97,21 @@ def _featured(batches):
 TOLD = "kind string, at binary, value binary"
 
 
+#: How places and numbers of each kind travel: features are counted and weighed in four bytes.
+WIDE, NARROW = ("<i8", "<f8"), ("<i4", "<f4")
+KINDS = {"good": NARROW, "bad": NARROW, "weight": NARROW, "bias": WIDE, "dual": WIDE}
+
+
 def _told(kind: str, at: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
     """One row: numbers by their places, as bytes."""
-    packed = [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int64), value.astype(np.float32 if kind == "weight" else np.float64))]
+    packed = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip((at, value), KINDS[kind])]
     return pa.RecordBatch.from_arrays([pa.array([kind]), *packed], names=["kind", "at", "value"])
 
 
 def _gathered(told: DataFrame):
     """(kind, places, numbers) of each block; no more than the features' number or the sample's rows from each."""
     for r in told.collect():
-        yield r["kind"], np.frombuffer(r["at"], np.int64), np.frombuffer(r["value"], np.float32 if r["kind"] == "weight" else np.float64)
+        yield r["kind"], *[np.frombuffer(r[x], t) for x, t in zip(("at", "value"), KINDS[r["kind"]])]
 
 
 def _row_features(batch: pa.RecordBatch):
