@@ -208,6 +208,16 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Masks of the lowest n bytes of eight.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(flat: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on as a number; zeros after the end. A view of a padded copy, one byte from number to
+    number."""
+    return np.ndarray((len(flat) + 1,), "<u8", buffer=np.concatenate((flat, np.zeros(8, np.uint8))), strides=(1,))
+
+
 def spans_differ(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
     """Whether the bytes of each span of flat are others than those of its span of other."""
     size = ends - starts
@@ -215,6 +225,15 @@ def spans_differ(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, other:
     same = np.flatnonzero(~out & (size > 0))
     if flat is other:
         same = same[starts[same] != other_starts[same]]
+    # eight bytes at a time: the first of every span, the last of longer ones, and what lies between byte by byte
+    mine = _eights(flat)
+    theirs = mine if flat is other else _eights(other)
+    long = size[same] > 8
+    part = same[~long]
+    out[part] = ((mine[starts[part]] ^ theirs[other_starts[part]]) & _LOW_BYTES[size[part]]) != 0
+    part = same[long]
+    out[part] = (mine[starts[part]] != theirs[other_starts[part]]) | (mine[ends[part] - 8] != theirs[other_ends[part] - 8])
+    same = part[~out[part] & (size[part] > 16)]
     for a, b in slices(np.concatenate(([0], np.cumsum(size[same])))):
         part = same[a:b]
         unlike = flat[ragged(starts[part], size[part])] != other[ragged(other_starts[part], size[part])]

@@ -74,3 +74,14 @@ def test_repeats(docs):
             seen.add(raw[i : i + 100])
         want.append(sum(covered))
     assert [r["n_removed"] for r in exact_dedup.remove_repeats(docs).sort("doc_id").collect()] == want
+
+
+def test_spans_are_compared_to_their_last_byte():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("ab"), n)) for n in (0, 1, 7, 8, 9, 15, 16, 17, 18, 40, 3000) for _ in range(6)]
+    words += [w[:i] + "c" + w[i + 1 :] for w in words for i in {0, len(w) // 2, len(w) - 1} if 0 <= i < len(w)]
+    flat, starts, ends = spans(*words)
+    a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    want = np.array([words[i] != words[j] for i, j in zip(a, b)])
+    assert (common.spans_differ(flat, starts[a], ends[a], flat, starts[b], ends[b]) == want).all()
+    assert (common.spans_differ(flat, starts[a], ends[a], flat.copy(), starts[b], ends[b]) == want).all()
