@@ -180,7 +180,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
 
     reach is even. Links are verified at the end by their Hamming distance. With `tree` no more links come of fingerprints that share
     leading bits than connect them; without, a has no more of them than variants. With a column `label` in distinct, links are
-    between different labels only. The number of leading bits that deal variants to
+    between different labels only; with a column `id`, a and b are ids and links may come more than once. The number of leading bits that deal variants to
     tasks grows with the number of fingerprints; a task's variants are written out in bounded pieces.
     """
     half = reach // 2
@@ -188,7 +188,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
     size = sum(math.comb(64, k) for k in range(half + 1))
     lead = min(20, max(least_lead, math.ceil(math.log2(max(1, count * size / HELD)))))
 
-    own = ["fp", "label"] if "label" in distinct.columns else ["fp"]
+    own = ["fp", *[x for x in ("label", "id") if x in distinct.columns]]
 
     def emit(batches):
         for batch in batches:
@@ -201,22 +201,27 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
         held = [[b.column(k).to_numpy() for k in range(2 + len(own))] for b in batches if len(b)]
         if not held:
             return
-        route, left, fps, *label = (np.concatenate(x) for x in zip(*held))
+        route, left, fps, *more = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(route, kind="stable")
-        route, left, fps, label = route[order], left[order].astype(np.int64), fps[order].view(np.uint64), [x[order] for x in label]
+        route, left, fps = route[order], left[order].astype(np.int64), fps[order].view(np.uint64)
+        of = {name: x[order] for name, x in zip(own[1:], more)}
         cuts = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
         for a, b in zip(cuts, np.append(cuts[1:], len(route))):
             pairs = _links(fps[a:b], left[a:b], 64 - lead)
-            if label:
-                of = label[0][a:b]
-                pairs = pairs[of[pairs[:, 0]] != of[pairs[:, 1]]]
+            if "label" in of:
+                pairs = pairs[of["label"][a:b][pairs[:, 0]] != of["label"][a:b][pairs[:, 1]]]
             if len(pairs):
                 pairs = _tree(fps[a:b], pairs) if tree else pairs
-                yield pa.RecordBatch.from_arrays([pa.array(fps[a:b][pairs[:, k]].view(np.int64)) for k in (0, 1)], names=["a", "b"])
+                ends = [fps[a:b][pairs[:, k]] for k in (0, 1)]
+                bits = np.bitwise_count(ends[0] ^ ends[1])
+                named = [of["id"][a:b][pairs[:, k]] for k in (0, 1)] if "id" in of else [x.view(np.int64) for x in ends]
+                near = bits <= reach
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[near]) for x in named], pa.array(bits[near].astype(np.int32))], names=["a", "b", "bits"])
 
     tasks = min(1 << lead, tasks_for(count * sum(math.comb(lead, k) for k in range(half + 1)), 1 << 20, 24))
     routed = distinct.select(own).transform(mapped, emit, "route int, left int, " + ", ".join(f"{x} long" for x in own)).repartition(tasks, "route")
-    return routed.transform(mapped, link, "a long, b long").distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
+    links = routed.transform(mapped, link, "a long, b long, bits int")
+    return links if "id" in own else links.select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,17 +297,15 @@ def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree:
     sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only.
     """
     found, made, label = None, [], ["label"] if "label" in sketches.columns else []
+    count = sketches.count()
     for t in range(tables):
         own = sketches.select("id", F.col("fps")[t].alias("fp"), *label)
-        stars = staged(own.groupBy("fp").agg(F.min(F.struct("id", *label)).alias("star"), F.count(F.lit(1)).alias("n")).select("fp", F.col("star.id").alias("star"), "n", *[f"star.{x}" for x in label]), "stars")
-        links = staged(near_links(stars.select("fp", *label), reach, least_lead=6, tree=tree), "table-links")
-        made += [stars, links]
-        ends = links.withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-        for end in ("a", "b"):
-            ends = ends.join(stars.select(F.col("fp").alias(end), F.col("star").alias(f"star_{end}")), end)
-        same = own.join(stars.filter("n > 1").select("fp", "star", *[F.col(x).alias("of_star") for x in label]), "fp")
-        same = (same.filter("label <> of_star") if label else same).select(F.col("id").alias("owner"), F.col("star").alias("other"), F.lit(0).alias("bits"))
-        both = same.unionByName(ends.select(F.col("star_a").alias("owner"), F.col("star_b").alias("other"), "bits"))
+        stars = own.groupBy("fp").agg(F.min(F.struct("id", *label)).alias("star"), F.count(F.lit(1)).alias("n")).select("fp", "n", "star.*")
+        links = staged(near_links(stars, reach, count, least_lead=6, tree=tree), "table-links")
+        made.append(links)
+        same = own.join(stars.filter("n > 1").select("fp", F.col("id").alias("other"), *[F.col(x).alias("of_other") for x in label]), "fp")
+        same = (same.filter("label <> of_other") if label else same).select(F.col("id").alias("owner"), "other", F.lit(0).alias("bits"))
+        both = same.unionByName(links.select(F.col("a").alias("owner"), F.col("b").alias("other"), "bits"))
         found = both if found is None else found.unionByName(both)
     pairs = found.filter("owner <> other").groupBy(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b"))
     pairs = staged(pairs.agg(F.min("bits").alias("bits"), F.min("owner").alias("owner")), "pairs")
