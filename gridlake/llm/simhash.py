@@ -7,7 +7,8 @@ sorts them and links what collides. All holders of one variant lie within 2r bit
 star to the one nearest to it keeps every link of the group without listing its pairs. Where every link counts as it is, a task keeps a
 tree of the shortest it meets: it connects what they connect, and a dense group has no more of them than members. Where links are
 verified on the texts, those of the trees come first. A link that a tree leaves out can matter only if one of the tree fails: groups where
-one did are searched again, for all links between different components, which are compared in rounds, nearest first.
+one did are searched again, for all links between different components, which are compared in rounds, nearest first. In that search a
+text travels with the parities of its shingles' hashes: links of texts whose parities rule the similarity out are not made.
 """
 
 from __future__ import annotations
@@ -175,12 +176,13 @@ def _tree(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
-def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8, tree: bool = True) -> DataFrame:
+def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8, tree: bool = True, least: float = 0.8) -> DataFrame:
     """Links (a, b), a != b, among distinct fingerprints `fp`: connected just as all pairs at most `reach` bits apart are.
 
     reach is even. Links are verified at the end by their Hamming distance. With `tree` no more links come of fingerprints that share
     leading bits than connect them; without, a has no more of them than variants. With a column `label` in distinct, links are
-    between different labels only; with a column `id`, a and b are ids and links may come more than once. The number of leading bits that deal variants to
+    between different labels only; with columns `size` and `parity` (see parities), between texts that may have a similarity of `least`
+    only; with a column `id`, a and b are ids and links may come more than once. The number of leading bits that deal variants to
     tasks grows with the number of fingerprints; a task's variants are written out in bounded pieces.
     """
     half = reach // 2
@@ -188,7 +190,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
     size = sum(math.comb(64, k) for k in range(half + 1))
     lead = min(20, max(least_lead, math.ceil(math.log2(max(1, count * size / HELD)))))
 
-    own = ["fp", *[x for x in ("label", "id") if x in distinct.columns]]
+    own = ["fp", *[x for x in ("label", "id", "size", "parity") if x in distinct.columns]]
 
     def emit(batches):
         for batch in batches:
@@ -198,18 +200,22 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
                 yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(rest.astype(np.int32)), *[batch.column(k).take(pa.array(a + row)) for k in range(len(own))]], names=["route", "left", *own])
 
     def link(batches):
-        held = [[b.column(k).to_numpy() for k in range(2 + len(own))] for b in batches if len(b)]
+        held = [b for b in batches if len(b)]
         if not held:
             return
-        route, left, fps, *more = (np.concatenate(x) for x in zip(*held))
+        table = pa.Table.from_batches(held)
+        route, left, fps, *more = (table.column(k).to_numpy() for k in ("route", "left", *[x for x in own if x != "parity"]))
         order = np.argsort(route, kind="stable")
         route, left, fps = route[order], left[order].astype(np.int64), fps[order].view(np.uint64)
         of = {name: x[order] for name, x in zip(own[1:], more)}
+        signs = flat_text(table.column("parity")) if "parity" in own else None
         cuts = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
         for a, b in zip(cuts, np.append(cuts[1:], len(route))):
             pairs = _links(fps[a:b], left[a:b], 64 - lead)
             if "label" in of:
                 pairs = pairs[of["label"][a:b][pairs[:, 0]] != of["label"][a:b][pairs[:, 1]]]
+            if signs:
+                pairs = pairs[may_be_similar(*signs, order[a:b], of["size"][a:b], pairs, least)]
             if len(pairs):
                 pairs = _tree(fps[a:b], pairs) if tree else pairs
                 ends = [fps[a:b][pairs[:, k]] for k in (0, 1)]
@@ -219,7 +225,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
                 yield pa.RecordBatch.from_arrays([*[pa.array(x[near]) for x in named], pa.array(bits[near].astype(np.int32))], names=["a", "b", "bits"])
 
     tasks = min(1 << lead, tasks_for(count * sum(math.comb(lead, k) for k in range(half + 1)), 1 << 20, 24))
-    routed = distinct.select(own).transform(mapped, emit, "route int, left int, " + ", ".join(f"{x} long" for x in own)).repartition(tasks, "route")
+    routed = distinct.select(own).transform(mapped, emit, "route int, left int, " + ", ".join(f"{x} {'binary' if x == 'parity' else 'long'}" for x in own)).repartition(tasks, "route")
     links = routed.transform(mapped, link, "a long, b long, bits int")
     return links if "id" in own else links.select("a", "b").distinct()
 
@@ -290,18 +296,70 @@ def sketched(docs: DataFrame, view: int = VIEW, tables: int = TABLES) -> DataFra
 _STEP = 0x9E3779B97F4A7C15
 
 
-def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree: bool = True) -> DataFrame:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(*flat_text(pa.array([text], pa.string())), width)[0])
+
+
+def parity_of(hashes: np.ndarray) -> bytes:
+    """For each of m values of the hashes' low bits whether an odd number of hashes has it: m bits, m a power of two, at least 64 and
+    twice the hashes. Halves added up by exclusive or are the parities of m / 2 values."""
+    m = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parities(rows: DataFrame, width: int = 5) -> DataFrame:
+    """rows' columns but text, with `size`, how many different shingles the text has, and `parity`, theirs (see parity_of)."""
+    kept = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), width) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_of(x) for x in sets], pa.binary())], names=[*kept, "size", "parity"])
+
+    return rows.transform(mapped, run, schema_with(rows, kept, "size long, parity binary"))
+
+
+def may_be_similar(flat: np.ndarray, offsets: np.ndarray, row: np.ndarray, size: np.ndarray, pairs: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets of each pair (of places in row and size) can have a Jaccard similarity of `least`: False only if they can't.
+
+    Every element that only one of the sets has turns one parity, so the sets differ by as many elements as parities, or more.
+    flat, offsets: the parities, by row.
+    """
+    words, first = flat.view(np.uint64) if flat.flags.aligned and flat.ctypes.data % 8 == 0 else np.frombuffer(flat.tobytes(), np.uint64), offsets[:-1] // 8
+    wide = np.diff(offsets) // 8
+    n = size[pairs]
+    both = n.min(1)  # shared elements at most
+    ok = both >= least * (n.sum(1) - both)
+    of = np.where(ok[:, None], wide[row[pairs]], 0)
+    for wa, wb in np.unique(of[ok], axis=0).tolist():
+        which, narrow = np.flatnonzero((of[:, 0] == wa) & (of[:, 1] == wb)), min(wa, wb)
+        for a in range(0, len(which), step := max(1, (1 << 18) // max(wa, wb))):
+            part = which[a : a + step]
+            ends = []
+            for k, w in enumerate((wa, wb)):
+                sign = words[first[row[pairs[part, k]]][:, None] + np.arange(w)]
+                ends.append(np.bitwise_xor.reduce(sign.reshape(len(part), w // narrow, narrow), axis=1))
+            apart = np.bitwise_count(ends[0] ^ ends[1]).sum(1, dtype=np.int64)
+            shared = np.minimum(both[part], (n[part].sum(1) - apart) // 2)
+            ok[part] = shared >= least * (n[part].sum(1) - shared)
+    return ok
+
+
+def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree: bool = True, least: float = 0.8) -> DataFrame:
     """Pairs (a, b) of ids, a < b, to look at, with their `owner` (a or b) and `bits`, how far they are apart, staged: of each table the
     star of texts with one fingerprint, and the links of fingerprints at most `reach` bits apart, all or a tree (see near_links).
 
-    sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only.
+    sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only; with `size` and `parity`, links that
+    these show to be less similar than `least` are left out.
     """
     found, made, label = None, [], ["label"] if "label" in sketches.columns else []
+    more = [x for x in ("label", "size", "parity") if x in sketches.columns]
     count = sketches.count()
     for t in range(tables):
-        own = sketches.select("id", F.col("fps")[t].alias("fp"), *label)
-        stars = own.groupBy("fp").agg(F.min(F.struct("id", *label)).alias("star"), F.count(F.lit(1)).alias("n")).select("fp", "n", "star.*")
-        links = staged(near_links(stars, reach, count, least_lead=6, tree=tree), "table-links")
+        own = sketches.select("id", F.col("fps")[t].alias("fp"), *more)
+        stars = own.groupBy("fp").agg(F.min(F.struct("id", *more)).alias("star"), F.count(F.lit(1)).alias("n")).select("fp", "n", "star.*")
+        links = staged(near_links(stars, reach, count, least_lead=6, tree=tree, least=least), "table-links")
         made.append(links)
         same = own.join(stars.filter("n > 1").select("fp", F.col("id").alias("other"), *[F.col(x).alias("of_other") for x in label]), "fp")
         same = (same.filter("label <> of_other") if label else same).select(F.col("id").alias("owner"), "other", F.lit(0).alias("bits"))
@@ -320,8 +378,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: flo
 
     def sets(column):
         for text in column:
-            flat, offsets = flat_text(pa.array([text.as_py()], pa.string()))
-            yield np.unique(shingle_hashes(flat, offsets, width)[0])
+            yield shingle_set(text.as_py(), width)
 
     def run(batches):
         for batch in batches:
@@ -372,7 +429,8 @@ def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: fl
     sketches: id, fps; texts: id, text.
 
     First the links of trees are compared. Where none of a tree's fails, those it left out lie within a component. The members of
-    groups in which one failed are searched again, each with its component, for every link between two components.
+    groups in which one failed are searched again, each with its component and its parities, for every link between two components
+    that the parities leave open: most links there fail, and as many as the square of a group's members would be made of them.
     """
     pairs = candidates(sketches, tables)
     passed = similar_pairs(pairs.select("a", "b"), texts, width, least).withColumn("passed", F.lit(True))
@@ -384,7 +442,8 @@ def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: fl
     groups = staged(components(pairs.select("a", "b")), "groups")
     bad = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("label").distinct()
     again = groups.join(bad, "label", "left_semi").select("node").join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"))
-    more = candidates(staged(sketches.join(again, "id"), "again"), tables, tree=False)
+    again = texts.join(staged(sketches.join(again, "id"), "again"), "id").transform(parities, width)
+    more = candidates(staged(again, "again"), tables, tree=False, least=least)
     return verified_components(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, labels, width, least)
 
 

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from gridlake.llm import simhash
+from gridlake.llm.common import flat_text
 
 A, B, C = ("one two three four five six seven eight", "rivers run slowly past the old stone mill", "copper wires hum above the empty winter road")
 SCHEMA = "doc_id long, text string, source string"
@@ -68,3 +72,29 @@ def test_links_between_labels_only(spark):
     found = simhash.near_links(spark.createDataFrame(rows, "fp long, label long"), tree=False).collect()
     of = dict(rows)
     assert found and all(of[r["a"]] != of[r["b"]] for r in found)
+
+
+def test_parities_leave_every_similar_pair(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, np.uint64)]
+    for n in (1, 7, 31, 40, 130, 900, 1100):
+        base = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[: n - cut], base[n : n + new]))) for cut in (0, n // 9, n // 8, n // 3) for new in (0, n // 9, n // 5)]
+    flat, offsets = flat_text(pa.array([simhash.parity_of(x) for x in sets], pa.binary()))
+    pairs = np.array([(a, b) for a in range(len(sets)) for b in range(len(sets))])
+    may = simhash.may_be_similar(flat, offsets, np.arange(len(sets)), np.array([len(x) for x in sets]), pairs, 0.8)
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in pairs])
+    either = np.array([len(np.union1d(sets[a], sets[b])) for a, b in pairs])
+    assert may[shared >= 0.8 * either].all()
+    assert not may[shared < 0.6 * either].any()
+
+
+def test_links_of_a_large_group_of_unlike_texts_are_not_written_out(spark):
+    """Near fingerprints, and hardly two texts that are similar: nearly all links between them would fail."""
+    texts = [(i, i, [1 << i % 40], t) for i, t in enumerate(group_of(1600, 7, 15)[15::16])]
+    sketches = spark.createDataFrame(texts, "id long, label long, fps array<long>, text string")
+    open_ = simhash.candidates(sketches.drop("text"), 1, tree=False).filter("bits > 0")
+    left = simhash.candidates(sketches.transform(simhash.parities), 1, tree=False).filter("bits > 0")
+    similar = {(r["a"], r["b"]) for r in simhash.similar_pairs(open_.select("a", "b"), sketches.select("id", "text")).collect()}
+    found = {(r["a"], r["b"]) for r in left.collect()}
+    assert similar <= found and len(found) * 10 < open_.count()
