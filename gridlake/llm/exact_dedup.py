@@ -67,12 +67,9 @@ def _over(f, values: np.ndarray, need: int) -> np.ndarray:
 
 
 def word_at(flat: np.ndarray) -> np.ndarray:
-    """For each byte of a text the eight bytes from there on as a number that sorts as they do; zeros follow the text."""
-    padded = np.append(flat, np.zeros(8, np.uint8)).astype(np.uint64)
-    out = np.zeros(len(flat), np.uint64)
-    for k in range(8):
-        out |= padded[k : k + len(flat)] << np.uint64(56 - 8 * k)
-    return out
+    """For each byte of a text the eight bytes from there on as a number that sorts as they do; zeros follow the text. A view of a
+    padded copy, one byte from number to number."""
+    return np.ndarray((len(flat),), ">u8", buffer=np.concatenate((flat, np.zeros(8, np.uint8))), strides=(1,))
 
 
 class Level:
@@ -95,21 +92,20 @@ def alphabetical(flat: np.ndarray, at: np.ndarray, digest: np.ndarray, width: in
     these are then compared byte by byte.
     """
     words = word_at(flat)
-    order = np.argsort(words[at], kind="stable")
-    key = words[at[order]]
+    key = words[at].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     head = np.ones(len(at), bool)
     head[1:] = key[1:] != key[:-1]
-    depth = 8
-    while True:
-        open_ = _mixed_ties(head, digest[order])
-        if not len(open_) or depth >= width:
-            break
-        own, group = order[open_], np.cumsum(head)[open_]
+    depth, open_ = 8, _mixed_ties(head, digest[order])
+    while len(open_) and depth < width:
+        own, group = order[open_], np.cumsum(head[open_])
         left = min(8, width - depth)
-        key = words[at[own] + depth] >> np.uint64(64 - 8 * left)
+        key = words[at[own] + depth].astype(np.uint64) >> np.uint64(64 - 8 * left)
         again = np.lexsort((key, group))
         order[open_], key = own[again], key[again]
         head[open_[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        open_ = open_[_mixed_ties(head[open_], digest[order[open_]])]  # ties only part further
         depth += 8
     tie = np.flatnonzero(~head)
     if len(tie):
@@ -123,13 +119,13 @@ def alphabetical(flat: np.ndarray, at: np.ndarray, digest: np.ndarray, width: in
 
 def _mixed_ties(head: np.ndarray, digest: np.ndarray) -> np.ndarray:
     """The members of ties whose digests are not all the same."""
-    strange = np.zeros(len(head), bool)
-    strange[1:] = ~head[1:] & (digest[1:] != digest[:-1])
-    begins = np.flatnonzero(head)
-    if not len(begins):
-        return begins
-    mixed_ = np.logical_or.reduceat(strange, begins)
-    return np.flatnonzero(np.repeat(mixed_, np.diff(np.append(begins, len(head)))))
+    strange = np.flatnonzero(~head[1:] & (digest[1:] != digest[:-1])) + 1
+    if not len(strange):
+        return strange
+    tie = np.cumsum(head)
+    mixed_ = np.zeros(int(tie[-1]) + 1, bool)
+    mixed_[tie[strange]] = True
+    return np.flatnonzero(mixed_[tie])
 
 
 def suffix_array(flat: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray, width: int = WIDTH) -> Level:
