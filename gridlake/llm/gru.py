@@ -53,14 +53,14 @@ class Network:
         return after, (h, z, r, n, own)
 
     @staticmethod
-    def softmax(logits: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probability of one choice a row, and all probabilities (in place of the logits, which are held within +-60)."""
+    def softmax(logits: np.ndarray, which: np.ndarray, every: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of one choice a row, and with `every` all probabilities (in place of the logits, which are held within +-60)."""
         np.clip(logits, -60, 60, out=logits)
         rows = np.arange(len(which))
         chosen = logits[rows, which]
         np.exp(logits, out=logits)
         total = logits @ np.ones(logits.shape[1], np.float32)
-        return chosen - np.log(total), np.divide(logits, total[:, None], out=logits)
+        return chosen - np.log(total), np.divide(logits, total[:, None], out=logits) if every else None
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target after state h; with grads, adds the loss gradients and returns d loss/d h."""
@@ -69,12 +69,12 @@ class Network:
         cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
         slices = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
         kind, slot, h = kind[order].astype(np.int64), (target % self.size)[order], h.take(order, axis=0)  # by class from here on
-        outer, p_kind = self.softmax(h @ self.p["C"] + self.p["c"], kind)
+        outer, p_kind = self.softmax(h @ self.p["C"] + self.p["c"], kind, grads is not None)
         inner = np.empty((len(h), self.size), np.float32)
         for c, own in slices:
             np.matmul(h[own], self.p["W"][c], out=inner[own])
             inner[own] += self.p["w"][c]
-        within, p_slot = self.softmax(inner, slot)
+        within, p_slot = self.softmax(inner, slot, grads is not None)
         out = np.empty(len(h))
         out[order] = outer + within
         if grads is None:

@@ -65,6 +65,9 @@ class Vocabulary:
         code = span_hashes(prefix_sums(self.flat), self.at, self.to) if len(words) else np.zeros(0, np.uint64)
         order = np.argsort(code)
         self.code, self.place, self.counts, self.ends = code[order], order, counts, ends
+        # where codes of each leading bits begin, sixteen times as many as there are codes: few steps from there to any code
+        self.shift = np.uint64(64 - min(24, 4 + max(1, len(words).bit_length())))
+        self.begin = np.searchsorted(self.code, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
         self.known = min(len(words), CLASSES * CLASS_SIZE - 2)
 
     def places(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -74,7 +77,12 @@ class Vocabulary:
         if not len(self.code) or not len(starts):
             return out
         code = span_hashes(prefix_sums(low), starts, ends)
-        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        last = len(self.code) - 1
+        at = np.minimum(self.begin[(code >> self.shift).astype(np.int64)], last)
+        behind = np.flatnonzero((self.code[at] < code) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            behind = behind[(self.code[at[behind]] < code[behind]) & (at[behind] < last)]
         may = np.flatnonzero(self.code[at] == code)
         place = self.place[at[may]]
         unlike = spans_differ(low, starts[may], ends[may], self.flat, self.at[place], self.to[place])
