@@ -8,7 +8,8 @@ star to the one nearest to it keeps every link of the group without listing its
 tree of the shortest it meets: it connects what they connect, and a dense group has no more of them than members. Where links are
 verified on the texts, those of the trees come first. A link that a tree leaves out can matter only if one of the tree fails: groups where
 one did are searched again, for all links between different components, which are compared in rounds, nearest first. In that search a
-text travels with the parities of its shingles' hashes: links of texts whose parities rule the similarity out are not made.
+text travels with the parities of its shingles' hashes: links of texts whose parities rule the similarity out are not made. No link leaves
+a group, so all but the largest groups are dealt whole there, one row a text, and leading bits deal only those.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, aside, chunks, flat_text, forget, mapped, mixed, put_back, ragged, schema_with, staged, tasks_for, words_of
 
-#: Variants that a task holds at a time.
-HELD = 1 << 22
+#: Variants that a task holds at a time; rows that share leading bits, on average, before more bits deal them; members of a group that is
+#: dealt whole.
+HELD, ROUTED, WHOLE = 1 << 22, 1 << 20, 1 << 10
 
 
 def joined_words(flat: np.ndarray, offsets: np.ndarray):
@@ -176,28 +178,49 @@ def _tree(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
+def _sent(lead: int, half: int) -> int:
+    """Rows that a fingerprint is sent as, by leading bits."""
+    return sum(math.comb(lead, k) for k in range(half + 1))
+
+
+def leading_bits(count: int, half: int, least: int) -> int:
+    """How many leading bits deal the variants of so many fingerprints: every bit more sends a fingerprint more often, so there are as few
+    as leave ROUTED rows or fewer with the same ones, on average."""
+    lead = least
+    while lead < 20 and count * _sent(lead, half) > ROUTED << lead:
+        lead += 1
+    return lead
+
+
 def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, least_lead: int = 8, tree: bool = True, least: float = 0.8) -> DataFrame:
     """Links (a, b), a != b, among distinct fingerprints `fp`: connected just as all pairs at most `reach` bits apart are.
 
     reach is even. Links are verified at the end by their Hamming distance. With `tree` no more links come of fingerprints that share
     leading bits than connect them; without, a has no more of them than variants. With a column `label` in distinct, links are
     between different labels only; with columns `size` and `parity` (see parities), between texts that may have a similarity of `least`
-    only; with a column `id`, a and b are ids and links may come more than once. The number of leading bits that deal variants to
-    tasks grows with the number of fingerprints; a task's variants are written out in bounded pieces.
+    only; with a column `id`, a and b are ids and links may come more than once. With a column `group`, rows of one group, a number from 0
+    on, are dealt whole and linked with each other only, and rows without one by leading bits. The number of leading bits that deal
+    variants to tasks grows with the number of fingerprints; a task's variants are written out in bounded pieces.
     """
     half = reach // 2
     count = distinct.count() if count is None else count
-    size = sum(math.comb(64, k) for k in range(half + 1))
-    lead = min(20, max(least_lead, math.ceil(math.log2(max(1, count * size / HELD)))))
+    lead = leading_bits(count, half, least_lead)
 
     own = ["fp", *[x for x in ("label", "id", "size", "parity") if x in distinct.columns]]
+    dealt = [*own, *[x for x in ("group",) if x in distinct.columns]]
 
     def emit(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for a in range(0, len(fps), 1 << 14):
-                code, row, rest = _routes(fps[a : a + (1 << 14)], np.full(len(fps[a : a + (1 << 14)]), half), 64, lead)
-                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(rest.astype(np.int32)), *[batch.column(k).take(pa.array(a + row)) for k in range(len(own))]], names=["route", "left", *own])
+            group = batch.column(len(own)).fill_null(-1).to_numpy() if len(dealt) > len(own) else np.full(len(fps), -1)
+            whole, apart = np.flatnonzero(group >= 0), np.flatnonzero(group < 0)
+            parts = [(-1 - group[whole], whole, np.full(len(whole), half))] if len(whole) else []
+            for a in range(0, len(apart), 1 << 14):
+                part = apart[a : a + (1 << 14)]
+                code, row, rest = _routes(fps[part], np.full(len(part), half), 64, lead)
+                parts.append((code, part[row], rest))
+            for code, row, rest in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(rest.astype(np.int32)), *[batch.column(k).take(pa.array(row)) for k in range(len(own))]], names=["route", "left", *own])
 
     def link(batches):
         held = [b for b in batches if len(b)]
@@ -211,7 +234,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
         signs = flat_text(table.column("parity")) if "parity" in own else None
         cuts = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
         for a, b in zip(cuts, np.append(cuts[1:], len(route))):
-            pairs = _links(fps[a:b], left[a:b], 64 - lead)
+            pairs = _links(fps[a:b], left[a:b], 64 - lead if route[a] >= 0 else 64)
             if "label" in of:
                 pairs = pairs[of["label"][a:b][pairs[:, 0]] != of["label"][a:b][pairs[:, 1]]]
             if signs:
@@ -224,8 +247,8 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
                 near = bits <= reach
                 yield pa.RecordBatch.from_arrays([*[pa.array(x[near]) for x in named], pa.array(bits[near].astype(np.int32))], names=["a", "b", "bits"])
 
-    tasks = min(1 << lead, tasks_for(count * sum(math.comb(lead, k) for k in range(half + 1)), 1 << 20, 24))
-    routed = distinct.select(own).transform(mapped, emit, "route int, left int, " + ", ".join(f"{x} {'binary' if x == 'parity' else 'long'}" for x in own)).repartition(tasks, "route")
+    tasks = min(1 << lead, tasks_for(count * _sent(lead, half), 1 << 20, 24))
+    routed = distinct.select(dealt).transform(mapped, emit, "route long, left int, " + ", ".join(f"{x} {'binary' if x == 'parity' else 'long'}" for x in own)).repartition(tasks, "route")
     links = routed.transform(mapped, link, "a long, b long, bits int")
     return links if "id" in own else links.select("a", "b").distinct()
 
@@ -351,10 +374,10 @@ def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree:
     star of texts with one fingerprint, and the links of fingerprints at most `reach` bits apart, all or a tree (see near_links).
 
     sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only; with `size` and `parity`, links that
-    these show to be less similar than `least` are left out.
+    these show to be less similar than `least` are left out; with `group`, texts of a group are known to have no link to others.
     """
     found, made, label = None, [], ["label"] if "label" in sketches.columns else []
-    more = [x for x in ("label", "size", "parity") if x in sketches.columns]
+    more = [x for x in ("label", "size", "parity", "group") if x in sketches.columns]
     count = sketches.count()
     for t in range(tables):
         own = sketches.select("id", F.col("fps")[t].alias("fp"), *more)
@@ -371,6 +394,26 @@ def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree:
     return pairs
 
 
+#: Bits of the bitmap that `among` broadcasts: 2 MB, whatever the number of ids.
+SLOTS = 1 << 24
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose `id` is one of ids (column id). Rows whose hash no id has go before the shuffle, so that hardly more travel than
+    stay: at most 513 pieces of a bitmap of the ids' hashes are broadcast."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    pieces = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    placed = rows.withColumns({"_piece": F.bitmap_bucket_number(slot), "_bit": F.bitmap_bit_position(slot)}).join(F.broadcast(pieces), "_piece")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = placed.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0)
+    return held.join(ids.select("id").distinct(), "id").select(rows.columns)  # a semi join would be moved before the bitmap's
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The ids that pairs (a, b) name, as `id`; an id may come more than once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """Those of the pairs (a, b, and more columns) whose texts' sets of shingles have a Jaccard similarity of `least` or more.
     texts: id, text."""
@@ -388,8 +431,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int = 5, least: flo
                 keep.append(both >= least * (len(one) + len(other) - both))
             yield batch.select(kept).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    out, texts = pairs, texts.join(asked, "id", "left_semi")
+    out, texts = pairs, among(texts, ends_of(pairs))
     for end in ("a", "b"):
         out = out.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
     return out.select(*kept, "text_a", "text_b").transform(mapped, run, pairs.schema)
@@ -433,6 +475,7 @@ def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: fl
     that the parities leave open: most links there fail, and as many as the square of a group's members would be made of them.
     """
     pairs = candidates(sketches, tables)
+    texts = staged(among(texts, ends_of(pairs)), "texts")  # no text but these is looked at again
     passed = similar_pairs(pairs.select("a", "b"), texts, width, least).withColumn("passed", F.lit(True))
     tried = staged(pairs.select("a", "b").join(passed, ["a", "b"], "left"), "tried")
     labels = staged(components(tried.filter("passed").select("a", "b")), "labels")
@@ -441,7 +484,8 @@ def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: fl
         return labels
     groups = staged(components(pairs.select("a", "b")), "groups")
     bad = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("label").distinct()
-    again = groups.join(bad, "label", "left_semi").select("node").join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"))
+    sized = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(bad, "label", "left_semi").select("label", F.when(F.col("n") <= WHOLE, F.col("label")).alias("group"))
+    again = groups.join(sized, "label").select("node", "group").join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"), "group")
     again = texts.join(staged(sketches.join(again, "id"), "again"), "id").transform(parities, width)
     more = candidates(staged(again, "again"), tables, tree=False, least=least)
     return verified_components(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, labels, width, least)

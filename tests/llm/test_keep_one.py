@@ -98,3 +98,53 @@ def test_links_of_a_large_group_of_unlike_texts_are_not_written_out(spark):
     similar = {(r["a"], r["b"]) for r in simhash.similar_pairs(open_.select("a", "b"), sketches.select("id", "text")).collect()}
     found = {(r["a"], r["b"]) for r in left.collect()}
     assert similar <= found and len(found) * 10 < open_.count()
+
+
+def test_rows_among_ids(spark):
+    rows = spark.range(0, 60000, 1, 5).selectExpr("id * 8589934592 div 7 - 100 as id", "cast(id as string) as text").persist()
+    ids = rows.sample(0.1, 1).select("id").persist()
+    want = {r["id"] for r in ids.collect()}
+    got = simhash.among(rows, ids.union(ids).union(spark.createDataFrame([(5,)], "id long"))).collect()
+    assert len(got) == len(want) and {r["id"] for r in got} == want and got[0].asDict().keys() == {"id", "text"}
+    assert not simhash.among(rows, ids.limit(0)).count()
+
+
+def written(spark):
+    """Bytes of shuffles that the application has written so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_of_no_candidate_are_not_shuffled(spark):
+    rng = random.Random(9)
+    far = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(1500)) for _ in range(600)]
+    table = spark.createDataFrame(list(enumerate(group_of(30, 8, 8) + far)), "id long, text string").persist()
+    sketches = simhash.sketched(table).select("id", "fps").persist()
+    sketches.count()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, at = spark.conf.get(key), written(spark)
+    spark.conf.set(key, -1)
+    try:
+        assert simhash.near_copies(sketches, table).count() > 1
+    finally:
+        spark.conf.set(key, before)
+    assert written(spark) - at < 0.5 * sum(map(len, far))
+
+
+def test_groups_are_dealt_whole_and_linked_as_if_by_leading_bits(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for group in range(40):
+        base = int(rng.integers(0, 2**62))
+        rows += [(len(rows) + k, group * 1000 if group % 4 else None, sum(1 << int(b) for b in rng.integers(0, 62, 3)) ^ base) for k in range(12)]
+    table = spark.createDataFrame(rows, "id long, own long, fp long").persist()
+    links = lambda t: {(r["a"], r["b"], r["bits"]) for r in simhash.near_links(t, tree=False).collect()}
+    assert links(table.selectExpr("id", "fp", "own as group")) == links(table.select("id", "fp")) != set()
+    apart = spark.createDataFrame([(0, 1, 5), (1, 2, 7), (2, 2, 15)], "id long, group long, fp long")
+    assert {frozenset(x[:2]) for x in links(apart)} == {frozenset((1, 2))}
+
+
+def test_leading_bits_follow_memory_alone():
+    sent = [simhash._sent(simhash.leading_bits(n, 2, 6), 2) for n in (50_000, 250_000, 15_000_000)]
+    assert sent[0] == sent[1] == 22 and sent[2] < 60
