@@ -9,7 +9,8 @@ tree of the shortest it meets: it connects what they connect, and a dense group
 verified on the texts, those of the trees come first. A link that a tree leaves out can matter only if one of the tree fails: groups where
 one did are searched again, for all links between different components, which are compared in rounds, nearest first. In that search a
 text travels with the parities of its shingles' hashes: links of texts whose parities rule the similarity out are not made. No link leaves
-a group, so all but the largest groups are dealt whole there, one row a text, and leading bits deal only those.
+a group, so groups are dealt there by themselves: in parts of about WHOLE members, every two of which meet in one route, where pairs are
+compared directly. Leading bits deal only groups of more than PARTS parts.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, aside, chunks, flat_text, forget, mapped, mixed, put_back, ragged, schema_with, staged, tasks_for, words_of
 
-#: Variants that a task holds at a time; rows that share leading bits, on average, before more bits deal them; members of a group that is
-#: dealt whole.
-HELD, ROUTED, WHOLE = 1 << 22, 1 << 20, 1 << 10
+#: Variants that a task holds at a time; rows that share leading bits, on average, before more bits deal them; members of a part of a group;
+#: parts of a group at most, fewer than leading bits would send a row.
+HELD, ROUTED, WHOLE, PARTS = 1 << 22, 1 << 20, 1 << 10, 16
 
 
 def joined_words(flat: np.ndarray, offsets: np.ndarray):
@@ -161,6 +162,25 @@ def _links(fps: np.ndarray, left: np.ndarray, below: int) -> np.ndarray:
     return np.unique(pairs[fps[pairs[:, 0]] != fps[pairs[:, 1]]], axis=0)
 
 
+def _meetings(part: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row for each part of its group: (row, which two parts meet, a number that is below 0 if they are one)."""
+    row, other = np.repeat(np.arange(len(part)), parts), ragged(np.zeros(len(part), np.int64), parts)
+    mine = part[row]
+    high = np.maximum(mine, other)
+    return row, np.where(mine == other, -1 - mine, high * (high - 1) // 2 + np.minimum(mine, other))
+
+
+def _close(fps: np.ndarray, part: np.ndarray, one: bool, reach: int):
+    """Pairs of indices into fps at most `reach` bits apart, in bounded pieces: all of one part, or those between two."""
+    ends = (np.arange(len(fps)),) * 2 if one else (np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()))
+    step = max(1, (1 << 18) // max(1, len(ends[1])))
+    for a in range(0, len(ends[0]), step):
+        left = ends[0][a : a + step]
+        i, j = np.nonzero(np.bitwise_count(fps[left][:, None] ^ fps[ends[1]][None, :]) <= reach)
+        pairs = np.stack([left[i], ends[1][j]], 1)
+        yield pairs[pairs[:, 0] < pairs[:, 1]] if one else pairs
+
+
 def _tree(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Those of the pairs that connect, shortest first, what none before them connects."""
     values, node = np.unique(fps[pairs], return_inverse=True)
@@ -196,49 +216,64 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
     """Links (a, b), a != b, among distinct fingerprints `fp`: connected just as all pairs at most `reach` bits apart are.
 
     reach is even. Links are verified at the end by their Hamming distance. With `tree` no more links come of fingerprints that share
-    leading bits than connect them; without, a has no more of them than variants. With a column `label` in distinct, links are
+    leading bits than connect them; without, a has no more of them than variants, or rows of its group. With a column `label` in distinct, links are
     between different labels only; with columns `size` and `parity` (see parities), between texts that may have a similarity of `least`
     only; with a column `id`, a and b are ids and links may come more than once. With a column `group`, rows of one group, a number from 0
-    on, are dealt whole and linked with each other only, and rows without one by leading bits. The number of leading bits that deal
-    variants to tasks grows with the number of fingerprints; a task's variants are written out in bounded pieces.
+    on, are dealt whole and linked with each other only, and rows without one by leading bits. With a column `parts` too, a group is dealt in
+    so many parts by its rows' fingerprints, and all its pairs are compared, also those that stars leave out: a row is sent once for each
+    part, and no route holds more of the group than two parts. The number of leading bits that deal variants to tasks grows with the number
+    of fingerprints; a task's variants are written out in bounded pieces.
     """
     half = reach // 2
     count = distinct.count() if count is None else count
     lead = leading_bits(count, half, least_lead)
 
     own = ["fp", *[x for x in ("label", "id", "size", "parity") if x in distinct.columns]]
-    dealt = [*own, *[x for x in ("group",) if x in distinct.columns]]
+    grouped = "group" in distinct.columns
+    parted = grouped and "parts" in distinct.columns
+    dealt = [*own, *(["group"] if grouped else []), *(["parts"] if parted else [])]
 
     def emit(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            group = batch.column(len(own)).fill_null(-1).to_numpy() if len(dealt) > len(own) else np.full(len(fps), -1)
-            whole, apart = np.flatnonzero(group >= 0), np.flatnonzero(group < 0)
-            parts = [(-1 - group[whole], whole, np.full(len(whole), half))] if len(whole) else []
+            group = batch.column("group").fill_null(-1).to_numpy() if grouped else np.full(len(fps), -1)
+            together, apart = np.flatnonzero(group >= 0), np.flatnonzero(group < 0)
+            cut = []  # route, the parts that meet, the row, its part, flips left
+            if len(together):
+                parts = batch.column("parts").fill_null(1).to_numpy()[together].astype(np.int64) if parted else np.ones(len(together), np.int64)
+                part = (mixed(fps[together]) % parts.astype(np.uint64)).astype(np.int64)
+                row, meet = _meetings(part, parts)
+                cut.append((-1 - group[together[row]], meet, together[row], part[row], np.full(len(row), half)))
             for a in range(0, len(apart), 1 << 14):
-                part = apart[a : a + (1 << 14)]
-                code, row, rest = _routes(fps[part], np.full(len(part), half), 64, lead)
-                parts.append((code, part[row], rest))
-            for code, row, rest in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(rest.astype(np.int32)), *[batch.column(k).take(pa.array(row)) for k in range(len(own))]], names=["route", "left", *own])
+                some = apart[a : a + (1 << 14)]
+                code, row, rest = _routes(fps[some], np.full(len(some), half), 64, lead)
+                none = np.zeros(len(row), np.int64)
+                cut.append((code, none, some[row], none, rest))
+            for code, meet, row, part, rest in cut:
+                places = [pa.array(code.astype(np.int64)), *[pa.array(x.astype(np.int32)) for x in (meet, part, rest)]]
+                yield pa.RecordBatch.from_arrays([*places, *[batch.column(k).take(pa.array(row)) for k in range(len(own))]], names=["route", "meet", "part", "left", *own])
 
     def link(batches):
         held = [b for b in batches if len(b)]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        route, left, fps, *more = (table.column(k).to_numpy() for k in ("route", "left", *[x for x in own if x != "parity"]))
-        order = np.argsort(route, kind="stable")
-        route, left, fps = route[order], left[order].astype(np.int64), fps[order].view(np.uint64)
+        route, meet, part, left, fps, *more = (table.column(k).to_numpy() for k in ("route", "meet", "part", "left", *[x for x in own if x != "parity"]))
+        order = np.lexsort((meet, route))
+        route, meet, part, left, fps = route[order], meet[order], part[order], left[order].astype(np.int64), fps[order].view(np.uint64)
         of = {name: x[order] for name, x in zip(own[1:], more)}
         signs = flat_text(table.column("parity")) if "parity" in own else None
-        cuts = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
+        cuts = np.flatnonzero(np.append(True, (route[1:] != route[:-1]) | (meet[1:] != meet[:-1])))
         for a, b in zip(cuts, np.append(cuts[1:], len(route))):
-            pairs = _links(fps[a:b], left[a:b], 64 - lead if route[a] >= 0 else 64)
-            if "label" in of:
-                pairs = pairs[of["label"][a:b][pairs[:, 0]] != of["label"][a:b][pairs[:, 1]]]
-            if signs:
-                pairs = pairs[may_be_similar(*signs, order[a:b], of["size"][a:b], pairs, least)]
+            kept = []
+            direct = parted and route[a] < 0
+            for pairs in _close(fps[a:b], part[a:b], meet[a] < 0, reach) if direct else [_links(fps[a:b], left[a:b], 64 - lead if route[a] >= 0 else 64)]:
+                if "label" in of:
+                    pairs = pairs[of["label"][a:b][pairs[:, 0]] != of["label"][a:b][pairs[:, 1]]]
+                if signs:
+                    pairs = pairs[may_be_similar(*signs, order[a:b], of["size"][a:b], pairs, least)]
+                kept.append(pairs)
+            pairs = np.concatenate(kept)
             if len(pairs):
                 pairs = _tree(fps[a:b], pairs) if tree else pairs
                 ends = [fps[a:b][pairs[:, k]] for k in (0, 1)]
@@ -248,7 +283,7 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
                 yield pa.RecordBatch.from_arrays([*[pa.array(x[near]) for x in named], pa.array(bits[near].astype(np.int32))], names=["a", "b", "bits"])
 
     tasks = min(1 << lead, tasks_for(count * _sent(lead, half), 1 << 20, 24))
-    routed = distinct.select(dealt).transform(mapped, emit, "route long, left int, " + ", ".join(f"{x} {'binary' if x == 'parity' else 'long'}" for x in own)).repartition(tasks, "route")
+    routed = distinct.select(dealt).transform(mapped, emit, "route long, meet int, part int, left int, " + ", ".join(f"{x} {'binary' if x == 'parity' else 'long'}" for x in own)).repartition(tasks, "route", "meet")
     links = routed.transform(mapped, link, "a long, b long, bits int")
     return links if "id" in own else links.select("a", "b").distinct()
 
@@ -374,10 +409,11 @@ def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree:
     star of texts with one fingerprint, and the links of fingerprints at most `reach` bits apart, all or a tree (see near_links).
 
     sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only; with `size` and `parity`, links that
-    these show to be less similar than `least` are left out; with `group`, texts of a group are known to have no link to others.
+    these show to be less similar than `least` are left out; with `group` and `parts`, texts of a group are known to have no link to others
+    (see near_links).
     """
     found, made, label = None, [], ["label"] if "label" in sketches.columns else []
-    more = [x for x in ("label", "size", "parity", "group") if x in sketches.columns]
+    more = [x for x in ("label", "size", "parity", "group", "parts") if x in sketches.columns]
     count = sketches.count()
     for t in range(tables):
         own = sketches.select("id", F.col("fps")[t].alias("fp"), *more)
@@ -484,8 +520,10 @@ def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: fl
         return labels
     groups = staged(components(pairs.select("a", "b")), "groups")
     bad = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("label").distinct()
-    sized = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(bad, "label", "left_semi").select("label", F.when(F.col("n") <= WHOLE, F.col("label")).alias("group"))
-    again = groups.join(sized, "label").select("node", "group").join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"), "group")
+    sized = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / WHOLE).alias("parts")).join(bad, "label", "left_semi")
+    sized = sized.select("label", "parts", F.when(F.col("parts") <= PARTS, F.col("label")).alias("group"))
+    again = groups.join(sized, "label").select("node", "group", "parts").join(labels, "node", "left")
+    again = again.select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"), "group", "parts")
     again = texts.join(staged(sketches.join(again, "id"), "again"), "id").transform(parities, width)
     more = candidates(staged(again, "again"), tables, tree=False, least=least)
     return verified_components(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, labels, width, least)

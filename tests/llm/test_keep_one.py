@@ -145,6 +145,34 @@ def test_groups_are_dealt_whole_and_linked_as_if_by_leading_bits(spark):
     assert {frozenset(x[:2]) for x in links(apart)} == {frozenset((1, 2))}
 
 
+def test_parts_of_a_group_meet_and_every_pair_is_compared(spark):
+    rng = np.random.default_rng(8)
+    fps = sorted({sum({1 << int(b) for b in rng.integers(0, 40, 4)}) for _ in range(300)})
+    want = {(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4}
+    for parts in (1, 2, 7, 20):
+        table = spark.createDataFrame([(k, fp, k % 5 and 9, parts) for k, fp in enumerate(fps)], "id long, fp long, group long, parts long")
+        found = [(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in simhash.near_links(table, tree=False).collect()]
+        assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in want if (a % 5 == 0) == (b % 5 == 0)}
+
+
+def test_texts_of_a_large_group_are_sent_once_for_each_part(spark, monkeypatch):
+    sent, plain = [], simhash.mapped
+
+    def mapped(df, run, schema):
+        out = plain(df, run, schema)
+        if run.__name__ == "emit" and "parity" in out.columns:
+            sent.append((df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "mapped", mapped)
+    table = spark.createDataFrame(list(enumerate(group_of(240, 4, 30))), "id long, text string").persist()
+    sketches = simhash.sketched(table).select("id", "fps").persist()
+    whole = {tuple(r) for r in simhash.near_copies(sketches, table).collect()}
+    monkeypatch.setattr(simhash, "WHOLE", 80)
+    assert {tuple(r) for r in simhash.near_copies(sketches, table).collect()} == whole
+    assert len(sent) == 16 and all(0 < a <= b <= 3 * a for a, b in sent) and max(b / a for a, b in sent) > 1
+
+
 def test_leading_bits_follow_memory_alone():
     sent = [simhash._sent(simhash.leading_bits(n, 2, 6), 2) for n in (50_000, 250_000, 15_000_000)]
     assert sent[0] == sent[1] == 22 and sent[2] < 60
