@@ -10,7 +10,8 @@ verified on the texts, those of the trees come first. A link that a tree leaves
 one did are searched again, for all links between different components, which are compared in rounds, nearest first. In that search a
 text travels with the parities of its shingles' hashes: links of texts whose parities rule the similarity out are not made. No link leaves
 a group, so groups are dealt there by themselves: in parts of about WHOLE members, every two of which meet in one route, where pairs are
-compared directly. Leading bits deal only groups of more than PARTS parts.
+compared directly, also those of one fingerprint. Groups of more than PARTS parts are dealt by blocks of bits first: two fingerprints at most
+`reach` bits apart have one of reach + 1 blocks in common, and those that share a block are dealt in parts as a group is.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, NOT_SPACE, aside, chunks, flat_text, forget, mapped, mixed, put_back, ragged, schema_with, staged, tasks_for, words_of
 
 #: Variants that a task holds at a time; rows that share leading bits, on average, before more bits deal them; members of a part of a group;
-#: parts of a group at most, fewer than leading bits would send a row.
+#: parts of a group before blocks of bits deal it.
 HELD, ROUTED, WHOLE, PARTS = 1 << 22, 1 << 20, 1 << 10, 16
 
 
@@ -220,8 +221,8 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
     between different labels only; with columns `size` and `parity` (see parities), between texts that may have a similarity of `least`
     only; with a column `id`, a and b are ids and links may come more than once. With a column `group`, rows of one group, a number from 0
     on, are dealt whole and linked with each other only, and rows without one by leading bits. With a column `parts` too, a group is dealt in
-    so many parts by its rows' fingerprints, and all its pairs are compared, also those that stars leave out: a row is sent once for each
-    part, and no route holds more of the group than two parts. The number of leading bits that deal variants to tasks grows with the number
+    so many parts by its rows' ids, or fingerprints where they have none, and all its pairs are compared, also those that stars leave out: a
+    row is sent once for each part, and no route holds more of the group than two parts. The number of leading bits that deal variants to tasks grows with the number
     of fingerprints; a task's variants are written out in bounded pieces.
     """
     half = reach // 2
@@ -241,7 +242,8 @@ def near_links(distinct: DataFrame, reach: int = 4, count: int | None = None, le
             cut = []  # route, the parts that meet, the row, its part, flips left
             if len(together):
                 parts = batch.column("parts").fill_null(1).to_numpy()[together].astype(np.int64) if parted else np.ones(len(together), np.int64)
-                part = (mixed(fps[together]) % parts.astype(np.uint64)).astype(np.int64)
+                by = batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64) if "id" in own else fps
+                part = (mixed(by[together]) % parts.astype(np.uint64)).astype(np.int64)
                 row, meet = _meetings(part, parts)
                 cut.append((-1 - group[together[row]], meet, together[row], part[row], np.full(len(row), half)))
             for a in range(0, len(apart), 1 << 14):
@@ -405,18 +407,27 @@ def may_be_similar(flat: np.ndarray, offsets: np.ndarray, row: np.ndarray, size:
 
 
 def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree: bool = True, least: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of ids, a < b, to look at, with their `owner` (a or b) and `bits`, how far they are apart, staged: of each table the
-    star of texts with one fingerprint, and the links of fingerprints at most `reach` bits apart, all or a tree (see near_links).
+    """Pairs (a, b) of ids, a < b, to look at, with their `owner` (a or b) and `bits`, how far they are apart, staged. With `tree`, of each
+    table the star of texts with one fingerprint and a tree of the links of fingerprints at most `reach` bits apart (see near_links);
+    without, every pair of texts whose fingerprints are equal or at most `reach` bits apart.
 
-    sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only; with `size` and `parity`, links that
-    these show to be less similar than `least` are left out; with `group` and `parts`, texts of a group are known to have no link to others
-    (see near_links).
+    sketches: id, fps; ids differ. With a column `label`, pairs are between different labels only; with `size` and `parity`, pairs that
+    these show to be less similar than `least` are left out; with `group` and `parts`, texts of a group, a number from 0 on, are known to
+    have no link to others.
     """
     found, made, label = None, [], ["label"] if "label" in sketches.columns else []
     more = [x for x in ("label", "size", "parity", "group", "parts") if x in sketches.columns]
     count = sketches.count()
+    large = not tree and ("group" not in more or sketches.filter(F.col("parts") > PARTS).limit(1).count() > 0)
     for t in range(tables):
         own = sketches.select("id", F.col("fps")[t].alias("fp"), *more)
+        if not tree:
+            rows = own if "group" in more else own.withColumns({"group": F.lit(0).cast("long"), "parts": F.lit(PARTS + 1).cast("long")})
+            if large:
+                rows = rows.filter(F.col("parts") <= PARTS).unionByName(by_blocks(rows.filter(F.col("parts") > PARTS), reach))
+            links = near_links(rows, reach, count, least_lead=6, tree=False, least=least).select(F.col("a").alias("owner"), F.col("b").alias("other"), "bits")
+            found = links if found is None else found.unionByName(links)
+            continue
         stars = own.groupBy("fp").agg(F.min(F.struct("id", *more)).alias("star"), F.count(F.lit(1)).alias("n")).select("fp", "n", "star.*")
         links = staged(near_links(stars, reach, count, least_lead=6, tree=tree, least=least), "table-links")
         made.append(links)
@@ -430,6 +441,16 @@ def candidates(sketches: DataFrame, tables: int = TABLES, reach: int = 4, tree:
     return pairs
 
 
+def by_blocks(rows: DataFrame, reach: int = 4) -> DataFrame:
+    """rows (fp, group, parts, more) once for each of reach + 1 blocks of the fingerprint's bits, with the number of their group and block for
+    `group`, and as many `parts` as its rows need. Of two fingerprints at most `reach` bits apart one block is the same."""
+    cuts = [64 * k // (reach + 1) for k in range(reach + 2)]
+    blocks = F.array(*[F.xxhash64("group", F.lit(a), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1))) for a, b in zip(cuts, cuts[1:])])
+    dealt = rows.withColumn("group", F.explode(F.transform(blocks, lambda x: x.bitwiseAND(F.lit(2**63 - 1))))).drop("parts")
+    parts = dealt.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / WHOLE).alias("parts"))
+    return dealt.join(parts, "group").select(rows.columns)
+
+
 #: Bits of the bitmap that `among` broadcasts: 2 MB, whatever the number of ids.
 SLOTS = 1 << 24
 
@@ -507,8 +528,8 @@ def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: fl
     sketches: id, fps; texts: id, text.
 
     First the links of trees are compared. Where none of a tree's fails, those it left out lie within a component. The members of
-    groups in which one failed are searched again, each with its component and its parities, for every link between two components
-    that the parities leave open: most links there fail, and as many as the square of a group's members would be made of them.
+    groups in which one failed are searched again, each text with its component and its parities, for every pair of texts within reach in
+    two components that the parities leave open: most pairs there fail, and as many as the square of a group's members would be made of them.
     """
     pairs = candidates(sketches, tables)
     texts = staged(among(texts, ends_of(pairs)), "texts")  # no text but these is looked at again
@@ -521,7 +542,7 @@ def near_copies(sketches: DataFrame, texts: DataFrame, width: int = 5, least: fl
     groups = staged(components(pairs.select("a", "b")), "groups")
     bad = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("label").distinct()
     sized = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / WHOLE).alias("parts")).join(bad, "label", "left_semi")
-    sized = sized.select("label", "parts", F.when(F.col("parts") <= PARTS, F.col("label")).alias("group"))
+    sized = sized.select("label", "parts", F.col("label").alias("group"))
     again = groups.join(sized, "label").select("node", "group", "parts").join(labels, "node", "left")
     again = again.select(F.col("node").alias("id"), F.coalesce("label", "node").alias("label"), "group", "parts")
     again = texts.join(staged(sketches.join(again, "id"), "again"), "id").transform(parities, width)

@@ -176,3 +176,25 @@ def test_texts_of_a_large_group_are_sent_once_for_each_part(spark, monkeypatch):
 def test_leading_bits_follow_memory_alone():
     sent = [simhash._sent(simhash.leading_bits(n, 2, 6), 2) for n in (50_000, 250_000, 15_000_000)]
     assert sent[0] == sent[1] == 22 and sent[2] < 60
+
+
+def test_texts_of_one_fingerprint_are_compared_with_each_other(spark, monkeypatch):
+    """A text unlike the others has the least id of a fingerprint that two copies share, and one of a fingerprint nearby."""
+    near, far = group_of(3, 11, 2), group_of(1, 12, 0) + group_of(1, 13, 0)
+    table = spark.createDataFrame(list(enumerate([far[0], *near[:2], far[1], near[2]])), "id long, text string")
+    sketches = spark.createDataFrame([(0, [0]), (1, [0]), (2, [0]), (3, [7]), (4, [7])], "id long, fps array<long>")
+    want = {(1, 1), (2, 1), (4, 1)}
+    assert {tuple(r) for r in simhash.near_copies(sketches, table, tables=1).collect()} == want
+    monkeypatch.setattr(simhash, "WHOLE", 1)
+    monkeypatch.setattr(simhash, "PARTS", 2)
+    assert {tuple(r) for r in simhash.near_copies(sketches, table, tables=1).collect()} == want
+
+
+def test_every_pair_of_a_group_dealt_by_blocks_is_compared(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    fps = [sum({1 << int(b) for b in rng.integers(0, 40, 4)}) - (1 << 63) * int(k % 2) for k in range(300)] + [5, 5, 5]
+    want = {(a, b) for b in range(len(fps)) for a in range(b) if ((fps[a] ^ fps[b]) & 2**64 - 1).bit_count() <= 4}
+    sketches = spark.createDataFrame([(k, [fp]) for k, fp in enumerate(fps)], "id long, fps array<long>")
+    monkeypatch.setattr(simhash, "WHOLE", 40)
+    found = simhash.candidates(sketches, 1, tree=False).collect()
+    assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
