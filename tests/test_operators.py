@@ -366,3 +366,29 @@ def test_manifest_is_what_the_files_are(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     found = {r["path"].split(tmp_path.name + "/")[1]: (r["size"], r["sha"]) for r in readers.raw_manifest(spark, str(tmp_path)).collect()}
     assert found == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in held.items() if data}
+
+
+def test_runs_stand_for_the_slots_of_the_dense_grid(spark, sf):
+    v = Views(spark, sf)
+    runs = status.carried(status.status_grid(v.fx_status_raw)).persist()
+    slots = runs.selectExpr("evse_id", "explode(sequence(valid_from, valid_to - interval '5' minute, interval '5' minute)) as slot_ts", "status")
+    grid = v.fx_status_dense.persist()
+    assert grid.count() == slots.count() and not grid.exceptAll(slots.select(grid.columns)).limit(1).count()
+    want = {tuple(r) for r in status.profile_parts(grid).collect()}
+    assert all({tuple(r) for r in status.profile_of_runs(runs, piece=p).collect()} == want for p in (900, 3600))
+
+
+def test_a_sample_moves_runs_and_not_slots(spark):
+    """A status that holds for years is one row, and no window or join takes its slots."""
+    runs = spark.sql("""select concat('p', id % 3) as evse_id, if(id < 3, 'Available', 'Occupied') as status, if(id < 3, timestamp '2020-01-01 00:00:00', timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(5 * id), 0)) as valid_from,
+        if(id < 3, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(5 * id + 15), 0), timestamp '2024-01-01 03:00:00') as valid_to from range(6)""")
+    dim = spark.sql("select concat('p', id) as evse_id, 46.5d as lat, if(id < 2, 7.5d, 8.0d) as lon from range(3)")
+    sample = status.availability_sample(runs, dim, share_bp=10000).persist()
+    last = {r["evse_id"]: r for r in sample.filter("t0 = timestamp '2024-01-01 00:15:00'").collect()}
+    assert [(last[f"p{i}"]["status_now"], last[f"p{i}"]["n_total_other"], last[f"p{i}"]["n_free_other"]) for i in range(3)] == [("Occupied", 1, 1), ("Available", 1, 0), ("Available", 0, 0)]
+    assert sample.filter("t0 < timestamp '2023-12-31 00:00:00'").agg(F.min("y"), F.max("n_free_other")).first()[:] == (1, 1)
+    assert sample.filter("t0 + make_interval(0, 0, 0, 0, 0, delta_min, 0) >= timestamp '2024-01-01 03:00:00'").count() == 0 < sample.filter("t0 >= timestamp '2024-01-01 02:00:00'").count()
+    few = status.availability_sample(runs, dim, share_bp=5)
+    few.collect()
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and sample.count() > 300_000 > 100 * few.count()
