@@ -35,3 +35,35 @@ def test_candidates_are_brute_force(spark, sf):
     ids = {a["request_id"] for a in asked}
     got = {(r[0], r[1], r[2]) for r in QUERIES["rec_candidates"](spark, sf).select("request_id", "evse_id", "plugs").collect() if r[0] in ids}
     assert got == want and len(want) > 1000
+
+
+def test_places_meet_once_however_many_requests(spark, monkeypatch):
+    """Requests of a few places: what is looked for around places has rows for these, and every request its stations, nearest first."""
+    from gridlake.operators import geo, recommend
+
+    asking, plain = [], geo.within_radius
+
+    def within_radius(asks, places, radius_km, *more, **named):
+        asking.append((asks.count(), places.count()))
+        return plain(asks, places, radius_km, *more, **named)
+
+    monkeypatch.setattr(geo, "within_radius", within_radius)
+    points = spark.range(3000).selectExpr("concat('e', id) as evse_id", "id div 2 as station_id", "true as is_active", "if(id % 2 = 0, 'AC', 'DC') as power_class", "if(id % 7 = 0, null, 50.0d) as power_kw", "46.0d + (id div 2 % 40) * 0.004d as lat", "7.0d as lon")
+    plugs = points.selectExpr("evse_id", "if(power_class = 'AC', 'T2', 'CCS') as plug_code")
+    cars = spark.sql("select 1L as vehicle_id, 11.0d as ac_max_kw, cast(null as double) as dc_max_kw union all select 2L, 11.0d, 100.0d")
+    taken = spark.sql("select 1L as vehicle_id, 'T2' as plug_code union all select 2L, 'T2' union all select 2L, 'CCS'")
+    requests = spark.range(600).selectExpr("id as request_id", "1 + id % 2 as vehicle_id", "46.0d + (id % 3) * 0.05d as lat", "7.0d as lon", "20 as energy_kwh", "timestamp '2024-01-02 00:00:00' as t0")
+    none = spark.createDataFrame([], "evse_id string, dow int, hour_local int, p_free double"), spark.createDataFrame([], "evse_id string, p_free double")
+    tables = {"point": points, "point_plug": plugs, "vehicle": cars, "vehicle_plug": taken}
+    got = recommend.recommend_batch(requests, tables, none).collect()
+    assert asking == [(3, 40)] and len(got) == 3000 and {r["rank"] for r in got} == {1, 2, 3, 4, 5}
+    found = {r["request_id"]: [] for r in got}
+    for r in got:
+        found[r["request_id"]].append((r["rank"], r["station_id"]))
+    # of place 0 and the car without DC: the first place's stations are nearest, and of those the first whose power is known
+    want = [s for s in range(0, 1500, 40) if 2 * s % 7 or s == 0][:6]
+    known = [s for s in want if 2 * s % 7][:5]
+    assert [s for _, s in sorted(found[0])] == known
+    assert recommend.points_needed(requests, tables).filter("request_id = 0").first()["points"] == sum(1 for s in range(1500) if s % 40 * 0.004 * 111.195 <= 15)
+    first = geo.strongest_points(requests, points, plugs, taken, cars, 15.0, 5).filter("request_id = 0").collect()
+    assert {r["evse_id"] for r in first} == set(sorted(f"e{2 * s}" for s in range(0, 1500, 40) if 2 * s % 7)[:5])
