@@ -36,6 +36,10 @@ def _(v):
 SHARED["dir_src"] = "select *, case when k % 4 = 0 then concat(lat, ' ', lon) when k % 4 = 1 then concat(lat, ',', lon) when k % 4 = 2 then 'None None' end as google from {fx_point}"
 
 
+#: Keys of points that a page of the feed spans: more points make more pages, not larger ones.
+PAGE = 1000
+
+
 def directory(v):
     """A directory payload, nested as its feed has it."""
     google = F.when(c("k") % 4 == 0, F.concat_ws(" ", "lat", "lon")).when(c("k") % 4 == 1, F.concat_ws(",", "lat", "lon")).when(c("k") % 4 == 2, "None None")
@@ -48,7 +52,7 @@ def directory(v):
         F.array(F.struct(F.lit("en").alias("lang"), c("station_name").alias("value")), F.struct(F.lit("de").alias("lang"), F.when(c("k") % 3 == 0, F.concat(F.lit("DE "), "station_name")).otherwise(" ").alias("value"))).alias("ChargingStationNames"),
         F.lit("2026-01-01T00:00:00Z").alias("lastUpdate"),
     )
-    ops = v.fx_point.groupBy(c("operator_id").alias("OperatorID"), (c("k") % 50).alias("page")).agg(F.collect_list(record).alias("EVSEDataRecord"))  # pages of a feed
+    ops = v.fx_point.groupBy(c("operator_id").alias("OperatorID"), F.floor(c("k") / PAGE).alias("page")).agg(F.collect_list(record).alias("EVSEDataRecord"))  # pages of a feed
     return ops.select(F.array(F.struct("OperatorID", c("OperatorID").alias("OperatorName"), "EVSEDataRecord")).alias("EVSEData"))
 
 

@@ -20,3 +20,16 @@ def test_grid_has_every_day(spark, sf):
     days = v.fx_status_dense.selectExpr("count(distinct cast(slot_ts as date)) as n", "max(slot_ts) as last").first()
     raw = v.fx_status_raw.selectExpr("count(distinct cast(datetime as date)) as n").first()
     assert days["n"] >= raw["n"] > 20
+
+
+def test_pages_of_a_directory_do_not_grow(spark):
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from gridlake.plans import q_sources
+
+    points = spark.range(400_000).selectExpr("id as k", "concat('e', id) as evse_id", "concat('o', id div 3 % 7) as operator_id", "true as is_active", "46.5d as lat", "7.5d as lon", "11.0d as power_kw", "'AC' as power_class", "'n' as station_name")
+    size = F.size(F.col("EVSEData")[0]["EVSEDataRecord"]).alias("n")
+    most, rows = q_sources.directory(SimpleNamespace(fx_point=points)).select(size).agg(F.max("n"), F.sum("n")).first()
+    assert most <= 1000 and rows == 400_000
