@@ -67,3 +67,20 @@ def test_places_meet_once_however_many_requests(spark, monkeypatch):
     assert recommend.points_needed(requests, tables).filter("request_id = 0").first()["points"] == sum(1 for s in range(1500) if s % 40 * 0.004 * 111.195 <= 15)
     first = geo.strongest_points(requests, points, plugs, taken, cars, 15.0, 5).filter("request_id = 0").collect()
     assert {r["evse_id"] for r in first} == set(sorted(f"e{2 * s}" for s in range(0, 1500, 40) if 2 * s % 7)[:5])
+
+
+def test_answers_hold_the_state_and_are_not_dealt_by_station_or_car(spark, sf):
+    from gridlake.operators import recommend
+    from gridlake.plans import q_recommend
+
+    v = Views(spark, sf)
+    state = recommend.station_state(v.fx_point, v.fx_status_dense.filter("slot_ts = timestamp '2024-01-10 12:00:00'").select("evse_id", "status")).persist()
+    asked, tables, chances = v.fx_request.limit(40), q_recommend.tables(v), q_recommend.chances(v)
+    items = recommend.recommend_batch(asked, tables, chances, state=state)
+    text = recommend.explained(items, v.fx_vehicle, state)
+    plain = recommend.explained(recommend.recommend_batch(asked, tables, chances).drop("ac_max_kw", "dc_max_kw"), v.fx_vehicle, state)
+    columns = ["request_id", "rank", "station_id", "explanation"]
+    assert sorted(map(tuple, text.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+    assert text.filter("explanation like '%Now % of %'").count()
+    joins = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join")
+    assert joins(text) == joins(items) < joins(plain)
